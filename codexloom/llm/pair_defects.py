@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
-MAX_SOUND, MAX_FOREIGN = 3000, 1500
+MAX_SOUND, MAX_FOREIGN = 3000, 800
 DIM = 1 << 14
 EPOCHS, RATE, L2 = 6, 0.5, 1e-6
 
@@ -85,9 +85,9 @@ def features(question: str | None, answer: str | None) -> tuple[list[int], np.nd
     body = a.strip()
     qt, at = [fold(w) for w in _WORD.findall(q)], [fold(w) for w in _WORD.findall(body)]
     shape = ["0" if any(c.isdigit() for c in w) else w for w in at]
-    raw = _WORD.findall(body)
+    raw = list(_WORD.finditer(body))
     # Names carry no sign of a defect: capitals inside a sentence are masked.
-    shape = ["N" if r[:1].isupper() and i and not re.search(r"[.!?:]\W*$", body[: body.find(r)]) and s not in _ALL_FW else s for i, (r, s) in enumerate(zip(raw, shape))]
+    shape = ["N" if i and r.group()[:1].isupper() and not re.search(r"[.!?:]", body[raw[i - 1].end() : r.start()]) and s not in _ALL_FW else s for i, (r, s) in enumerate(zip(raw, shape))]
     grams = {f"1 {w}" for w in shape} | {f"2 {x} {y}" for x, y in zip(shape, shape[1:])} | {f"3 {x} {y} {z}" for x, y, z in zip(shape, shape[1:], shape[2:])}
     grams |= {"s " + " ".join(shape[:k]) for k in (1, 2, 3)} | {"e " + " ".join(shape[-k:]) for k in (1, 2)}
     low = re.sub(r"\d+", "0", fold(body))
@@ -354,7 +354,7 @@ def fit_model(sound: DataFrame, foreign: DataFrame, max_sound: int = MAX_SOUND,
     """
     s = sound.where("length(trim(question)) > 0 AND length(trim(answer)) > 0").select("question", "answer").distinct()
     s = s.orderBy(F.xxhash64("question", "answer"), "question", "answer").limit(max_sound)
-    f = foreign.where("length(text) > 40").select("lang", F.substring("text", 1, 4000).alias("text"))
+    f = foreign.where("length(text) BETWEEN 40 AND 4000").select("lang", "text")
     f = f.orderBy(F.xxhash64("text"), "text").limit(max_foreign)
     pieces = [(r.lang, p) for r in f.collect() for p in re.split(r"(?<=[.])\s+", r.text) if 30 < len(p) < 300 and _LANGS[int(language_scores(p).argmax())] == r.lang and p[-1] == "."]
     return train(synthetic([(r.question, r.answer) for r in s.collect()], pieces))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.llm import near_duplicates, pair_defects, residue
-from codexloom.runtime import table
+from codexloom.llm import near_duplicates, pair_defects, residue, scan_noise
+from codexloom.runtime import cut_lineage, table
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,6 +31,28 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return pair_defects.find_defects(h.unionByName(a), model, ["table_name", "record_key"])
 
 
+def _scanned(spark: SparkSession, sf: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Every section (with ``columns`` of the reading) and chunk, read for noise."""
+    sections, chunks = table(spark, sf, "sections"), table(spark, sf, "chunks")
+    corpus = scan_noise.learn(sections)
+    read = cut_lineage(scan_noise.read_sections(sections, corpus).select("id", "findings", *columns))
+    return read, scan_noise.read_chunks(chunks, read, corpus)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    read, chunks = _scanned(spark, sf)
+    s = read.select(F.lit("section").alias("item_kind"), F.col("id").alias("item_id"), F.explode(F.array_distinct("findings.kind")).alias("noise"))
+    c = chunks.select(F.lit("chunk").alias("item_kind"), F.col("id").alias("item_id"), F.explode("kinds").alias("noise"))
+    return s.unionByName(c).distinct()
+
+
+def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """The repaired text of every section and chunk."""
+    read, chunks = _scanned(spark, sf, "repaired")
+    s = read.select(F.lit("section").alias("item_kind"), F.col("id").alias("item_id"), F.col("repaired").alias("text"))
+    return s.unionByName(chunks.select(F.lit("chunk").alias("item_kind"), F.col("id").alias("item_id"), F.col("repaired").alias("text"))).distinct()
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents")).select("doc_id")
 
@@ -39,7 +61,7 @@ def p8_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p5_found, p5_repaired, p8_found, p8_kinds)}
 
 ORACLE = {
     "p1_found": """
