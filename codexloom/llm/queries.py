@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.llm import near_duplicates, pair_defects, residue, scan_noise
+from codexloom.llm import mixing, near_duplicates, packing, pair_defects, residue, scan_noise, splitting, tokens
 from codexloom.runtime import cut_lineage, table
 
 
@@ -31,6 +31,21 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return pair_defects.find_defects(h.unionByName(a), model, ["table_name", "record_key"])
 
 
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "sections").select(F.lit("section").alias("item_kind"), F.col("id").alias("item_id"), F.col("number").alias("place"), "source", "text")
+    c = table(spark, sf, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("id").alias("item_id"), F.col("section_hint").alias("place"), "source", "text")
+    return s.unionByName(c)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_items(_items(spark, sf), table(spark, sf, "split_limits"), ["item_kind", "item_id"], with_text=False).select("item_kind", "item_id").distinct()
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece with its item's number or section_hint as ``place``."""
+    return splitting.split_items(_items(spark, sf), table(spark, sf, "split_limits"), ["item_kind", "item_id", "place"])
+
+
 def _scanned(spark: SparkSession, sf: str, *columns: str) -> tuple[DataFrame, DataFrame]:
     """Every section (with ``columns`` of the reading) and chunk, read for noise."""
     sections, chunks = table(spark, sf, "sections"), table(spark, sf, "chunks")
@@ -53,6 +68,40 @@ def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return s.unionByName(chunks.select(F.lit("chunk").alias("item_kind"), F.col("id").alias("item_id"), F.col("repaired").alias("text"))).distinct()
 
 
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, source, n_tokens), counted once and kept."""
+    docs = table(spark, sf, "documents")
+    return cut_lineage(docs.select("doc_id", "source", tokens.n_tokens(F.col("text"), tokens.vocabulary_file(spark)).alias("n_tokens")).dropDuplicates(["doc_id"]))
+
+
+def _capacities(spark: SparkSession, sf: str) -> list[int]:
+    return sorted({r[0] for r in table(spark, sf, "context_bins").select("capacity_tokens").distinct().collect()})
+
+
+def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in containers of the largest capacity, which wastes least."""
+    return packing.pack(_sizes(spark, sf), _capacities(spark, sf)[-1])
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """For each capacity: containers and the share of room that stays unused."""
+    sizes, out = _sizes(spark, sf), None
+    for c in _capacities(spark, sf):
+        r = packing.report(packing.pack(sizes, c), c)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    rates = mixing.solve(_sizes(spark, sf), table(spark, sf, "mix_targets"))
+    return mixing.mixture(table(spark, sf, "documents"), rates)
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf), table(spark, sf, "mix_targets")
+    return mixing.shares(sizes, targets, mixing.solve(sizes, targets))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents")).select("doc_id")
 
@@ -61,7 +110,7 @@ def p8_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p5_found, p5_repaired, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_pieces, p5_found, p5_repaired, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_kinds)}
 
 ORACLE = {
     "p1_found": """
@@ -70,4 +119,8 @@ w AS (SELECT DISTINCT id, list_sort(list_distinct(regexp_extract_all(lower(t), '
 p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.w, b.w)) AS c, len(a.w) AS n, len(b.w) AS m
   FROM w a JOIN w b ON a.id < b.id AND len(a.w) > 0 AND len(b.w) BETWEEN len(a.w) * 0.8 - 0.001 AND len(a.w) / 0.8 + 0.001)
 SELECT DISTINCT id_a, id_b FROM p WHERE 10 * c >= 8 * (n + m - c)""",
+    "p3_found": """
+WITH i AS (SELECT 'section' AS item_kind, id AS item_id, source, text FROM sections UNION ALL SELECT 'chunk', id, source, text FROM chunks)
+SELECT DISTINCT i.item_kind, i.item_id FROM i JOIN split_limits l ON l.item_kind = i.item_kind AND lower(trim(l.source)) = lower(trim(i.source))
+WHERE length(i.text) > l.max_chars""",
 }
