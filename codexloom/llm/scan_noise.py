@@ -50,6 +50,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _MARKED_PAGE = re.compile(r"(?i)^(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\d{1,4}\s*\|\s*p\s?[au]\s?g\s?[ec]|p[au]g[ec]\s+\d{1,4}(?:\s*(?:of|o[ft]|/)\s*\d{1,4})?|seite\s+\d{1,4}|[A-Z]-\d{1,3})$")
 _BARE_PAGE = re.compile(r"^(?:\d{1,4}|(?=[ivxl])(?:xc|xl|l?x{0,4})(?:ix|iv|v?i{0,4}))$")
 _CELL = re.compile(r"(?i)^(?:[\s$€£\d.,:;%|/()+–-]|to|x)+$")
+_GAP = re.compile(r"\s{2,}|\t")
 _ENUMERATED = re.compile(r"^\s*(?:\([a-z0-9]{1,4}\)|[•*]|\d{1,2}[.)])\s")
 _INLINE_PAGE = re.compile(r"(?<=\s)(?:- \d{1,4} -|\[\d{1,4}\]|\d{1,4} \| P a g e|Page \d{1,4} of \d{1,4}|S-\d{1,3})(?=\s)")
 
@@ -167,10 +168,10 @@ def _canon(w: str) -> str:
 def running_form(line: str) -> bool:
     """Whether a line can be a running header at all: short, a heading's letters, no stop."""
     s = line.strip()
-    if _MARKED_PAGE.match(s):
+    if not s or len(s) > 80 or s[-1] in ".;:,!?" or _MARKED_PAGE.match(s):
         return False
     ws = s.split()
-    if not 1 <= len(ws) <= 9 or len(s) > 80 or s[-1] in ".;:,!?" or s[0] in "($“" or _CELL.match(s) or "|" in s:
+    if not 1 <= len(ws) <= 9 or s[-1] in ".;:,!?" or s[0] in "($“" or _CELL.match(s) or "|" in s:
         return False
     heads = [w for w in ws if w[0].isalpha()]
     if not heads or len(s) < 5 or "," in s or re.search(r"\d+\.\d+ to \d|(?i:\bsection \d)", s):
@@ -179,7 +180,10 @@ def running_form(line: str) -> bool:
 
 
 def _split_line(line: str) -> list[str]:
-    return [p for p in re.split(r"\s{2,}|\t", line.strip()) if p]
+    line = line.strip()
+    if "  " not in line and "\t" not in line:
+        return [line] if line else []
+    return [p for p in _GAP.split(line) if p]
 
 
 @dataclass
@@ -198,27 +202,30 @@ def _line_kinds(lines: list[str], corpus: Corpus) -> list[list[tuple[str, str]]]
     solid = [i for i, x in enumerate(lines) if x.strip()]
     out: list[list[tuple[str, str]]] = [[] for _ in lines]
     near = {i: (solid[k - 1] if k else None, solid[k + 1] if k + 1 < len(solid) else None) for k, i in enumerate(solid)}
-    is_cell = {i: bool(_CELL.match(lines[i].strip())) for i in solid}
 
     def header(part: str) -> bool:
         return running_form(part) and not corpus.lines.isdisjoint(fuzzy(part, corpus))
 
     marks = {}
     for i in solid:
+        # Nothing that runs at a page's edge is longer than this, or ends like a sentence.
+        if len(lines[i]) > 200 or lines[i].rstrip()[-1] in ".;:,":
+            marks[i] = [""]
+            continue
         parts = _split_line(lines[i])
         marks[i] = [("pageno" if _MARKED_PAGE.match(p) else "bare" if _BARE_PAGE.match(p) else "header" if header(p) else "") for p in parts]
     for i in solid:
-        parts, kinds = _split_line(lines[i]), list(marks[i])
-        if not any(kinds):
+        if not any(marks[i]):
             out[i] = [("", lines[i])]
             continue
+        parts, kinds = _split_line(lines[i]), list(marks[i])
         if len(parts) > 1 and not all(kinds):
             out[i] = [("", lines[i])]
             continue
         if kinds == ["bare"]:
             around = [j for j in near[i] if j is not None]
-            prose = [j for j in around if (not is_cell[j] and len(_LETTERS.findall(lines[j])) >= 3) or any(k in ("header", "pageno") for k in marks[j])]
-            cells = [j for j in around if is_cell[j] and not any(k == "pageno" for k in marks[j])]
+            prose = [j for j in around if (not _CELL.match(lines[j].strip()) and len(_LETTERS.findall(lines[j])) >= 3) or any(k in ("header", "pageno") for k in marks[j])]
+            cells = [j for j in around if _CELL.match(lines[j].strip()) and not any(k == "pageno" for k in marks[j])]
             kinds = ["pageno"] if prose and not cells else [""]
         elif kinds == ["header"]:
             # Alone, a heading line is a header only if the text runs on across it.
@@ -253,7 +260,7 @@ def read(text: str | None, corpus: Corpus) -> tuple[list[Finding], str]:
     if not text or text.isspace():
         return [], text or ""
     lines = text.split("\n")
-    kinds = _line_kinds(lines, corpus)
+    kinds = _line_kinds(lines, corpus) if len(lines) > 1 else [[("", text)]]
     found: list[Finding] = []
     flat: list[str] = []
     where: list[tuple[int, str, int]] = []  # noise lines: position in flat, kind, words
@@ -284,7 +291,7 @@ def read(text: str | None, corpus: Corpus) -> tuple[list[Finding], str]:
     for k, (at, part) in enumerate(kept):
         line = part.strip()
         prev = kept[k - 1][1].rstrip() if built else ""
-        m = _BREAK.search(prev[-130:]) if prev and not gap[k] else None
+        m = _BREAK.search(prev[-130:]) if prev and prev[-1] in _HYPHENS and not gap[k] else None
         if m and _WORD.match(line):
             raw_at = kept[k - 1][0] + len(prev.split()) - 1
             b = re.match(r"[^\W\d_]\w*|\d?[^\W_]+", line)
@@ -298,8 +305,7 @@ def read(text: str | None, corpus: Corpus) -> tuple[list[Finding], str]:
             continue
         runs_on = False
         if built and not gap[k] and not _ENUMERATED.match(line) and not (_CELL.match(line) and "|" in line):
-            tabular = _CELL.match(prev) or _CELL.match(line) or re.search(r"\s{3,}", prev)
-            runs_on = not (tabular and len(prev.split()) < 6) and wrapped and (prev[-1] not in ".;:!?" or len(prev) > 0.75 * width)
+            runs_on = wrapped and not (len(prev) < 120 and (_CELL.match(prev) or _CELL.match(line) or "   " in prev) and len(prev.split()) < 6) and (prev[-1] not in ".;:!?" or len(prev) > 0.75 * width)
         if runs_on:
             built[-1] += [" ", line]
         else:
