@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexloom.plans import asknown
+from codexloom.plans import asknown, graph
 
-MODULES = [asknown]
+MODULES = [asknown, graph]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
