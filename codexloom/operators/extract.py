@@ -26,10 +26,13 @@ def mentions(sections: DataFrame, pattern: str = SECTION_MENTION, before: int =
 
 
 def classify_op(text: Column) -> Column:
-    """replace, insert, or restate; a bare deletion falls through to replace's words."""
+    """replace, insert or restate, by the words of an amending clause.
+
+    A clause that only deletes counts as replace: the first rule takes its words too.
+    """
     return (
-        F.when(text.rlike(r"(?i)\b(?:by\s+deleting|deleting\b.{0,200}\breplac|replac)"), "replace")
-        .when(text.rlike(r"(?i)\b(?:insert|adding|hereby adds?)"), "insert")
+        F.when(text.rlike(r"(?is)amended by (?:deleting|replacing)|by replacing the text in the proviso"), "replace")
+        .when(text.rlike(r"amended by (?:inserting|adding)"), "insert")
         .otherwise("restate")
     )
 

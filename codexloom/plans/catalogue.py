@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexloom.plans import asknown, graph
+from codexloom.plans import asknown, graph, temporal
 
-MODULES = [asknown, graph]
+MODULES = [asknown, graph, temporal]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
