@@ -1,11 +1,12 @@
 """Filling fixed-capacity containers: harmonic packing in independent shards.
 
 A document of size s belongs to class k, the number of such documents that a container
-of capacity C holds (C / (k + 1) < s <= C / k), and each container of class k gets
-exactly k documents, whatever their sizes within the class. So containers can be filled
-class by class and shard by shard without any look at other containers. Small documents
-share classes on a geometric grid of k. Only the last container of a class and shard can
-be short of documents; shards hold SHARD documents, so those are few at every size.
+of capacity C holds (C / (k + 1) < s <= C / k). Documents are spread by a hash of their
+id over shards of about SHARD documents, and every shard is packed on its own, without
+any look at the others: class by class, k ascending, each container gets exactly k
+documents of class k, and then, into the room that the classes' bounds leave, the
+largest documents of later classes that still fit. So only a shard's last container is
+left with much room, at every size of the corpus.
 
 A document larger than C is cut into full containers of its own, and its rest is packed
 like a document of that size. No other document is cut.
@@ -13,32 +14,63 @@ like a document of that size. No other document is cut.
 
 from __future__ import annotations
 
-from itertools import accumulate, repeat
+from bisect import bisect_right
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents per shard on average; the classes of one shard are numbered in one task each.
+#: Documents per shard on average. Ids are hashed, so no shard is much larger, and a
+#: shard's task holds only sizes and ids.
 SHARD = 200_000
-#: Up to EXACT documents per container every k is a class; then k grows by GROWTH.
-EXACT, GROWTH = 64, 1.0625
 
 
-def grid(capacity: int) -> list[int]:
-    """The classes: documents per container, ascending."""
-    top = max(1, capacity)
-    if top <= EXACT:
-        return list(range(1, top + 1))
-    more = accumulate(repeat(EXACT, 1 + 400), lambda k, _: int(k * GROWTH))
-    return [*range(1, EXACT + 1), *[k for k in more if EXACT < k <= top]]
+def harmonic(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """The container of each size (all <= capacity, in descending order), and their number.
+
+    Sizes of 0 count as 1.
+    """
+    least = np.maximum(sizes, 1)
+    stacks: dict[int, list[int]] = {}
+    for i in range(len(least) - 1, -1, -1):
+        stacks.setdefault(int(least[i]), []).append(i)
+    left = sorted(stacks)
+    out, n = np.full(len(sizes), -1, dtype=np.int64), 0
+
+    def take(most: int) -> tuple[int, int] | None:
+        """The largest document that is left and no larger than ``most``."""
+        at = bisect_right(left, most) - 1
+        if at < 0:
+            return None
+        size = left[at]
+        i = stacks[size].pop()
+        if not stacks[size]:
+            del left[at]
+        return i, size
+
+    while left:
+        k, room = capacity // left[-1], capacity
+        low = capacity // (k + 1)
+        for _ in range(k):
+            # The class's own documents first, k of them at most.
+            if not left or left[-1] <= low:
+                break
+            i, size = take(left[-1])
+            out[i], room = n, room - size
+        while left and room >= left[0]:
+            i, size = take(room)
+            out[i], room = n, room - size
+        n += 1
+    return out, n
 
 
 def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", shard: int = SHARD) -> DataFrame:
-    """(id, piece_no, start, end, n_tokens, docs_per_bin, bin) for every row of ``sizes``.
+    """(id, piece_no, start, end, n_tokens, docs_class, bin) for every row of ``sizes``.
 
-    ``bin`` is unique to a container; ``start`` and ``end`` are offsets in the document.
-    Repeated rows collapse. Null ids are packed like others, null sizes count as 0, and
-    a document of size 0 takes the place of one of size 1.
+    ``bin`` is unique to a container, ``docs_class`` is k, ``start`` and ``end`` are
+    offsets in the document. Repeated rows collapse. Null ids are packed like others,
+    null and negative sizes count as 0, and a document of size 0 takes the room of 1.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
@@ -46,18 +78,19 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     c = F.lit(capacity).cast("long")
     pieces = docs.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_n") / c) - 1, F.lit(0)))))
     pieces = pieces.select("_id", (F.col("_p") + 1).cast("int").alias("piece_no"), (F.col("_p") * c).alias("start"), F.least((F.col("_p") + 1) * c, F.col("_n")).alias("end"))
-    pieces = pieces.withColumn("n_tokens", F.col("end") - F.col("start"))
-    k = F.floor(c / F.greatest("n_tokens", F.lit(1)))
-    classes = F.array(*[F.lit(g).cast("long") for g in grid(capacity)])
-    pieces = pieces.withColumn("docs_per_bin", F.when(k <= EXACT, k).otherwise(F.array_max(F.filter(classes, lambda g: g <= k))))
-    total = docs.agg(F.greatest(F.ceil(F.count(F.lit(1)) / shard), F.lit(1)).alias("_shards"))
-    key = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("\0")), "piece_no")
-    rows = pieces.crossJoin(F.broadcast(total)).withColumn("_shard", F.pmod(key, F.col("_shards")))
-    # Full containers of one document need no number but their own.
-    w = Window.partitionBy("docs_per_bin", "_shard").orderBy(F.desc("n_tokens"), key, "_id", "start")
-    rows = rows.withColumn("_b", F.floor((F.row_number().over(w) - 1) / F.col("docs_per_bin")))
-    name = F.concat_ws("-", F.col("docs_per_bin").cast("string"), F.col("_shard").cast("string"), F.col("_b").cast("string"))
-    return rows.select(F.col("_id").alias(id_col), "piece_no", "start", "end", "n_tokens", F.col("docs_per_bin").cast("int").alias("docs_per_bin"), name.alias("bin"))
+    total = pieces.agg(F.greatest(F.ceil(F.count(F.lit(1)) / shard), F.lit(1)).alias("_shards"))
+    key = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("\0")), "piece_no", "end")
+    rows = pieces.crossJoin(F.broadcast(total)).withColumn("_key", key).withColumn("_shard", F.pmod("_key", "_shards")).drop("_shards")
+    kind = docs.schema["_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(n_tokens=pdf["end"] - pdf["start"]).sort_values(["n_tokens", "_key", "start"], ascending=[False, True, True])
+        bins, _ = harmonic(pdf["n_tokens"].to_numpy(), capacity)
+        name = [f"{s}-{b}" for s, b in zip(pdf["_shard"], bins)]
+        return pdf.assign(docs_class=capacity // np.maximum(pdf["n_tokens"], 1), bin=name)[["_id", "piece_no", "start", "end", "n_tokens", "docs_class", "bin"]]
+
+    out = rows.groupBy("_shard").applyInPandas(run, f"_id {kind}, piece_no int, start long, end long, n_tokens long, docs_class long, bin string")
+    return out.withColumnRenamed("_id", id_col)
 
 
 def report(packed: DataFrame, capacity: int) -> DataFrame:
