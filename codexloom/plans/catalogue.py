@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexloom.plans import asknown, graph, temporal
+from codexloom.plans import asknown, graph, temporal, texts
 
-MODULES = [asknown, graph, temporal]
+MODULES = [asknown, graph, temporal, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
