@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 #: Characters per range, of its halos, and per segment (of several ranges).
 RANGE, HALO, SEGMENT = 65_536, 256, 1_048_576
 
-#: Strength of a boundary: paragraph, line, clause opening, sentence, part of one, word.
-PARAGRAPH, LINE, SENTENCE, CLAUSE, PART, WORD = 6, 5, 4, 4, 2, 1
+#: Strength of a boundary: paragraph, line, sentence or clause, list opening, part, word.
+PARAGRAPH, LINE, SENTENCE, OPENING, PART, WORD = 6, 5, 4, 3, 2, 1
+WORD_CELL = 16
 _BOUNDARY = re.compile(
     r"(?P<p6>\n[ \t\r]*\n\s*)|(?P<p5>\n[ \t]*)"
     r"|(?P<p4>(?:[.!?][\"”’')\]]{0,3}|;(?: and| or)?)[^\S\n]+(?=\([a-z0-9ivx]{1,4}\)|[A-ZÀ-Þ“\"(\[§])|[。！？])"
@@ -37,42 +40,43 @@ _BOUNDARY = re.compile(
 _ABBREVIATION = re.compile(r"(?:\b(?:No|Nos|Sec|Art|Inc|Ltd|Co|Corp|Mr|Ms|Dr|St|vs|cf|e\.g|i\.e|a\.m|p\.m|Ziff|Abs|Nr)|\b[A-Z])\.$")
 
 
-def boundaries(text: str, offset: int, first: int, last: int) -> list[tuple[int, int]]:
-    """(offset, strength) of the boundaries of ``text`` that lie in [first, last).
+def boundaries(text: str, offset: int, first: int, last: int) -> list[int]:
+    """The boundaries of ``text`` in [first, last), each as offset * 8 + strength.
 
     ``text`` starts at ``offset`` of its item. A cut at the offset lies behind the
-    separator, so that a piece keeps it and the next one starts with text.
+    separator, so that a piece keeps it and the next one starts with text. Of the mere
+    blanks between words only the first in every WORD_CELL characters is listed.
     """
-    out = []
+    out, cell = [], -1
     for m in _BOUNDARY.finditer(text):
-        at, strength = offset + m.end(), int(m.lastgroup[1])
+        at = offset + m.end()
+        if not first <= at < last:
+            continue
+        strength = int(m.lastgroup[1])
         if strength == 4 and _ABBREVIATION.search(text, max(0, m.start() - 8), m.start() + 1):
             strength = 1
-        if first <= at < last:
-            out.append((at, strength))
+        if strength == 1:
+            if at // WORD_CELL == cell:
+                continue
+            cell = at // WORD_CELL
+        out.append(at * 8 + strength)
     return out
 
 
-def choose_cuts(length: int, cuts: list[tuple[int, int]], max_chars: int, overlap: int, start: int = 0) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of [start, length) given sorted (offset, strength) cuts."""
+def choose_cuts(length: int, cuts: list[int], max_chars: int, overlap: int, start: int = 0) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of [start, length) given sorted cuts (offset * 8 + strength)."""
     if max_chars < 1:
         raise ValueError("max_chars must be at least 1")
     overlap = max(0, min(overlap, max_chars // 2))
-    out, k, at = [], 0, start
+    out, at = [], start
     while length - at > max_chars:
         low, high = at + max(max_chars // 2, overlap + 1), at + max_chars
-        while k < len(cuts) and cuts[k][0] < low:
-            k += 1
-        j, best = k, None
-        while j < len(cuts) and cuts[j][0] <= high:
-            if best is None or cuts[j][1] >= best[1]:
-                best = cuts[j]
-            j += 1
-        end = best[0] if best else high
+        k, j = bisect_left(cuts, low * 8), bisect_left(cuts, (high + 1) * 8)
+        # The strongest, and of equals the last.
+        best = max(cuts[k:j], key=lambda c: (c & 7, c), default=None)
+        end = high if best is None else best >> 3
         out.append((at, end))
         at = end - overlap
-        while k and cuts[k - 1][0] >= at:
-            k -= 1
     out.append((at, length))
     return out
 
@@ -137,9 +141,9 @@ def boundary_table(ranges: DataFrame, keys: list[str], size: int = RANGE) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [boundaries(b, int(lo), int(r) * size, (int(r) + 1) * size) for b, lo, r in zip(pdf["body"], pdf["lo"], pdf["r"])]
-            yield pdf.drop(columns=["body", "lo"]).assign(cuts=[[{"at": a, "strength": s} for a, s in f] for f in found])
+            yield pdf.drop(columns=["body", "lo"]).assign(cuts=[np.array(f, dtype=np.int64) for f in found])
 
-    return ranges.mapInPandas(run, schema + ", cuts array<struct<at:long,strength:int>>")
+    return ranges.mapInPandas(run, schema + ", cuts array<long>")
 
 
 def piece_table(table: DataFrame, keys: list[str], size: int = RANGE, segment: int = SEGMENT) -> DataFrame:
@@ -152,7 +156,7 @@ def piece_table(table: DataFrame, keys: list[str], size: int = RANGE, segment: i
     """
     per = max(1, segment // size)
     opens = (F.col("r") % per == 0) & (F.col("r") > 0)
-    best = F.array_max(F.transform("cuts", lambda c: F.struct(c["strength"].alias("s"), (-c["at"]).alias("a"))))
+    best = F.array_max(F.transform("cuts", lambda c: F.struct((c % 8).alias("s"), (-F.shiftright(c, 3)).alias("a"))))
     table = table.withColumn("first", F.when(opens, F.coalesce(-best["a"], F.col("r").cast("long") * size)))
     seg = F.floor(F.col("r") / per).cast("int")
     # The opening range serves its own segment and, as its tail, the one before.
@@ -169,7 +173,7 @@ def piece_table(table: DataFrame, keys: list[str], size: int = RANGE, segment: i
         for pdf in batches:
             out = []
             for *key, most, over, no, first, last, cuts in pdf.itertuples(index=False):
-                inside = [(c["at"], c["strength"]) for c in cuts if first < c["at"] <= last]
+                inside = [int(c) for c in cuts if first < c >> 3 <= last]
                 over = max(0, min(over, most // 2))
                 out += [(*key, no, s, e) for s, e in choose_cuts(last, inside, most, over, first - over if no else first)]
             if out:

