@@ -122,10 +122,10 @@ def section_seed(numbers: DataFrame, sections: DataFrame) -> DataFrame:
 
 def resolve_mentions(mentions: DataFrame, sections: DataFrame) -> DataFrame:
     """``mentions`` (document_id, number, ...) with ``dst``: exact section, else parent."""
-    s = sections.select(F.col("document_id"), F.col("number"), F.col("id"))
-    parent = s.select("document_id", F.col("number").alias("_parent"), F.col("id").alias("_pid"))
+    s = sections.select("document_id", "number", F.col("id").alias("_sid"))
+    parent = s.select("document_id", F.col("number").alias("_parent"), F.col("_sid").alias("_pid"))
     m = mentions.join(s, ["document_id", "number"], "left").withColumn("_parent", F.substring_index("number", "(", 1))
-    return m.join(parent, ["document_id", "_parent"], "left").withColumn("dst", F.coalesce("id", "_pid")).drop("id", "_pid", "_parent")
+    return m.join(parent, ["document_id", "_parent"], "left").withColumn("dst", F.coalesce("_sid", "_pid")).drop("_sid", "_pid", "_parent")
 
 
 def ordered_dfs(starts: DataFrame, edges: DataFrame, keep: DataFrame, max_depth: int = 3, max_nodes: int = 25) -> DataFrame:

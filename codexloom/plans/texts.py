@@ -63,9 +63,9 @@ _SEC = "WITH sec AS (SELECT DISTINCT id, document_id, level, pos, text FROM sect
 _TOP = """WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS id, c.label, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 10) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)"""
 ORACLE = {
-    "chunk_sections": _SEC + ", k AS (SELECT id, w, unnest(range(0, len(w), 512)) AS at FROM w WHERE len(w) > 0) SELECT CASE WHEN len(w) > 512 THEN id || '::p' || CAST(at / 512 AS BIGINT) ELSE id END AS id, id AS section_id, array_to_string(w[at + 1:at + 512], ' ') AS text FROM k",
+    "chunk_sections": _SEC + ", k AS (SELECT id, w, unnest(range(0, len(w), 512)) AS a0 FROM w WHERE len(w) > 0) SELECT CASE WHEN len(w) > 512 THEN id || '::p' || CAST(a0 / 512 AS BIGINT) ELSE id END AS id, id AS section_id, array_to_string(w[a0 + 1:a0 + 512], ' ') AS text FROM k",
     "chunk_fixed": _SEC + """, d AS (SELECT document_id, flatten(list(w ORDER BY pos, id)) AS w, flatten(list(list_transform(w, lambda x: id) ORDER BY pos, id)) AS s FROM w WHERE len(w) > 0 GROUP BY document_id),
-k AS (SELECT *, unnest(range(0, greatest(len(w) - 256, 1), 256)) AS at FROM d) SELECT document_id || '::chunk' || CAST(at / 256 AS BIGINT) AS id, document_id, s[at + 1] AS section_id, array_to_string(w[at + 1:at + 512], ' ') AS text FROM k""",
+k AS (SELECT *, unnest(range(0, greatest(len(w) - 256, 1), 256)) AS a0 FROM d) SELECT document_id || '::chunk' || CAST(a0 / 256 AS BIGINT) AS id, document_id, s[a0 + 1] AS section_id, array_to_string(w[a0 + 1:a0 + 512], ' ') AS text FROM k""",
     "islands_definitions": """WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
 i AS (SELECT *, sum(CASE WHEN starts_with(text, '“') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l WHERE trim(text) <> '')
 SELECT doc_id, CAST(island AS BIGINT) AS island, string_agg(text, chr(10) ORDER BY pos) AS text FROM i WHERE island > 0 GROUP BY doc_id, island""",
