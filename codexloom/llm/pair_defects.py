@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 MAX_SOUND, MAX_FOREIGN = 3000, 800
 DIM = 1 << 14
+_PAIR_ONLY = [DEFECTS.index("copy"), DEFECTS.index("language")]
 EPOCHS, RATE, L2 = 6, 0.5, 1e-6
 
 #: Function words by language, accents removed. Fixed values.
@@ -49,11 +50,12 @@ _DANGLING = frozenset(
 )
 _WORD = re.compile(r"[^\W_]+(?:[.,'’][^\W_]+)*")
 _QUOTE = re.compile(r"“[^”]*”|„[^“]*“|«[^»]*»|\"[^\"]*\"")
+_ENUMERATOR = re.compile(r"\([a-z]{1,4}\)")
 _STANDIN = re.compile(r"(?i)^[\W_]*(?:n/?a|none|null|nil|tbd|tbc|todo|nan|undefined|blank|empty|answer|response|reply|not applicable|no answer|k\.?\s?a\.?|s/?o|\W)*[\W_]*$")
 _STANDIN_SOUND = re.compile(r"(?i)^\W*(?:none|nil)\b.*\w{2,}|^(?:none|nil)\.?$")
 _SENTENCE_END = re.compile(r"[.!?][\"”’')\]]*\s*$")
 _CUT_MARK = re.compile(r"(?:\.\.\.|…|\[(?:truncated|cut|\.\.\.)\]|\[…\])\s*$", re.I)
-_SELF = re.compile(r"(?i)\b(?:i|we|me|us|my|our|ich|wir|je|nous|puedo|podemos|prefiero)\b|\bassistant\b|\bask(?:ed)?\b|\bconsult\w*\b|\bcomment\b|\bguidelines\b")
+_SELF = re.compile(r"\bI(?=['’\s])|(?i:\b(?:we|my|ich|je|nous|puedo|podemos|prefiero|assistant|ask(?:ed)?|consult\w*|comment|guidelines)\b)")
 
 
 def fold(text: str) -> str:
@@ -62,7 +64,8 @@ def fold(text: str) -> str:
 
 def language_scores(text: str) -> np.ndarray:
     """Function words of each language in ``text``, quotations left out."""
-    ws = re.findall(r"[a-z]+", fold(_QUOTE.sub(" ", text)))
+    # Letters of enumerations are no words.
+    ws = re.findall(r"[a-z]+", _ENUMERATOR.sub(" ", fold(_QUOTE.sub(" ", text))))
     out = np.zeros(len(_LANGS))
     for w in ws:
         own = [i for i, k in enumerate(_LANGS) if w in _FW[k]]
@@ -278,16 +281,22 @@ def synthetic(sound: list[tuple[str, str]], foreign: list[tuple[str, str]], seed
             if cut := _truncate(rng, a):
                 out.append((q, cut, "truncated"))
         core = rng.choice(_CORE).format(**v) + rng.choice(_JOIN).format(**v)
-        lead = rng.choice(_LEAD)
+        lead = rng.choice(_LEAD) if rng.random() < 0.75 else ""
         if not lead or lead.endswith(". "):
             core = core[0].upper() + core[1:]
         out.append((q, (lead + core + "." + rng.choice(_TAIL)) if ql in ("en", "it", "pt") else rng.choice(_FOREIGN_REFUSALS.get(ql, _FOREIGN_REFUSALS["de"])).format(**v), "refusal"))
+        if rng.random() < 0.3:
+            short = rng.choice([c for c in _CORE if len(c) < 30]).format(**v)
+            out.append((q, short[0].upper() + short[1:] + ".", "refusal"))
         if rng.random() < 0.15:
             out.append((q, rng.choice(_FOREIGN_REFUSALS[rng.choice(list(_FOREIGN_REFUSALS))]).format(**v), "refusal"))
         out.append((q, _copy(rng, q), "copy"))
         others = [k for k in by_lang if k != ql and by_lang[k]]
         if others:
             out.append((q, rng.choice(by_lang[rng.choice(others)]), "language"))
+        if ql != "en" and by_lang.get("en"):
+            # English is the commonest answer to a question in another language.
+            out += [(q, rng.choice(by_lang["en"]), "language") for _ in range(4)]
         further = [k for k in _FURTHER if k != ql]
         out.append((q, " ".join(fold_some(rng, t.format(**v)) for t in rng.sample(_FURTHER[rng.choice(further)], rng.choice((1, 1, 2)))), "language"))
         # A sound answer stays sound with a further sound sentence after it.
@@ -327,6 +336,8 @@ def train(pairs: list[tuple[str, str, str | None]], seed: int = 5) -> Model:
             g = np.zeros_like(w)
             np.add.at(g, slots, err[owner] * scale[owner][:, None])
             g += L2 * w
+            # Copying and language are properties of the pair, not of the answer's words.
+            g[:, _PAIR_ONLY] = 0
             gdn = np.array([feats[i][1] for i in rows]).T @ err
             gw += g * g
             gd += gdn * gdn
