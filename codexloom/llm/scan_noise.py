@@ -20,6 +20,7 @@ What ``source`` says plays no part.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -66,13 +67,14 @@ class Corpus:
         self._fixes: dict[str, str | None] = {}
         self._whole: dict[str, str | None] = {}
         self.top = max((c for c, _ in self.words.values()), default=0)
-        self._likes = {_canon(w) for w, (_, share) in self.words.items() if share >= COMMON}
+        self._likes = {_canon(w.rstrip("-")) for w, (_, share) in self.words.items() if share >= COMMON}
 
     def count(self, w: str) -> int:
-        return self.words.get(w, (0, 0.0))[0]
+        """Of the word, or of its suspended form (short- and long-term)."""
+        return (self.words.get(w) or self.words.get(w + "-") or (0, 0.0))[0]
 
     def common(self, w: str) -> bool:
-        return self.words.get(w, (0, 0.0))[1] >= COMMON
+        return (self.words.get(w) or self.words.get(w + "-") or (0, 0.0))[1] >= COMMON
 
     def corrected(self, word: str) -> str | None:
         """The corrected form of a word with its suffix or compound parts, or None."""
@@ -197,6 +199,22 @@ class Finding:
     repaired: str
 
 
+def _page_numbers(bare: list[str]) -> set[str]:
+    """Bare numbers that are pages even among a table's cells.
+
+    Roman ones of two letters or more are, and so are numbers below 1000 of one length
+    that count up by one, and numbers of a length that few of the table's have.
+    """
+    out = {x for x in bare if not x.isdigit() and len(x) > 1}
+    numbers = [x for x in bare if x.isdigit()]
+    for width, n in Counter(map(len, numbers)).items():
+        own = [int(x) for x in numbers if len(x) == width]
+        steps = sum(b == a + 1 for a, b in zip(own, own[1:]))
+        if (width < 4 and n > 2 and steps >= 0.8 * (n - 1)) or (len(numbers) > 5 and n <= 0.1 * len(numbers)):
+            out |= {x for x in numbers if len(x) == width}
+    return out
+
+
 def _line_kinds(lines: list[str], corpus: Corpus) -> list[list[tuple[str, str]]]:
     """For each line its parts as (kind, text); kind is '', 'header' or 'pageno'."""
     solid = [i for i, x in enumerate(lines) if x.strip()]
@@ -207,6 +225,7 @@ def _line_kinds(lines: list[str], corpus: Corpus) -> list[list[tuple[str, str]]]
         return running_form(part) and not corpus.lines.isdisjoint(fuzzy(part, corpus))
 
     marks = {}
+    apart = _page_numbers([x for i in solid if len(lines[i]) < 20 and _BARE_PAGE.match(x := lines[i].strip())])
     for i in solid:
         # Nothing that runs at a page's edge is longer than this, or ends like a sentence.
         if len(lines[i]) > 200 or lines[i].rstrip()[-1] in ".;:,":
@@ -226,7 +245,7 @@ def _line_kinds(lines: list[str], corpus: Corpus) -> list[list[tuple[str, str]]]
             around = [j for j in near[i] if j is not None]
             prose = [j for j in around if (not _CELL.match(lines[j].strip()) and len(_LETTERS.findall(lines[j])) >= 3) or any(k in ("header", "pageno") for k in marks[j])]
             cells = [j for j in around if _CELL.match(lines[j].strip()) and not any(k == "pageno" for k in marks[j])]
-            kinds = ["pageno"] if prose and not cells else [""]
+            kinds = ["pageno"] if (prose and not cells) or lines[i].strip() in apart else [""]
         elif kinds == ["header"]:
             # Alone, a heading line is a header only if the text runs on across it.
             p, n = near[i]

@@ -29,6 +29,7 @@ def test_repair(corpus):
     [
         (TEXT, set()), ("Each short-\nand long-term debt schedule is kept with care.", set()), ("Any non-\nrecurring charge of the Lender is paid.", set()),
         ("The charge of the Lender is paid in the full:\n2024\n$821,492,673\n3.50 to 1.00\n2025\n$1,000", set()),
+        ("The charge of the Lender is paid in the full:\n" + "2024\n$821,492\n" * 12 + "67\n" + "2025\n$1,000\n" * 3, {"pageno"}),
         ("The margin of the Lender is\n[17]\npaid in full at that time.", {"pageno"}), ("The margin of the Lender is\nxxiv\npaid in full at that time.", {"pageno"}),
         ("The 1st and 2nd charge of v2 and Zubokari is paid in full.", set()), ("Each Lencler is paid.", {"misread"}), ("", set()), (None, set()), ("\n \n", set()), ("12", set()),
     ],
