@@ -94,7 +94,9 @@ def skew_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "
             cond = cond & df[k].eqNullSafe(h[f"_h_{k}"])
         return df.join(F.broadcast(h), cond, "left").withColumn(salt, F.when(F.col(n), salts)).drop(n, *[f"_h_{k}" for k in on])
 
-    left = marked(big, (F.rand(7) * SALTS).cast("int")).withColumn(salt, F.coalesce(salt, F.lit(0)))
+    # Hashed and not random: a task that is run again must salt its rows as before.
+    row = F.xxhash64(*[c for c, t in big.dtypes if "map<" not in t and "variant" not in t])
+    left = marked(big, F.pmod(row, F.lit(SALTS)).cast("int")).withColumn(salt, F.coalesce(salt, F.lit(0)))
     right = marked(lookup, F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<int>"))
     right = right.withColumn(salt, F.explode(F.coalesce(salt, F.array(F.lit(0)))))
     right = right.select(*[F.col(c).alias(f"_r_{c}") if c in {*on, salt} else F.col(c) for c in right.columns])
