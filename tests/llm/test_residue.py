@@ -35,3 +35,12 @@ def test_rows(spark):
     got = {(r.doc_id, r.kind) for r in residue(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()}
     assert got == {(1, "error"), (4, "placeholder"), (None, "placeholder")}
     assert residue(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+UNMARKED = ["Effective as of DD/MM/YYYY.", "Dated MM/DD/20XX", "[*]", "[...]", "[ ● ]", "[ Fill in name ]", "foo bar baz qux", "Uncaught exception: core dumped", "Segmentation fault", "NullPointerException: null", "ValueError: x", "Bad request", "The file no longer exists.", "Consectetur adipiscing elit sed do eiusmod"]
+
+
+def test_rows_keep_all_that_diagnose_flags(spark):
+    assert all(diagnose(t) for t in UNMARKED)
+    got = residue(spark.createDataFrame(list(enumerate(UNMARKED)), "doc_id long, text string"))
+    assert {r.doc_id: r.kind for r in got.collect()} == {i: diagnose(t) for i, t in enumerate(UNMARKED)}
