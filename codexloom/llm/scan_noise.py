@@ -1,12 +1,15 @@
 """Noise of scanned pages: broken words, misread words, running headers, page numbers.
 
-The corpus gives two tables, both bounded by a share of what it holds:
+The corpus gives two tables; what is broadcast of them is bounded by a share:
 
 * its vocabulary, the words and compounds that make up at least WORD_SHARE of all words
   (so at most 1 / WORD_SHARE of them), each with its count and the share of filings that
   use it;
 * its running lines, short unpunctuated lines whose fuzzy form (digits masked, look-alike
-  letters merged, names masked) makes up LINE_SHARE of such lines in LINE_REPEATS places.
+  letters merged, names masked) stands LINE_REPEATS times in one filing or in LINE_REPEATS
+  sections of the corpus. Each filing's own are joined to its sections; only for sections
+  of filings that were not learned from, the forms that also make up LINE_SHARE of all are
+  broadcast.
 
 A section is then read line by line. Page numbers and running lines that stand between
 lines of prose are removed, words broken by a hyphen at a line's end are joined by the
@@ -28,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexloom.runtime import cut_lineage, skew_join
+
 WORD_SHARE, LINE_SHARE, LINE_REPEATS = 5e-6, 1e-5, 3
 #: A word is common when this share of filings uses it; names are not.
 COMMON = 0.04
@@ -58,10 +63,14 @@ _INLINE_PAGE = re.compile(r"(?<=\s)(?:- \d{1,4} -|\[\d{1,4}\]|\d{1,4} \| P a g e
 
 @dataclass
 class Corpus:
-    """The vocabulary (count, share of filings) and the running lines' fuzzy forms."""
+    """The vocabulary (count, share of filings) and the running lines' fuzzy forms.
+
+    ``own`` has (d, own): the forms of all running lines of each filing learned from.
+    """
 
     words: dict = field(default_factory=dict)
     lines: frozenset = frozenset()
+    own: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self._fixes: dict[str, str | None] = {}
@@ -215,14 +224,14 @@ def _page_numbers(bare: list[str]) -> set[str]:
     return out
 
 
-def _line_kinds(lines: list[str], corpus: Corpus) -> list[list[tuple[str, str]]]:
+def _line_kinds(lines: list[str], corpus: Corpus, running: frozenset | set) -> list[list[tuple[str, str]]]:
     """For each line its parts as (kind, text); kind is '', 'header' or 'pageno'."""
     solid = [i for i, x in enumerate(lines) if x.strip()]
     out: list[list[tuple[str, str]]] = [[] for _ in lines]
     near = {i: (solid[k - 1] if k else None, solid[k + 1] if k + 1 < len(solid) else None) for k, i in enumerate(solid)}
 
     def header(part: str) -> bool:
-        return running_form(part) and not corpus.lines.isdisjoint(fuzzy(part, corpus))
+        return running_form(part) and not running.isdisjoint(fuzzy(part, corpus))
 
     marks = {}
     apart = _page_numbers([x for i in solid if len(lines[i]) < 20 and _BARE_PAGE.match(x := lines[i].strip())])
@@ -274,12 +283,15 @@ def _joins(a: str, hyphen: str, b: str, corpus: Corpus) -> bool:
     return not (corpus.common(la) and corpus.common(lb))
 
 
-def read(text: str | None, corpus: Corpus) -> tuple[list[Finding], str]:
-    """The findings in a section's ``text``, and the text repaired into paragraphs."""
+def read(text: str | None, corpus: Corpus, own: set | None = None) -> tuple[list[Finding], str]:
+    """The findings in a section's ``text``, and the text repaired into paragraphs.
+
+    ``own`` are the forms of its filing's running lines, the corpus's if None.
+    """
     if not text or text.isspace():
         return [], text or ""
     lines = text.split("\n")
-    kinds = _line_kinds(lines, corpus) if len(lines) > 1 else [[("", text)]]
+    kinds = _line_kinds(lines, corpus, corpus.lines if own is None else own) if len(lines) > 1 else [[("", text)]]
     found: list[Finding] = []
     flat: list[str] = []
     where: list[tuple[int, str, int]] = []  # noise lines: position in flat, kind, words
@@ -404,7 +416,10 @@ _TOKEN = r"[a-z]+(?:-[a-z]+)*-?"
 
 
 def learn(sections: DataFrame, id_col: str = "id", text_col: str = "text", doc_col: str = "document_id", word_share: float = WORD_SHARE, line_share: float = LINE_SHARE, repeats: int = LINE_REPEATS) -> Corpus:
-    """Vocabulary and running lines of all ``sections``; both reach the driver bounded."""
+    """Vocabulary and running lines of all ``sections``; what reaches the driver is bounded.
+
+    Running lines are counted once for each section id, however often it is delivered.
+    """
     rows = sections.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.coalesce(F.col(doc_col), F.lit("")).alias("d"))
     # Words at a line's end may be halves; a hyphen inside a line is the word's own.
     inner = F.regexp_replace(F.lower("t"), rf"[a-z]{{1,40}}[{_HYPHENS}][ \t]*\n", "\n")
@@ -419,25 +434,31 @@ def learn(sections: DataFrame, id_col: str = "id", text_col: str = "text", doc_c
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text in pdf["t"]:
+            for d, i, text in zip(pdf["d"], pdf["i"], pdf["t"]):
                 # Only a line beside other lines can run at a page's edge.
-                seen = {f for x in (text.split("\n") if "\n" in text else ()) for p in _split_line(x) if running_form(p) for f in fuzzy(p, corpus)}
-                out += list(seen)
+                seen = Counter(f for x in (text.split("\n") if "\n" in text else ()) for p in _split_line(x) if running_form(p) for f in fuzzy(p, corpus))
+                out += [(d, i, f, n) for f, n in seen.items()]
             if out:
-                yield pd.DataFrame({"f": pd.Series(out, dtype=object)})
+                yield pd.DataFrame(out, columns=["d", "i", "f", "n"])
 
-    counts = rows.select("t").mapInPandas(forms, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    every = counts.agg(F.sum("n").alias("all"))
-    lines = counts.crossJoin(F.broadcast(every)).where((F.col("n") >= repeats) & (F.col("n") >= line_share * F.col("all"))).select("f")
-    return Corpus(table, frozenset(r.f for r in lines.collect()))
+    named = rows.select("d", F.coalesce(F.col("i").cast("string"), F.xxhash64("t").cast("string")).alias("i"), "t")
+    once = named.mapInPandas(forms, "d string, i string, f string, n long").groupBy("d", "i", "f").agg(F.max("n").alias("n"))
+    counts = cut_lineage(once.groupBy("d", "f").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("s")))
+    wide = counts.groupBy("f").agg(F.sum("s").alias("s")).where(F.col("s") >= repeats)
+    every = counts.agg(F.sum("s").alias("all"))
+    lines = wide.crossJoin(F.broadcast(every)).where(F.col("s") >= line_share * F.col("all")).select("f")
+    own = counts.join(wide.select("f", F.lit(True).alias("wide")), "f", "left").where(F.col("wide") | (F.col("n") >= repeats))
+    return Corpus(table, frozenset(r.f for r in lines.collect()), own.groupBy("d").agg(F.collect_set("f").alias("own")))
 
 
 _FOUND = "array<struct<kind:string,before:string,item:string,after:string,repaired:string>>"
 
 
-def read_sections(sections: DataFrame, corpus: Corpus, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def read_sections(sections: DataFrame, corpus: Corpus, id_col: str = "id", text_col: str = "text", doc_col: str = "document_id") -> DataFrame:
     """(id, findings, repaired) for every row of ``sections``.
 
+    A section of a filing that ``corpus`` was learned from has that filing's running lines.
+
     Null, empty and blank texts have no findings and come back as they are (null as
     empty). Rows with null ids are read too; repeated rows give repeated results.
     """
@@ -446,12 +467,14 @@ def read_sections(sections: DataFrame, corpus: Corpus, id_col: str = "id", text_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Corpus(*shared.value)
         for pdf in batches:
-            got = [read(t, own) for t in pdf["t"]]
+            got = [read(t, own, None if o is None else set(o)) for t, o in zip(pdf["t"], pdf["own"])]
             if not got:
                 continue
             yield pd.DataFrame({"id": pdf["i"], "findings": [[vars(f) for f in fs] for fs, _ in got], "repaired": [r for _, r in got]})
 
-    return sections.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"id string, findings {_FOUND}, repaired string")
+    rows = sections.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.coalesce(F.col(doc_col), F.lit("")).alias("d"))
+    joined = rows.withColumn("own", F.lit(None).cast("array<string>")) if corpus.own is None else skew_join(rows, corpus.own, ["d"], "left")
+    return joined.select("i", "t", "own").mapInPandas(run, f"id string, findings {_FOUND}, repaired string")
 
 
 def read_chunks(chunks: DataFrame, read_rows: DataFrame, corpus: Corpus, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -60,3 +60,25 @@ def test_no_rows(spark):
     empty = spark.createDataFrame([], S)
     corpus = sn.learn(empty)
     assert sn.read_sections(empty, corpus).count() == 0
+
+
+def found_headers(corpus, sections):
+    return {r.id: [f.item for f in r.findings if f.kind == "header"] for r in sn.read_sections(sections, corpus).collect()}
+
+
+def test_a_filings_own_running_line_in_one_section(spark):
+    long = "\n".join(["The Borrower shall deliver the\nZUBOKARI CINEMAS CONFORMED COPY\nmargin to each Lender."] * 4)
+    rows = [("a", long, "d", "ocr"), ("b", long.replace("ZUBOKARI", "NOLIMAR").replace("CONFORMED COPY", "EXECUTION VERSION", 2), "e", "ocr")]
+    df = spark.createDataFrame(rows, S)
+    got = found_headers(sn.learn(df), df)
+    assert len(got["a"]) == 4 and got["b"] == []
+    # A section that is delivered three times repeats nothing.
+    few = spark.createDataFrame([("c", "The Borrower shall deliver the\nZUBOKARI CINEMAS COPY\nmargin to each Lender.", "d", "ocr")] * 3, S)
+    assert found_headers(sn.learn(few), few) == {"c": []}
+
+
+def test_a_running_line_is_found_however_large_the_corpus(spark):
+    own = [(f"s{i}", "The Borrower shall deliver the\nZUBOKARI CINEMAS CONFORMED COPY\nmargin to each Lender.", "d", "ocr") for i in range(3)]
+    df = spark.createDataFrame(own + [(f"x{i}", f"Any charge of the\nQ{chr(97 + i // 26)}{chr(97 + i % 26)}KRUVO HOLDINGS LEASE\nLender is paid.", f"x{i}", "ocr") for i in range(60)], S)
+    got = found_headers(sn.learn(df, line_share=0.2), df)
+    assert all(len(got[f"s{i}"]) == 1 for i in range(3))
