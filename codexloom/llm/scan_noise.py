@@ -7,7 +7,8 @@ The corpus gives two tables; what is broadcast of them is bounded by a share:
   use it;
 * its running lines, short unpunctuated lines whose fuzzy form (digits masked, look-alike
   letters merged, names masked) stands LINE_REPEATS times in one filing or in LINE_REPEATS
-  sections of the corpus. Each filing's own are joined to its sections; only for sections
+  sections of the corpus, at least EDGE_SHARE of them at a page's edge: beside a page
+  number, or across a word or sentence that goes on after them. Each filing's own are joined to its sections; only for sections
   of filings that were not learned from, the forms that also make up LINE_SHARE of all are
   broadcast.
 
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from codexloom.runtime import cut_lineage, skew_join
 
 WORD_SHARE, LINE_SHARE, LINE_REPEATS = 5e-6, 1e-5, 3
+#: A page may also end with a sentence, so not every edge can be told.
+EDGE_SHARE = 0.25
 #: A word is common when this share of filings uses it; names are not.
 COMMON = 0.04
 #: A correction must be so many times as frequent as the word it replaces.
@@ -197,6 +200,36 @@ def _split_line(line: str) -> list[str]:
     return [p for p in _GAP.split(line) if p]
 
 
+def candidates(text: str) -> Iterator[tuple[str, bool]]:
+    """Lines of ``text`` that can run, and whether each certainly stands at a page's edge."""
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    # Only a line beside other lines can run at a page's edge.
+    if len(lines) < 2:
+        return
+    split = [_split_line(x) for x in lines]
+    marked = [any(_MARKED_PAGE.match(p) for p in ps) for ps in split]
+    running = [all(_MARKED_PAGE.match(p) or _BARE_PAGE.match(p) or running_form(p) for p in ps) for ps in split]
+    i = 0
+    while i < len(lines):
+        if not running[i]:
+            yield from ((p, False) for p in split[i] if running_form(p))
+            i += 1
+            continue
+        # Lines that can run and page numbers stand together between two lines of text.
+        j = i
+        while j < len(lines) and running[j]:
+            j += 1
+        edge = any(marked[i:j])
+        if not edge and i and j < len(lines):
+            before, after = lines[i - 1], lines[j]
+            if not _CELL.match(before) and not _CELL.match(after):
+                broken = before[-1] not in ".;:!?" and len(_LETTERS.findall(before)) >= 3
+                goes_on = after[0].islower() or (len(before) >= 40 and not _ENUMERATED.match(after))
+                edge = (broken and goes_on) or (before[-1] in _HYPHENS and after[0].isalpha()) or any(_BARE_PAGE.match(p) for ps in split[i:j] for p in ps)
+        yield from ((p, edge) for ps in split[i:j] for p in ps if running_form(p))
+        i = j
+
+
 @dataclass
 class Finding:
     """Noise as it stands in the text: kind, the words before, its own, and those after."""
@@ -256,7 +289,7 @@ def _line_kinds(lines: list[str], corpus: Corpus, running: frozenset | set) -> l
             cells = [j for j in around if _CELL.match(lines[j].strip()) and not any(k == "pageno" for k in marks[j])]
             kinds = ["pageno"] if (prose and not cells) or lines[i].strip() in apart else [""]
         elif kinds == ["header"]:
-            # Alone, a heading line is a header only if the text runs on across it.
+            # A section's sole line is its text; edges were tested where forms were counted.
             p, n = near[i]
             if p is None and n is None:
                 kinds = [""]
@@ -435,19 +468,23 @@ def learn(sections: DataFrame, id_col: str = "id", text_col: str = "text", doc_c
         for pdf in batches:
             out = []
             for d, i, text in zip(pdf["d"], pdf["i"], pdf["t"]):
-                # Only a line beside other lines can run at a page's edge.
-                seen = Counter(f for x in (text.split("\n") if "\n" in text else ()) for p in _split_line(x) if running_form(p) for f in fuzzy(p, corpus))
-                out += [(d, i, f, n) for f, n in seen.items()]
+                seen, edges = Counter(), Counter()
+                for line, edge in candidates(text):
+                    for f in fuzzy(line, corpus):
+                        seen[f] += 1
+                        edges[f] += edge
+                out += [(d, i, f, n, edges[f]) for f, n in seen.items()]
             if out:
-                yield pd.DataFrame(out, columns=["d", "i", "f", "n"])
+                yield pd.DataFrame(out, columns=["d", "i", "f", "n", "e"])
 
     named = rows.select("d", F.coalesce(F.col("i").cast("string"), F.xxhash64("t").cast("string")).alias("i"), "t")
-    once = named.mapInPandas(forms, "d string, i string, f string, n long").groupBy("d", "i", "f").agg(F.max("n").alias("n"))
-    counts = cut_lineage(once.groupBy("d", "f").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("s")))
-    wide = counts.groupBy("f").agg(F.sum("s").alias("s")).where(F.col("s") >= repeats)
+    once = named.mapInPandas(forms, "d string, i string, f string, n long, e long").groupBy("d", "i", "f").agg(F.max("n").alias("n"), F.max("e").alias("e"))
+    counts = cut_lineage(once.groupBy("d", "f").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("s")))
+    at_edges = F.col("e") >= EDGE_SHARE * F.col("n")
+    wide = counts.groupBy("f").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("e").alias("e")).where((F.col("s") >= repeats) & at_edges).select("f", "s")
     every = counts.agg(F.sum("s").alias("all"))
     lines = wide.crossJoin(F.broadcast(every)).where(F.col("s") >= line_share * F.col("all")).select("f")
-    own = counts.join(wide.select("f", F.lit(True).alias("wide")), "f", "left").where(F.col("wide") | (F.col("n") >= repeats))
+    own = counts.join(wide.select("f", F.lit(True).alias("wide")), "f", "left").where(F.col("wide") | ((F.col("n") >= repeats) & at_edges))
     return Corpus(table, frozenset(r.f for r in lines.collect()), own.groupBy("d").agg(F.collect_set("f").alias("own")))
 
 

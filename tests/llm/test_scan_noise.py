@@ -82,3 +82,10 @@ def test_a_running_line_is_found_however_large_the_corpus(spark):
     df = spark.createDataFrame(own + [(f"x{i}", f"Any charge of the\nQ{chr(97 + i // 26)}{chr(97 + i % 26)}KRUVO HOLDINGS LEASE\nLender is paid.", f"x{i}", "ocr") for i in range(60)], S)
     got = found_headers(sn.learn(df, line_share=0.2), df)
     assert all(len(got[f"s{i}"]) == 1 for i in range(3))
+
+
+def test_a_recurring_sub_heading_is_no_header(spark):
+    rows = [(f"s{i}", f"Any charge of the Lender is paid.\nMandatory Lender Charge\nThe Borrower shall deliver the\nMARGIN FOODS COPY\nmargin to each Lender.\nCHARGE {i} TIME\n- {i} -\nThe charge remains.", f"d{i}", "ocr") for i in range(4)]
+    df = spark.createDataFrame(rows, S)
+    got = found_headers(sn.learn(df), df)
+    assert got == {f"s{i}": ["MARGIN FOODS COPY", f"CHARGE {i} TIME"] for i in range(4)}
