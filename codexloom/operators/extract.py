@@ -56,17 +56,20 @@ def exceptions(sections: DataFrame) -> DataFrame:
     return kids.join(p, ["document_id", "_n"]).select("src", "dst", "evidence")
 
 
-def term_mentions(texts: DataFrame, terms: DataFrame, longest: int = 6) -> DataFrame:
+def term_mentions(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, term): defined terms that each text mentions, longer terms masking shorter.
 
-    ``texts`` (key, scope, text), ``terms`` (scope, term). Every run of up to ``longest``
-    words is joined to the terms of its scope, instead of each text being searched for
-    each term. Of the hits, leftmost and then longest win, and none overlaps another.
+    ``texts`` (key, scope, text), ``terms`` (scope, term). Every run of as many
+    words as some term of its scope has is joined to those terms, instead of each text
+    being searched for each term. Of the hits, leftmost and then longest win, and none overlaps another.
     """
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}'’-]+"), F.lit(0))
     t = texts.where("text IS NOT NULL").select("key", "scope", words.alias("w")).where(F.size("w") > 0)
-    runs = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - 1))).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("i")))))
-    named = terms.select("scope", "term", F.array_join(F.regexp_extract_all("term", F.lit(r"[\p{L}\p{N}'’-]+"), F.lit(0)), " ").alias("run")).where("run != ''").distinct()
+    run = F.regexp_extract_all("term", F.lit(r"[\p{L}\p{N}'’-]+"), F.lit(0))
+    named = terms.select("scope", "term", F.array_join(run, " ").alias("run"), F.size(run).alias("n")).where("run != ''").distinct()
+    lengths = named.groupBy("scope").agg(F.collect_set("n").alias("lengths"))
+    runs = t.join(lengths, "scope").withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - 1))).withColumn("n", F.explode("lengths")).where(F.col("i") + F.col("n") <= F.size("w"))
+    named = named.drop("n")
     hits = runs.select("key", "scope", "i", "n", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("run")).join(named, ["scope", "run"])
     per = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("n"), "term"))).alias("h"))
     first = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))

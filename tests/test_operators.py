@@ -185,3 +185,10 @@ def test_measures(spark):
     assert tuple(metrics.percentiles(p, "v", ["g"]).first()) == ("g", 20, 11.0, 20.0)
     r = spark.createDataFrame([(["7.05(a)", "9"], ["7.05", "8"])], "g array<string>, c array<string>").select(*metrics.hierarchical(F.col("g"), F.col("c")))
     assert tuple(r.first()) == (0.5, 0.5)
+
+
+def test_terms_of_many_words_are_found_and_mask_shorter_ones(spark):
+    long = "Fixed Charge Coverage Ratio Testing Period Start Date"
+    terms = spark.createDataFrame([("d", long), ("d", "Coverage Ratio"), ("e", "Loan")], "scope string, term string")
+    t = spark.createDataFrame([("k", "d", f"From the {long} on each Loan."), ("m", "d", "a Coverage Ratio"), ("n", "e", "any Loan")], "key string, scope string, text string")
+    assert {(r.key, r.term) for r in extract.term_mentions(t, terms).collect()} == {("k", long), ("m", "Coverage Ratio"), ("n", "Loan")}
