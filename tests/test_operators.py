@@ -192,3 +192,18 @@ def test_terms_of_many_words_are_found_and_mask_shorter_ones(spark):
     terms = spark.createDataFrame([("d", long), ("d", "Coverage Ratio"), ("e", "Loan")], "scope string, term string")
     t = spark.createDataFrame([("k", "d", f"From the {long} on each Loan."), ("m", "d", "a Coverage Ratio"), ("n", "e", "any Loan")], "key string, scope string, text string")
     assert {(r.key, r.term) for r in extract.term_mentions(t, terms).collect()} == {("k", long), ("m", "Coverage Ratio"), ("n", "Loan")}
+
+
+def test_similar_pairs_are_all_pairs_whatever_the_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 32))
+    m = np.concatenate([base + 0.27 * rng.normal(size=base.shape) for _ in range(12)])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(0, m[0].tolist()), (999, None)], "vec_id long, embedding array<double>")
+    s = m @ m.T
+    want = {(i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if s[i, j] >= 0.92}
+    assert len(want) > 1000
+    for block in (64, 2048):
+        got = [(r.a, r.b) for r in vectors.similar_pairs(df, 0.92, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert vectors.similar_pairs(df.where("false"), 0.92).count() == 0
