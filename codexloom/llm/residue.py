@@ -7,8 +7,8 @@ Placeholders follow delimiter-specific grammars: a pair of delimiters that templ
 languages use around an identifier, or brackets around an instruction to fill in.
 Brackets that legal prose uses itself ([sic], [Reserved], {the "Obligors"}, [38]) match
 none of them. Placeholders inside code, and in a text that explains templates, are
-discounted by their surroundings: a fenced or indented code block, an inline code span,
-or quotation marks around the placeholder in a sentence that speaks of placeholders.
+discounted by their surroundings: a fenced code block, an indented one that looks like
+code, an inline code span, or quotation marks around the placeholder in a sentence that speaks of placeholders.
 
 The rest of a text is taken apart into sentences. Each is residue (filler, error,
 notice), navigation, a title, or content; one sentence of content clears the text.
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NAME = r"[A-Za-z][\w.\- ]{0,60}"
-#: Grammars by delimiter. Fixed values.
+_FILL_IN = r"(?:please\s+)?(?:insert|enter|fill in|type|add|specify|your)\s+"
+#: Grammars by delimiter; an instruction ends with its bracket, however long it is. Fixed values.
 PLACEHOLDERS = {
     "double_brace": r"\{\{[{%]?\s*[#/>^&!]?\s*[\w.\-| ]{1,80}\s*\}\}",
     "dollar_brace": r"\$\{\s*[\w.\- ]{1,80}\s*\}",
@@ -38,13 +39,17 @@ PLACEHOLDERS = {
     "double_underscore": r"(?<![\w.])__[A-Z][A-Z0-9_ ]*?__(?!\w)",
     "numbered_brace": r"(?<![\\\w])\{\d{1,2}\}",
     "named_brace": r"(?<![\\\w$#{])\{[a-z]+(?:[_.][a-z]+)+\}",
-    "instruction": r"(?i:[\[(<]\s*(?:please\s+)?(?:insert|enter|fill in|type|add|specify|your)\s+[^\])>\n]{1,60}[\])>])",
+    "instruction": r"(?i:(?:\[\s*" + _FILL_IN + r"(?:[^\[\]]|\[[^\[\]]*\])++\]|<\s*" + _FILL_IN + r"[^<>]++>|\(\s*" + _FILL_IN + r"(?:[^()]|\([^()]*\))++\)|[\[(<]\s*" + _FILL_IN + r"[^\])>\n]{1,60}[\])>]))",
     "to_come": r"(?i:[\[<(]\s*(?:[\w ]{0,40}\b)?(?:to come|tbd|tbc|to be (?:confirmed|determined|completed|inserted|supplied|advised)|fill in|placeholder)\s*[\]>)])",
     "bullet": r"\[\s*[●•_*…]+\s*\]|\[\s*\.{2,}\s*\]",
     "masked_date": r"\b(?:XX|DD|MM)/(?:XX|MM|DD)/(?:20XX|XXXX|YYYY|19XX)(?!\w)",
 }
 _PLACEHOLDER = re.compile(r"(?=[{$#<%\[«@_(XDM])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in PLACEHOLDERS.items()) + ")")
-_CODE = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]+`|(?m:^(?: {4}|\t)\S.*$)|<(code|pre)>.*?</\1>", re.S)
+_CODE = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]+`|<(code|pre)>.*?</\1>", re.S)
+_INDENTED = re.compile(r"(?m)(?:^(?: {4}|\t).*\S.*$\n?)+")
+#: What only code says; a clause is indented too. Looked for with the placeholders cut out.
+_CODE_LINE = re.compile(r"""(?mx) </?[a-z][\w-]*(?:\s[^<>]*)?/?> | [{}]\s*$ | \w\([^()\n]*\)\s*;?\s*$ | ^\s*[a-z_][\w.]*\s*(?:=|\+=|:=)\s* | ^\s*(?:def|function|class)\s+\w+\s*[(:{]
+ | ^\s*(?:var|let|const)\s+\w+\s*= | ^\s*(?:import\s+[\w.]+\s*;?$|from\s+[\w.]+\s+import\s|\#include\b|\$\s+\w|SELECT\s.+\sFROM\s) | [=!]=|=>|->|&&|\|\| | ^\s*"?[\w-]+"?:\s*"[^"\n]*",?\s*$""")
 _EXPLAINS = re.compile(r"(?i)\b(placeholders?|template (?:syntax|variable|language|engine)s?|merge fields?|escap\w+|syntax|tutorial|example)\b")
 _QUOTED = re.compile(r"[\"'“‘‹]\s*$")
 
@@ -89,12 +94,18 @@ _NAV_INSIDE = re.compile(r"(?i)home \| \w+ \| \w+ \| \w+|cookies +privacy +terms
 TITLE_WORDS = 10
 
 
+def _is_code(text: str, start: int, block: str) -> bool:
+    """Whether an indented block looks like code, or is shown by a line that speaks of placeholders."""
+    lead = text[max(0, start - 300) : start].rstrip().rsplit("\n", 1)[-1]
+    return bool((lead.endswith(":") and _EXPLAINS.search(lead)) or _CODE_LINE.search(_PLACEHOLDER.sub("", block)))
+
+
 def placeholders(text: str) -> list[str]:
     """Kinds of the unfilled placeholders of ``text``, code and explanations discounted."""
     found, code = [], None
     for m in _PLACEHOLDER.finditer(text):
         if code is None:
-            code = [c.span() for c in _CODE.finditer(text)]
+            code = [c.span() for c in _CODE.finditer(text)] + [c.span() for c in _INDENTED.finditer(text) if _is_code(text, c.start(), c.group())]
         if any(a <= m.start() < b for a, b in code):
             continue
         a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())

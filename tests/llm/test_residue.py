@@ -44,3 +44,17 @@ def test_rows_keep_all_that_diagnose_flags(spark):
     assert all(diagnose(t) for t in UNMARKED)
     got = residue(spark.createDataFrame(list(enumerate(UNMARKED)), "doc_id long, text string"))
     assert {r.doc_id: r.kind for r in got.collect()} == {i: diagnose(t) for i, t in enumerate(UNMARKED)}
+
+
+@pytest.mark.parametrize("text", ["[Insert full legal name and jurisdiction of organization of each Subsidiary Guarantor]", "[insert the name (as in its charter) of each of the\nSubsidiary Guarantors [and its agent] that is party to this agreement]", "The parties agree as follows:\n    By: [Insert name]\n    Title: {{ title }}", "\tthe rate of [specify rate];\n\tthe amount of ${amount}."])
+def test_long_instructions_and_indented_clauses(text):
+    assert diagnose(text) == "placeholder"
+
+
+@pytest.mark.parametrize("text", ["The page is built so, and nothing is missing in it.\n    <p>{{ name }}</p>\n    <b>${x}</b>", "The placeholder syntax of the engine is this, as the manual says:\n\n    Dear {{ name }}", "It then calls this function for every row that it reads.\n    total = rate({{ x }})"])
+def test_indented_code_is_discounted(text):
+    assert placeholders(text) == []
+
+
+def test_open_instructions_take_no_quadratic_time():
+    assert placeholders("[insert a " * 100_000 + "(add b " * 100_000 + "<enter c " * 100_000) == []
