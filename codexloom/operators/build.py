@@ -1,4 +1,7 @@
-"""The legal graph from the domain tables: vertices and all edge types."""
+"""The legal graph from the domain tables: vertices and edges, without Party vertices and PARTY_TO.
+
+References of sections to definitions are made by ``section_terms`` and are not in ``edges``.
+"""
 
 from __future__ import annotations
 
@@ -63,6 +66,14 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.upsert(out)
 
 
+def section_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, dst): operative sections and the definitions of their document whose terms they use."""
+    sec, defs = sections(spark, sf), definitions(spark, sf).select(F.col("document_id").alias("scope"), "term", F.col("id").alias("dst"))
+    own = sec.where("level != 'article' AND NOT startswith(number, '1.01')")
+    used = extract.term_mentions(own.select(F.struct("id", "document_id").alias("key"), F.col("document_id").alias("scope"), "text"), defs.select("scope", "term"))
+    return used.select(F.col("key.id").alias("src"), F.col("key.document_id").alias("scope"), "term").join(defs, ["scope", "term"]).select("src", "dst").distinct()
+
+
 def references(sec: DataFrame) -> DataFrame:
     """(src, dst, seq, evidence) of each mention that resolves to another section."""
     m = extract.mentions(sec).withColumnRenamed("id", "src")

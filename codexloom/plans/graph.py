@@ -42,6 +42,10 @@ def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     return build.edges(spark, sf).select("src", "dst", "edge_key", "edge_type")
 
 
+def graph_section_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return build.section_terms(spark, sf)
+
+
 def graph_schema_counts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.schema_counts(*_graph(spark, sf))
 
@@ -114,7 +118,7 @@ def graph_dfs(spark: SparkSession, sf: str) -> DataFrame:
     return graph.ordered_dfs(q, e, v.where(F.col("node_type").isin(*graph.TEXT_TYPES)).select("id"))
 
 
-QUERIES = {f.__name__: f for f in (graph_contains, graph_mentions, graph_references, graph_exceptions, graph_term_mentions, graph_edges, graph_schema_counts, graph_hops, graph_siblings, graph_dependents, graph_degree_band, graph_amended_nodes, graph_reference_closure, graph_reachable, graph_edge_asserts, graph_dangling, graph_section_seed, graph_dfs)}
+QUERIES = {f.__name__: f for f in (graph_contains, graph_mentions, graph_references, graph_exceptions, graph_term_mentions, graph_section_terms, graph_edges, graph_schema_counts, graph_hops, graph_siblings, graph_dependents, graph_degree_band, graph_amended_nodes, graph_reference_closure, graph_reachable, graph_edge_asserts, graph_dangling, graph_section_seed, graph_dfs)}
 
 #: The graph as common table expressions; each query below starts from them.
 BASE = r"""
@@ -159,6 +163,7 @@ ORACLE = {
     "graph_references": BASE + "SELECT src, dst, arg_max(evidence, k) AS evidence FROM ref GROUP BY src, dst",
     "graph_exceptions": BASE + "SELECT src, dst, evidence FROM exc",
     "graph_term_mentions": BASE + "SELECT DISTINCT key, term FROM occ WHERE hit",
+    "graph_section_terms": BASE + r"SELECT DISTINCT s.id AS src, d.id AS dst FROM sec s JOIN def d ON d.document_id = s.document_id AND s.level <> 'article' AND NOT starts_with(s.number, '1.01') AND regexp_matches(s.text, '(^|[^\w])' || d.term || '($|[^\w])')",
     "graph_edges": BASE + "SELECT src, dst, edge_key, edge_type FROM edge",
     "graph_schema_counts": BASE + "SELECT s.node_type AS src_type, e.edge_type, d.node_type AS dst_type, count(*) AS n FROM edge e JOIN vert s ON s.id = e.src JOIN vert d ON d.id = e.dst GROUP BY ALL",
     "graph_hops": BASE + f", h AS (SELECT DISTINCT node, neighbor FROM {_BOTH} b JOIN vert v ON v.id = b.neighbor AND v.node_type IN ('Section', 'Definition') WHERE edge_type IN ('REFERENCES', 'DEPENDS_ON', 'EXCEPTION_TO')) SELECT * FROM (SELECT node, neighbor, CAST(row_number() OVER (PARTITION BY node ORDER BY neighbor) AS INTEGER) AS rank FROM h) WHERE rank <= 8",
