@@ -31,7 +31,6 @@ RANGE, HALO, SEGMENT = 65_536, 256, 1_048_576
 
 #: Strength of a boundary: paragraph, line, sentence or clause, list opening, part, word.
 PARAGRAPH, LINE, SENTENCE, OPENING, PART, WORD = 6, 5, 4, 3, 2, 1
-WORD_CELL = 16
 _BOUNDARY = re.compile(
     r"(?P<p6>\n[ \t\r]*\n\s*)|(?P<p5>\n[ \t]*)"
     r"|(?P<p4>(?:[.!?][\"”’')\]]{0,3}|;(?: and| or)?)[^\S\n]+(?=\([a-z0-9ivx]{1,4}\)|[A-ZÀ-Þ“\"(\[§])|[。！？])"
@@ -44,10 +43,9 @@ def boundaries(text: str, offset: int, first: int, last: int) -> list[int]:
     """The boundaries of ``text`` in [first, last), each as offset * 8 + strength.
 
     ``text`` starts at ``offset`` of its item. A cut at the offset lies behind the
-    separator, so that a piece keeps it and the next one starts with text. Of the mere
-    blanks between words only the first in every WORD_CELL characters is listed.
+    separator, so that a piece keeps it and the next one starts with text.
     """
-    out, cell = [], -1
+    out = []
     for m in _BOUNDARY.finditer(text):
         at = offset + m.end()
         if not first <= at < last:
@@ -55,10 +53,6 @@ def boundaries(text: str, offset: int, first: int, last: int) -> list[int]:
         strength = int(m.lastgroup[1])
         if strength == 4 and _ABBREVIATION.search(text, max(0, m.start() - 8), m.start() + 1):
             strength = 1
-        if strength == 1:
-            if at // WORD_CELL == cell:
-                continue
-            cell = at // WORD_CELL
         out.append(at * 8 + strength)
     return out
 

@@ -76,3 +76,12 @@ def test_files_by_byte_range(spark, tmp_path):
         assert r.piece_start <= at + 3
         at = r.piece_end
     assert at == len(raw)
+
+
+def test_every_blank_is_a_boundary_and_the_last_that_fits_is_taken():
+    text = "ab " * 40
+    cuts = sp.boundaries(text, 0, 0, len(text))
+    assert [c >> 3 for c in cuts if c & 7 == sp.WORD] == list(range(3, 120, 3))
+    assert sp.choose_cuts(len(text), cuts, 50, 0)[0] == (0, 48)
+    half = len(text) // 2
+    assert sp.boundaries(text[: half + 9], 0, 0, half) + sp.boundaries(text[half - 9 :], half - 9, half, len(text)) == cuts
