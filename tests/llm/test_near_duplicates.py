@@ -1,6 +1,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 
 from codexloom.llm import near_duplicates as nd
@@ -42,6 +43,27 @@ def test_bands_and_sketches_lose_no_pair(spark, monkeypatch, frequent):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("ranked, most, deepest", [(1, 4000, 6), (1 << 16, 5, 6), (1 << 16, 4000, 1)])
+def test_no_bound_on_keys_loses_a_pair(spark, monkeypatch, ranked, most, deepest):
+    monkeypatch.setattr(nd, "RANKED_WORDS", ranked)
+    monkeypatch.setattr(nd, "MOST_KEYS", most)
+    monkeypatch.setattr(nd, "bands", lambda s, t, b=nd.bands: b(s, t, 4, deepest))
+    rows = made(200, seed=7)
+    got = {tuple(r) for r in nd.similar_pairs(spark.createDataFrame(rows, R)).collect()}
+    assert got == brute(rows)
+
+
+def test_sketches_decide_far_from_the_threshold():
+    rng = random.Random(4)
+    sets = {i: rng.sample(range(10**9), 400) for i in range(3)}
+    sets |= {10 + i: sets[i][:396] + rng.sample(range(10**9), 4) for i in range(3)} | {20 + i: sets[i][:250] + rng.sample(range(10**9), 150) for i in range(3)}
+    rows = pd.DataFrame({"class_id": list(sets), "words": [[hash(("w", x)) for x in w] for w in sets.values()]})
+    got = next(nd.odd_sketches(iter([rows]))).set_index("class_id")
+    xor = lambda a, b: sum(bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") for x, y in zip(got.loc[a], got.loc[b]))
+    for i in range(3):
+        assert xor(i, 10 + i) < nd.min_xor() < nd.max_xor() < xor(i, 20 + i)
+
+
 def test_nulls_empties_repeats_and_no_rows(spark):
     rows = [("a", "Same words here"), ("a", "Same words here"), ("b", "here SAME words"), ("c", None), (None, "same words here"), ("d", ""), ("e", "!!!"), ("f", "x " * 50_000 + "unique")]
     got = {tuple(r) for r in nd.similar_pairs(spark.createDataFrame(rows, R)).collect()}
