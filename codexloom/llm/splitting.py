@@ -1,12 +1,13 @@
-"""Splitting oversized items at natural boundaries, by ranges of offsets.
+"""Splitting oversized items at natural boundaries, by ranges of bytes.
 
-An item is never taken apart as a whole. Its text is read in ranges of RANGE characters
-with a halo on both sides; each range lists the boundaries that lie in it, with their
-strength, by offset in the item. The boundary tables are stitched by (item, offset),
-and items longer than SEGMENT are cut at the strongest boundary near each multiple of
-SEGMENT, so that the choice of cuts runs over bounded tables. Prefix sums of the pieces
-per segment number them. Pieces are then cut out of the ranges that hold them, by
-offset.
+A text is read in ranges of RANGE bytes with a halo on both sides, whether it is a table's
+or a file's; no worker needs all of it. Each worker decodes its range, counts the
+characters that begin in it and lists the boundaries that lie in it, with their strength.
+Prefix sums of the ranges' characters turn them into offsets in the item, the boundary
+tables are stitched by (item, range), and items of several SEGMENTs are cut at the strongest
+boundary near the start of each, so that the choice of cuts runs over bounded tables. Prefix
+sums of the pieces per segment number them. Pieces are then cut out of the ranges that hold
+them, by offset. The text of an item of one range never leaves the task that reads it.
 
 Piece i + 1 starts exactly ``overlap`` characters before the end of piece i, so the
 item is the pieces' concatenation without those overlaps. A piece ends at the strongest
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Characters per range, of its halos, and per segment (of several ranges).
-RANGE, HALO, SEGMENT = 65_536, 256, 1_048_576
+from codexloom.runtime import cut_lineage, ship
+
+#: Bytes per range, of its halos, and per segment (of several ranges).
+RANGE, HALO, SEGMENT = 65_536, 1024, 1_048_576
 
 #: Strength of a boundary: paragraph, line, sentence or clause, list opening, part, word.
 PARAGRAPH, LINE, SENTENCE, OPENING, PART, WORD = 6, 5, 4, 3, 2, 1
@@ -50,25 +52,27 @@ def boundaries(text: str, offset: int, first: int, last: int) -> list[int]:
         at = offset + m.end()
         if not first <= at < last:
             continue
-        strength = int(m.lastgroup[1])
-        if strength == 4 and _ABBREVIATION.search(text, max(0, m.start() - 8), m.start() + 1):
-            strength = 1
+        # The groups stand in the pattern from the strongest to the weakest.
+        strength = 7 - m.lastindex
+        if strength == SENTENCE and _ABBREVIATION.search(text, max(0, m.start() - 8), m.start() + 1):
+            strength = WORD
         out.append(at * 8 + strength)
     return out
 
 
-def choose_cuts(length: int, cuts: list[int], max_chars: int, overlap: int, start: int = 0) -> list[tuple[int, int]]:
+def choose_cuts(length: int, cuts: list[int] | np.ndarray, max_chars: int, overlap: int, start: int = 0) -> list[tuple[int, int]]:
     """(start, end) of the pieces of [start, length) given sorted cuts (offset * 8 + strength)."""
     if max_chars < 1:
         raise ValueError("max_chars must be at least 1")
+    cuts = np.asarray(cuts, dtype=np.int64)
+    # The strongest, and of equals the last, is the largest of these.
+    ranked = (cuts & 7) << 58 | cuts >> 3
     overlap = max(0, min(overlap, max_chars // 2))
     out, at = [], start
     while length - at > max_chars:
         low, high = at + max(max_chars // 2, overlap + 1), at + max_chars
-        k, j = bisect_left(cuts, low * 8), bisect_left(cuts, (high + 1) * 8)
-        # The strongest, and of equals the last.
-        best = max(cuts[k:j], key=lambda c: (c & 7, c), default=None)
-        end = high if best is None else best >> 3
+        k, j = np.searchsorted(cuts, (low * 8, (high + 1) * 8))
+        end = high if k == j else int(ranked[k:j].max()) & ((1 << 58) - 1)
         out.append((at, end))
         at = end - overlap
     out.append((at, length))
@@ -88,27 +92,27 @@ def oversized(items: DataFrame, limits: DataFrame, kind: str = "item_kind", sour
     return own.join(F.broadcast(lim), (norm(own[kind]) == F.col("_kind")) & (norm(own[source]) == F.col("_source"))).where(F.length(text) > F.col("max_chars")).drop("_kind", "_source")
 
 
+# ------------------------------------------------------------------ ranges of bytes
 def _ranges(length: Column, size: int) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.floor((length - 1) / size), F.lit(0)).cast("int"))
 
 
 def ranges_of(items: DataFrame, keys: list[str], text: str = "text", size: int = RANGE, halo: int = HALO) -> DataFrame:
-    """One row per range of each item: keys, n, r, and ``body`` with its halos."""
-    rows = items.select(*keys, "max_chars", "overlap_chars", F.length(text).alias("n"), F.col(text).alias("_t"))
-    rows = rows.withColumn("r", F.explode(_ranges(F.col("n"), size)))
-    from_ = F.greatest(F.col("r") * size - halo, F.lit(0))
-    upto = F.least((F.col("r") + 1) * size + halo, F.col("n"))
-    return rows.select(*keys, "max_chars", "overlap_chars", "n", "r", from_.alias("lo"), F.substr("_t", (from_ + 1).cast("int"), (upto - from_).cast("int")).alias("body"))
+    """One row per range of each item's bytes: keys, limits, r, lo, and ``body`` with its halos."""
+    raw = F.col(text).cast("binary")
+    rows = items.select(*keys, "max_chars", "overlap_chars", raw.alias("_t"), F.octet_length(text).alias("n")).withColumn("r", F.explode(_ranges(F.col("n"), size)))
+    lo = F.greatest(F.col("r") * size - halo, F.lit(0))
+    hi = F.least((F.col("r") + 1) * size + halo, F.col("n"))
+    return rows.select(*keys, "max_chars", "overlap_chars", "r", lo.cast("long").alias("lo"), F.substr("_t", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("body"))
 
 
 def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE, halo: int = HALO) -> DataFrame:
-    """(path, r, lo, body) of files that all workers can open, read range by range.
+    """(path, r, lo, body) of files that all workers can open, each row read by itself.
 
-    Offsets are bytes here; the halo of a range covers a character that its edge cuts.
-    Only sizes are looked up on the driver. Bytes travel as
-    latin-1 text, one character each.
+    Only sizes are looked up on the driver. A repeated path counts once.
     """
-    plan = spark.createDataFrame([(p, os.path.getsize(p)) for p in paths], "path string, n long")
+    ship(spark)
+    plan = spark.createDataFrame([(p, os.path.getsize(p)) for p in dict.fromkeys(paths)], "path string, n long")
     plan = plan.withColumn("r", F.explode(_ranges(F.col("n"), size))).repartition("path", "r")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,78 +122,157 @@ def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE, halo:
                 lo, hi = max(0, r * size - halo), min(n, (r + 1) * size + halo)
                 with open(path, "rb") as f:
                     f.seek(lo)
-                    out.append((path, n, r, lo, f.read(hi - lo).decode("latin-1")))
-            yield pd.DataFrame(out, columns=["path", "n", "r", "lo", "body"])
+                    out.append((path, r, lo, f.read(hi - lo)))
+            yield pd.DataFrame(out, columns=["path", "r", "lo", "body"])
+
+    return plan.mapInPandas(run, "path string, r int, lo long, body binary")
+
+
+def decode_range(body: bytes, lo: int, r: int, size: int) -> tuple[str, str, str]:
+    """The halo before, the characters that begin in range ``r``, and the halo after.
+
+    A character belongs to the range that holds its first byte. Bytes that are no UTF-8
+    become replacement characters, one and the same way whenever the range is read.
+    """
+
+    def first_at(i: int) -> int:
+        i = max(0, min(i, len(body)))
+        while i < len(body) and body[i] & 0xC0 == 0x80:
+            i += 1
+        return i
+
+    a, b = first_at(r * size - lo) if r else 0, first_at((r + 1) * size - lo)
+    return body[first_at(0) if r else 0 : a].decode("utf-8", "replace"), body[a:b].decode("utf-8", "replace"), body[b:].decode("utf-8", "ignore")
+
 
-    return plan.mapInPandas(run, "path string, n long, r int, lo long, body string")
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
 def boundary_table(ranges: DataFrame, keys: list[str], size: int = RANGE) -> DataFrame:
-    """The stitched boundaries: (keys, limits, n, r, cuts), offsets within the item.
+    """(keys, limits, r, chars, cuts): characters of each range, and its boundaries from its start.
 
     A range lists the boundaries that end in it; one that starts in the range before is
-    seen whole because of the halo.
+    seen whole because of the halo. Repeated deliveries of a range collapse.
     """
-    schema = ", ".join(f"`{k}` {ranges.schema[k].dataType.simpleString()}" for k in [*keys, "max_chars", "overlap_chars", "n", "r"])
+    names = [*keys, "max_chars", "overlap_chars", "r"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [boundaries(b, int(lo), int(r) * size, (int(r) + 1) * size) for b, lo, r in zip(pdf["body"], pdf["lo"], pdf["r"])]
-            yield pdf.drop(columns=["body", "lo"]).assign(cuts=[np.array(f, dtype=np.int64) for f in found])
+            chars, cuts = [], []
+            for body, lo, r in zip(pdf["body"], pdf["lo"], pdf["r"]):
+                before, own, after = decode_range(body, int(lo), int(r), size)
+                chars.append(len(own))
+                cuts.append(np.array(boundaries(before + own + after, -len(before), 0, len(own)), dtype=np.int64))
+            yield pdf[names].assign(chars=chars, cuts=cuts)
 
-    return ranges.mapInPandas(run, schema + ", cuts array<long>")
+    return ranges.mapInPandas(run, _kinds(ranges, names) + ", chars long, cuts array<long>").dropDuplicates([*keys, "r"])
 
 
-def piece_table(table: DataFrame, keys: list[str], size: int = RANGE, segment: int = SEGMENT) -> DataFrame:
+def offsets(table: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, r, base, total): where each range begins, by prefix sums of characters."""
+    w = Window.partitionBy(*keys)
+    run = F.sum("chars").over(w.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    return table.select(*keys, "r", "chars").select(*keys, "r", (run - F.col("chars")).alias("base"), F.sum("chars").over(w).alias("total"))
+
+
+def piece_table(table: DataFrame, at: DataFrame, keys: list[str], size: int = RANGE, segment: int = SEGMENT) -> DataFrame:
     """(keys, piece_no, piece_start, piece_end) for each item of the boundary table.
 
-    A segment starts at the strongest boundary (the first of equals) of its first range,
-    less the overlap, and runs to the start of the next one. Its cuts are chosen from
-    its own ranges and that next range, a bounded number of offsets, whatever the item's
-    length. Numbers are prefix sums of the pieces per segment.
+    ``at`` are the ranges' offsets. A segment starts at the strongest boundary (the first of
+    equals) of its first range, less the overlap, and runs to the start of the next one. Its
+    cuts are chosen from its own ranges and that next range, a bounded number of offsets,
+    whatever the item's length. Numbers are prefix sums of the pieces per segment.
     """
     per = max(1, segment // size)
     opens = (F.col("r") % per == 0) & (F.col("r") > 0)
+    rows = table.join(at, [*keys, "r"]).withColumn("cuts", F.transform("cuts", lambda c: c + F.col("base") * 8))
     best = F.array_max(F.transform("cuts", lambda c: F.struct((c % 8).alias("s"), (-F.shiftright(c, 3)).alias("a"))))
-    table = table.withColumn("first", F.when(opens, F.coalesce(-best["a"], F.col("r").cast("long") * size)))
+    rows = rows.withColumn("first", F.when(opens, F.coalesce(-best["a"], F.col("base"))))
     seg = F.floor(F.col("r") / per).cast("int")
     # The opening range serves its own segment and, as its tail, the one before.
-    rows = table.withColumn("seg", F.explode(F.when(opens, F.array(seg - 1, seg)).otherwise(F.array(seg))))
-    rows = rows.groupBy(*keys, "max_chars", "overlap_chars", "n", "seg").agg(
+    rows = rows.withColumn("seg", F.explode(F.when(opens, F.array(seg - 1, seg)).otherwise(F.array(seg))))
+    rows = rows.groupBy(*keys, "max_chars", "overlap_chars", "seg").agg(
+        F.max("total").alias("n"),
         F.min(F.when(F.floor(F.col("r") / per) == F.col("seg"), F.col("first"))).alias("begins"),
         F.max(F.when(F.floor(F.col("r") / per) > F.col("seg"), F.col("first"))).alias("ends"),
         F.array_sort(F.flatten(F.collect_list("cuts"))).alias("cuts"),
     )
     rows = rows.select(*keys, "max_chars", "overlap_chars", "seg", F.coalesce("begins", F.lit(0)).alias("begins"), F.coalesce("ends", "n").alias("ends"), "cuts")
-    kinds = ", ".join(f"`{k}` {table.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for *key, most, over, no, first, last, cuts in pdf.itertuples(index=False):
-                inside = [int(c) for c in cuts if first < c >> 3 <= last]
+                cuts = np.asarray(cuts, dtype=np.int64)
+                inside = cuts[(cuts >> 3 > first) & (cuts >> 3 <= last)]
                 over = max(0, min(over, most // 2))
-                out += [(*key, no, s, e) for s, e in choose_cuts(last, inside, most, over, first - over if no else first)]
+                spans = choose_cuts(last, inside, most, over, max(0, first - over) if no else first)
+                out.append((*key, no, len(spans), [s for s, _ in spans], [e for _, e in spans]))
             if out:
-                yield pd.DataFrame(out, columns=[*keys, "seg", "piece_start", "piece_end"])
+                yield pd.DataFrame(out, columns=[*keys, "seg", "c", "s", "e"])
+
+    done = cut_lineage(rows.mapInPandas(run, _kinds(table, keys) + ", seg int, c long, s array<long>, e array<long>"))
+    before = F.sum("c").over(Window.partitionBy(*keys).orderBy("seg")) - F.col("c")
+    base = done.select(*keys, "seg", "c").select(*keys, "seg", before.alias("b"))
+    flat = done.join(base, [*keys, "seg"]).select(*keys, "b", F.posexplode(F.arrays_zip("s", "e")).alias("k", "x"))
+    return flat.select(*keys, (F.col("b") + F.col("k") + 1).cast("int").alias("piece_no"), F.col("x.s").alias("piece_start"), F.col("x.e").alias("piece_end"))
 
-    pieces = rows.mapInPandas(run, kinds + ", seg int, piece_start long, piece_end long")
-    count = pieces.groupBy(*keys, "seg").agg(F.count(F.lit(1)).alias("c"))
-    base = count.select(*keys, "seg", (F.sum("c").over(Window.partitionBy(*keys).orderBy("seg")) - F.col("c")).alias("base"))
-    at = F.row_number().over(Window.partitionBy(*keys, "seg").orderBy("piece_start"))
-    return pieces.withColumn("k", at).join(base, [*keys, "seg"]).select(*keys, (F.col("base") + F.col("k")).cast("int").alias("piece_no"), "piece_start", "piece_end")
 
+def emit(pieces: DataFrame, ranges: DataFrame, at: DataFrame, keys: list[str], size: int = RANGE) -> DataFrame:
+    """``pieces`` with their text, each cut from the ranges that it lies in.
+
+    The ranges of a piece's ends are looked up by merging both in the order of offsets.
+    """
+    marks = at.select(*keys, F.col("base").alias("p"), F.lit(0).alias("o"), "r", F.lit(None).cast("int").alias("piece_no"), F.lit(None).cast("boolean").alias("opens"))
+    ends = pieces.select(*keys, "piece_no", F.explode(F.array(F.struct(F.col("piece_start").alias("p"), F.lit(True).alias("opens")), F.struct((F.col("piece_end") - 1).alias("p"), F.lit(False).alias("opens")))).alias("x"))
+    ends = ends.select(*keys, F.col("x.p").alias("p"), F.lit(1).alias("o"), F.lit(None).cast("int").alias("r"), "piece_no", F.col("x.opens").alias("opens"))
+    w = Window.partitionBy(*keys).orderBy("p", "o", "r").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(ends).withColumn("r", F.last("r", ignorenulls=True).over(w)).where("piece_no IS NOT NULL")
+    reach = found.groupBy(*keys, "piece_no").agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
+    parts = pieces.join(reach, [*keys, "piece_no"]).withColumn("r", F.explode(F.sequence("r0", "r1"))).join(at.drop("total"), [*keys, "r"])
+    parts = parts.groupBy(*keys, "r").agg(F.first("base").alias("base"), F.collect_list(F.struct("piece_no", "piece_start", "piece_end")).alias("ps"))
+    bodies = ranges.select(*keys, "r", "lo", "body").dropDuplicates([*keys, "r"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *key, r, base, ps, lo, body in pdf[[*keys, "r", "base", "ps", "lo", "body"]].itertuples(index=False):
+                own = decode_range(body, int(lo), int(r), size)[1]
+                for p in ps:
+                    s, e = p["piece_start"], p["piece_end"]
+                    out.append((*key, r, p["piece_no"], s, e, own[max(0, s - base) : max(0, e - base)]))
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "r", "piece_no", "piece_start", "piece_end", "part"])
 
-def emit(pieces: DataFrame, ranges: DataFrame, keys: list[str], size: int = RANGE) -> DataFrame:
-    """``pieces`` with their text, each cut from the ranges that it lies in."""
-    parts = pieces.withColumn("r", F.explode(F.sequence(F.floor(F.col("piece_start") / size), F.floor((F.col("piece_end") - 1) / size)))).withColumn("r", F.col("r").cast("int"))
-    lo = F.greatest("piece_start", F.col("r").cast("long") * size)
-    hi = F.least("piece_end", (F.col("r").cast("long") + 1) * size)
-    got = parts.join(ranges.select(*keys, "r", "lo", "body"), [*keys, "r"]).select(*keys, "piece_no", "piece_start", "piece_end", "r", F.substr("body", (lo - F.col("lo") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+    got = parts.join(bodies, [*keys, "r"]).mapInPandas(run, _kinds(parts, keys) + ", r int, piece_no int, piece_start long, piece_end long, part string")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "part"))), lambda x: x["part"]), "")
     return got.groupBy(*keys, "piece_no", "piece_start", "piece_end").agg(text.alias("piece"))
 
 
+def _pieces_of_ranges(ranges: DataFrame, keys: list[str], with_text: bool, size: int, segment: int) -> DataFrame:
+    table = cut_lineage(boundary_table(ranges, keys, size))
+    at = cut_lineage(offsets(table, keys))
+    pieces = piece_table(table, at, keys, size, segment)
+    return emit(cut_lineage(pieces), ranges, at, keys, size) if with_text else pieces
+
+
+def _pieces_at_once(items: DataFrame, keys: list[str], text: str, with_text: bool) -> DataFrame:
+    """The pieces of items of one range, cut where they are read."""
+    cols = [*keys, "piece_no", "piece_start", "piece_end", *(["piece"] if with_text else [])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *key, most, over, t in pdf.itertuples(index=False):
+                for k, (s, e) in enumerate(choose_cuts(len(t), boundaries(t, 0, 0, len(t)), most, over)):
+                    out.append((*key, k + 1, s, e, t[s:e]) if with_text else (*key, k + 1, s, e))
+            yield pd.DataFrame(out, columns=cols)
+
+    schema = _kinds(items, keys) + ", piece_no int, piece_start long, piece_end long" + (", piece string" if with_text else "")
+    return items.select(*keys, "max_chars", "overlap_chars", text).mapInPandas(run, schema)
+
+
 def split_items(items: DataFrame, limits: DataFrame, keep: list[str], with_text: bool = True, kind: str = "item_kind", source: str = "source", text: str = "text", size: int = RANGE, halo: int = HALO, segment: int = SEGMENT) -> DataFrame:
     """The pieces of all oversized ``items``: ``keep`` columns, piece_no, offsets, piece.
 
@@ -200,41 +283,23 @@ def split_items(items: DataFrame, limits: DataFrame, keep: list[str], with_text:
     big = oversized(items, limits, kind, source, text)
     named = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in keep]
     uid = F.concat(F.hex(F.xxhash64(*named, F.col(text), "max_chars")), F.hex(F.xxhash64(F.col(text), "overlap_chars", *reversed(named))))
-    big = big.select(uid.alias("_uid"), *[F.col(c).alias(f"_k_{c}") for c in keep], "max_chars", "overlap_chars", F.col(text).alias("_text")).dropDuplicates(["_uid"])
-    ranges = ranges_of(big, ["_uid"], "_text", size, halo)
-    pieces = piece_table(boundary_table(ranges, ["_uid"], size), ["_uid"], size, segment)
-    if with_text:
-        pieces = emit(pieces, ranges, ["_uid"], size)
-    out = pieces.join(big.drop("_text"), "_uid")
-    return out.select(*[F.col(f"_k_{c}").alias(c) for c in keep], "piece_no", "piece_start", "piece_end", *(["piece"] if with_text else []), "max_chars", "overlap_chars")
-
-
-def split_files(spark: SparkSession, paths: list[str], max_bytes: int, overlap: int, size: int = RANGE, halo: int = HALO, segment: int = SEGMENT) -> DataFrame:
-    """(path, piece_no, piece_start, piece_end, piece) of UTF-8 files, offsets in bytes.
-
-    Cuts at boundaries fall between characters. A cut at the limit, or the start of an
-    overlap, may fall inside one; it is then moved back to that character's start.
+    carried = [F.col(c).alias(f"_k_{c}") for c in keep]
+    big = big.select(uid.alias("_uid"), *carried, "max_chars", "overlap_chars", F.col(text).alias("_text"))
+    keys = ["_uid", *[f"_k_{c}" for c in keep], "_max", "_over"]
+    flat = big.withColumns({"_max": F.col("max_chars"), "_over": F.col("overlap_chars")})
+    short, long = flat.where(F.octet_length("_text") <= size), flat.where(F.octet_length("_text") > size)
+    once = _pieces_at_once(short, keys, "_text", with_text).dropDuplicates(["_uid", "piece_no"])
+    slim = long.drop("_text").dropDuplicates(["_uid"]).select(*keys)
+    many = _pieces_of_ranges(ranges_of(long, ["_uid"], "_text", size, halo), ["_uid"], with_text, size, segment).join(slim, "_uid")
+    out = once.unionByName(many.select(once.columns))
+    return out.select(*[F.col(f"_k_{c}").alias(c) for c in keep], "piece_no", "piece_start", "piece_end", *(["piece"] if with_text else []), F.col("_max").alias("max_chars"), F.col("_over").alias("overlap_chars"))
+
+
+def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap: int, size: int = RANGE, halo: int = HALO, segment: int = SEGMENT) -> DataFrame:
+    """(path, piece_no, piece_start, piece_end, piece) of UTF-8 files, offsets in characters.
+
+    A file is never loaded whole: each range of bytes is read where it is needed. An empty
+    file is one empty piece.
     """
-    raw = file_ranges(spark, paths, size, halo).withColumns({"max_chars": F.lit(max_bytes - 3), "overlap_chars": F.lit(min(overlap, max_bytes // 2))})
-    pieces = emit(piece_table(boundary_table(raw, ["path"], size), ["path"], size, segment), raw, ["path"], size)
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, no, start, end, piece in pdf[["path", "piece_no", "piece_start", "piece_end", "piece"]].itertuples(index=False):
-                b = piece.encode("latin-1")
-                skip = 0
-                while skip < len(b) and b[skip] & 0xC0 == 0x80:
-                    skip += 1
-                stop = len(b)
-                for back in range(1, min(4, stop) + 1):
-                    lead = b[stop - back]
-                    if lead & 0xC0 != 0x80:
-                        need = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                        stop -= back if need > back else 0
-                        break
-                out.append((path, no, start + skip, start + stop, b[skip:stop].decode("utf-8", "replace")))
-            if out:
-                yield pd.DataFrame(out, columns=["path", "piece_no", "piece_start", "piece_end", "piece"])
-
-    return pieces.mapInPandas(whole, "path string, piece_no int, piece_start long, piece_end long, piece string")
+    raw = file_ranges(spark, paths, size, halo).withColumns({"max_chars": F.lit(max_chars), "overlap_chars": F.lit(overlap)})
+    return _pieces_of_ranges(raw, ["path"], True, size, segment)
