@@ -40,10 +40,11 @@ from codexloom.runtime import cut_lineage, skew_join
 
 THRESHOLD = 0.8
 SAMPLES, BITS, SIGMAS = 256, 512, 5.0
-#: Classes that may share a band key before the key counts as frequent.
-FREQUENT = 64
+#: Classes that may share a band key before the key counts as frequent. Comparing a pair by
+#: its parity bits is cheaper than the keys that would keep it from being compared.
+FREQUENT = 256
 #: Words in a band key at most.
-DEEPEST = 6
+DEEPEST = 3
 #: Keys of one class and size bucket at most, which limits the words in a key.
 MOST_KEYS = 4000
 #: Words whose number of classes is known when keys are made: so many of the commonest.
