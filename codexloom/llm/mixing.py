@@ -81,11 +81,16 @@ def mixture(documents: DataFrame, rates: dict[str, tuple[float, int]], id_col: s
     """The mixture in random order: id, copy_no, source, ``columns``, shuffle_key.
 
     Copies are spread over all partitions by the hash of (id, copy) and ordered by it
-    within each, so the order doesn't depend on the input's.
+    within each, so the order doesn't depend on the input's. A document that is delivered
+    repeatedly is used once: its copies meet in one partition, where the least source and
+    ``columns`` stay (in the columns' order, nulls first).
     """
     d = draws(documents, rates, id_col, source_col, seed).where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     d = d.select(id_col, "copy_no", F.col("_norm").alias("source"), *[c for c in columns], F.xxhash64(F.lit(seed + 1), F.col(id_col).cast("string"), "copy_no").alias("shuffle_key"))
-    return d.repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col, "copy_no")
+    key = ["shuffle_key", id_col, "copy_no"]
+    rest = [c for c in d.columns if c not in key]
+    met = d.repartition(*key).groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r"))
+    return met.select(id_col, "copy_no", *[F.col(f"_r.{c}").alias(c) for c in rest], "shuffle_key").sortWithinPartitions(*key)
 
 
 def shares(sizes: DataFrame, targets: DataFrame, rates: dict[str, tuple[float, int]], id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens", seed: int = SEED) -> DataFrame:

@@ -2,12 +2,15 @@
 
 A document of size s belongs to class k, the number of such documents that a container
 of capacity C holds (C / (k + 1) < s <= C / k). Documents are spread by a hash of their
-id over shards of about SHARD documents, and every shard is packed on its own, without
+id over shards of about FILL containers each, and every shard is packed on its own, without
 any look at the others: class by class, k ascending, each container gets exactly k
 documents of class k, and then, into the room that the classes' bounds leave, the
 largest documents of later classes that still fit. So only a shard's last container is
 left with much room, at every size of the corpus.
 
+The plain method packs classes apart, which leaves the room that the class bounds and each
+class's last container leave; ``extend=False`` gives it, for comparison.
+
 A document larger than C is cut into full containers of its own, and its rest is packed
 like a document of that size. No other document is cut.
 """
@@ -21,15 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents per shard on average. Ids are hashed, so no shard is much larger, and a
-#: shard's task holds only sizes and ids.
-SHARD = 200_000
+#: Full containers that a shard's documents would fill on average. Its last container, the
+#: only one with much room, is then about a thousandth. A shard's task holds only sizes and
+#: ids; of documents that take no room there are at most SHARD to a shard on average.
+FILL, SHARD = 1000, 200_000
 
 
-def harmonic(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+def harmonic(sizes: np.ndarray, capacity: int, extend: bool = True) -> tuple[np.ndarray, int]:
     """The container of each size (all <= capacity, in descending order), and their number.
 
-    Sizes of 0 count as 1.
+    Sizes of 0 count as 1. Without ``extend`` a container takes its own class only.
     """
     least = np.maximum(sizes, 1)
     stacks: dict[int, list[int]] = {}
@@ -58,14 +62,14 @@ def harmonic(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
                 break
             i, size = take(left[-1])
             out[i], room = n, room - size
-        while left and room >= left[0]:
+        while extend and left and room >= left[0]:
             i, size = take(room)
             out[i], room = n, room - size
         n += 1
     return out, n
 
 
-def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", shard: int = SHARD) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", shard: int = SHARD, fill: int = FILL, extend: bool = True) -> DataFrame:
     """(id, piece_no, start, end, n_tokens, docs_class, bin) for every row of ``sizes``.
 
     ``bin`` is unique to a container, ``docs_class`` is k, ``start`` and ``end`` are
@@ -78,14 +82,16 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     c = F.lit(capacity).cast("long")
     pieces = docs.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_n") / c) - 1, F.lit(0)))))
     pieces = pieces.select("_id", (F.col("_p") + 1).cast("int").alias("piece_no"), (F.col("_p") * c).alias("start"), F.least((F.col("_p") + 1) * c, F.col("_n")).alias("end"))
-    total = pieces.agg(F.greatest(F.ceil(F.count(F.lit(1)) / shard), F.lit(1)).alias("_shards"))
+    # Pieces that fill a container need no company.
+    rest = F.sum(F.when(F.col("end") - F.col("start") < c, F.greatest(F.col("end") - F.col("start"), F.lit(1))))
+    total = pieces.agg(F.greatest(F.ceil(F.count(F.lit(1)) / shard), F.ceil(F.coalesce(rest, F.lit(0)) / (c * fill)), F.lit(1)).alias("_shards"))
     key = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("\0")), "piece_no", "end")
     rows = pieces.crossJoin(F.broadcast(total)).withColumn("_key", key).withColumn("_shard", F.pmod("_key", "_shards")).drop("_shards")
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(n_tokens=pdf["end"] - pdf["start"]).sort_values(["n_tokens", "_key", "start"], ascending=[False, True, True])
-        bins, _ = harmonic(pdf["n_tokens"].to_numpy(), capacity)
+        bins, _ = harmonic(pdf["n_tokens"].to_numpy(), capacity, extend)
         name = [f"{s}-{b}" for s, b in zip(pdf["_shard"], bins)]
         return pdf.assign(docs_class=capacity // np.maximum(pdf["n_tokens"], 1), bin=name)[["_id", "piece_no", "start", "end", "n_tokens", "docs_class", "bin"]]
 

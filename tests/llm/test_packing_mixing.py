@@ -26,8 +26,11 @@ def test_packing_keeps_every_document_whole(spark, capacity, shard):
 def test_packing_leaves_little_room_at_scale(spark):
     rng = random.Random(3)
     sizes = spark.createDataFrame([(i, int(rng.lognormvariate(5, 1)) + 1) for i in range(20_000)], "doc_id long, n_tokens int")
-    r = packing.report(packing.pack(sizes, 8192), 8192).first()
-    assert r.unused_share < 0.08 and r.fullest <= 8192
+    packed = packing.pack(sizes, 8192, fill=50)
+    r, plain = packing.report(packed, 8192).first(), packing.report(packing.pack(sizes, 8192, extend=False), 8192).first()
+    assert r.unused_share < 0.02 < plain.unused_share and r.fullest <= 8192
+    # Shards of about fifty containers, each packed on its own.
+    assert packed.selectExpr("split(bin, '-')[0] AS s").distinct().count() > 5
 
 
 def test_packing_nothing(spark):
@@ -60,6 +63,15 @@ def test_mixture_reaches_its_shares(spark):
     assert mix.groupBy("source").sum("n_tokens").count() == 2
 
 
+def test_repeated_deliveries_are_mixed_once(spark):
+    docs = [(i, "a", f"t{i}") for i in range(200)]
+    df = spark.createDataFrame(docs + docs[:90] + [(3, "a", None)], "doc_id long, source string, text string")
+    once = mixing.mixture(spark.createDataFrame(docs, df.schema), {"a": (1.7, 3)}).collect()
+    got = mixing.mixture(df, {"a": (1.7, 3)}).collect()
+    assert sorted((r.doc_id, r.copy_no) for r in got) == sorted((r.doc_id, r.copy_no) for r in once)
+    assert len({(r.doc_id, r.copy_no) for r in got}) == len(got)
+
+
 def test_mixing_nothing(spark):
     sizes = spark.createDataFrame([], "doc_id long, source string, n_tokens int")
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
