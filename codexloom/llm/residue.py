@@ -8,7 +8,11 @@ languages use around an identifier, or brackets around an instruction to fill in
 Brackets that legal prose uses itself ([sic], [Reserved], {the "Obligors"}, [38]) match
 none of them. Placeholders inside code, and in a text that explains templates, are
 discounted by their surroundings: a fenced code block, an indented one that looks like
-code, an inline code span, or quotation marks around the placeholder in a sentence that speaks of placeholders.
+code, an inline code span, quotation marks around the placeholder in a line that speaks of
+placeholders, or a sentence that tells how one is written. A text is a tutorial, and all its
+placeholders examples, if words that only speak of templates are dense in it: MANUAL_SHARE of
+its words, at least MANUAL_WORDS of them. The density of the placeholders themselves clears
+nothing, since one that was left unfilled makes a record residue however long it is.
 
 The rest of a text is taken apart into sentences. Each is residue (filler, error,
 notice), navigation, a title, or content; one sentence of content clears the text.
@@ -44,13 +48,22 @@ PLACEHOLDERS = {
     "bullet": r"\[\s*[●•_*…]+\s*\]|\[\s*\.{2,}\s*\]",
     "masked_date": r"\b(?:XX|DD|MM)/(?:XX|MM|DD)/(?:20XX|XXXX|YYYY|19XX)(?!\w)",
 }
-_PLACEHOLDER = re.compile(r"(?=[{$#<%\[«@_(XDM])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in PLACEHOLDERS.items()) + ")")
+_PLACEHOLDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PLACEHOLDERS.items()))
+#: What a placeholder begins with; such places alone are tried.
+_OPENS = re.compile(r"[{$#<%\[«@_(XDM]")
 _CODE = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]+`|<(code|pre)>.*?</\1>", re.S)
 _INDENTED = re.compile(r"(?m)(?:^(?: {4}|\t).*\S.*$\n?)+")
 #: What only code says; a clause is indented too. Looked for with the placeholders cut out.
 _CODE_LINE = re.compile(r"""(?mx) </?[a-z][\w-]*(?:\s[^<>]*)?/?> | [{}]\s*$ | \w\([^()\n]*\)\s*;?\s*$ | ^\s*[a-z_][\w.]*\s*(?:=|\+=|:=)\s* | ^\s*(?:def|function|class)\s+\w+\s*[(:{]
  | ^\s*(?:var|let|const)\s+\w+\s*= | ^\s*(?:import\s+[\w.]+\s*;?$|from\s+[\w.]+\s+import\s|\#include\b|\$\s+\w|SELECT\s.+\sFROM\s) | [=!]=|=>|->|&&|\|\| | ^\s*"?[\w-]+"?:\s*"[^"\n]*",?\s*$""")
 _EXPLAINS = re.compile(r"(?i)\b(placeholders?|template (?:syntax|variable|language|engine)s?|merge fields?|escap\w+|syntax|tutorial|example)\b")
+#: Words that only speak of templates. Fixed values.
+_MANUAL = re.compile(r"(?i)\b(?:placeholders?|template (?:syntax|variable|language|engine|tag|file)s?|(?:our|the|these|use|using|e-?mail|document|letter) templates?|merge (?:fields?|tags?)|mail merge|jinja2?|mustache|handlebars|thymeleaf|freemarker|erb|moustache tags?|curly brac(?:es|kets)|double braces|syntax|tutorial|(?:is|are|gets?) (?:replaced|substituted|rendered|interpolated|expanded)|renders? as|escap(?:e|ed|ing)|vorlagenvariablen?|platzhalter|espaces? réservés?|marcador(?:es)? de posición)\b")
+MANUAL_SHARE, MANUAL_WORDS = 0.02, 3
+#: How a sentence tells of a placeholder: before it, and after it. Fixed values.
+_TOLD_BEFORE = re.compile(r"(?i)(?:\b(?:is|are|be) (?:written|typed|spelled|marked|denoted|shown)(?: as| like| with| by)?|\b(?:write|type|put|use|using|replaces?|such as|like|called|named|say|schreiben sie|écrivez|escriba)(?: the (?:tag|token|field|variable))?)\s*[:\"'“‘]?\s*$")
+_TOLD_AFTER = re.compile(r"(?i)^[\"'”’]?\s*(?:where(?:ver)?\b|in place of\b|to (?:show|print|mark|insert|stand|get)\b|(?:is|are|gets?|will be) (?:replaced|substituted|filled|rendered|expanded|written)\b|stands? for\b|expands? to\b|renders?\b|becomes?\b|for the (?:name|date|amount|value) (?:of|to)\b)")
+_STOPS = re.compile(r"[.!?]\s|\n")
 _QUOTED = re.compile(r"[\"'“‘‹]\s*$")
 
 #: What error pages and their programs say. Fixed values.
@@ -100,18 +113,39 @@ def _is_code(text: str, start: int, block: str) -> bool:
     return bool((lead.endswith(":") and _EXPLAINS.search(lead)) or _CODE_LINE.search(_PLACEHOLDER.sub("", block)))
 
 
+def _told(text: str, start: int, end: int) -> bool:
+    """Whether the sentence around a placeholder tells how it is written or what becomes of it."""
+    before = _STOPS.split(text[max(0, start - 300) : start])[-1]
+    after = _STOPS.split(text[end : end + 300], maxsplit=1)[0]
+    told = bool(_TOLD_BEFORE.search(before)) + bool(_TOLD_AFTER.search(after))
+    return told == 2 or (told == 1 and bool(_MANUAL.search(before) or _MANUAL.search(after)))
+
+
+def _is_manual(text: str) -> bool:
+    """Whether words that only speak of templates are dense in ``text``, placeholders left out."""
+    plain = _PLACEHOLDER.sub(" ", text)
+    said = sum(1 for _ in _MANUAL.finditer(plain))
+    return said >= MANUAL_WORDS and said >= MANUAL_SHARE * len(_WORD.findall(plain))
+
+
 def placeholders(text: str) -> list[str]:
     """Kinds of the unfilled placeholders of ``text``, code and explanations discounted."""
-    found, code = [], None
-    for m in _PLACEHOLDER.finditer(text):
+    found, code, end, manual = [], None, 0, None
+    for first in _OPENS.finditer(text):
+        if first.start() < end or not (m := _PLACEHOLDER.match(text, first.start())):
+            continue
+        end = m.end()
         if code is None:
             code = [c.span() for c in _CODE.finditer(text)] + [c.span() for c in _INDENTED.finditer(text) if _is_code(text, c.start(), c.group())]
         if any(a <= m.start() < b for a, b in code):
             continue
         a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
         line = text[a : b if b >= 0 else len(text)]
-        if _QUOTED.search(text[max(0, m.start() - 2) : m.start()]) and _EXPLAINS.search(line):
+        if (_QUOTED.search(text[max(0, m.start() - 2) : m.start()]) and _EXPLAINS.search(line)) or _told(text, m.start(), m.end()):
             continue
+        manual = _is_manual(text) if manual is None else manual
+        if manual:
+            return []
         found.append(m.lastgroup)
     return found
 
@@ -134,10 +168,11 @@ def _kind(sentence: str) -> str:
         return "navigation"
     if len(low) >= 3 and sum(set(w) <= {"x"} for w in low) >= 0.8 * len(low):
         return "filler"
-    if len(low) >= 3 and sum(w in _SOUP for w in low) >= 0.8 * len(low):
+    soup = [w in _SOUP or (len(w) > 1 and set(w) == {"x"}) for w in low]
+    if len(low) >= 3 and sum(soup) >= 0.8 * len(low):
         return "filler"
-    title = next((i for i, w in enumerate(low) if w in _SOUP), len(low))
-    if title <= TITLE_WORDS and len(low) - title >= 4 and all(w in _SOUP for w in low[title:]):
+    title = next((i for i, x in enumerate(soup) if x), len(low))
+    if title <= TITLE_WORDS and len(low) - title >= 4 and all(soup[title:]):
         return "filler"
     for kind, grammar in (("filler", _FILL), ("notice", _NOTICE), ("error", _ERROR)):
         if grammar.search(s):

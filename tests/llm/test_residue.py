@@ -58,3 +58,28 @@ def test_indented_code_is_discounted(text):
 
 def test_open_instructions_take_no_quadratic_time():
     assert placeholders("[insert a " * 100_000 + "(add b " * 100_000 + "<enter c " * 100_000) == []
+
+
+SOUND = "The Borrower shall pay each Lender on the due date without any set-off. "
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Write ${name} where the borrower goes. " + SOUND * 200,
+        "How to use our templates. In Jinja a variable is written {{ name }}. The engine then renders the letter, and nothing more has to be done.",
+        "The merge fields of the letter are these: {{ name }}, {{ date }}. Each placeholder is replaced when the letter is printed, and the template engine escapes what it prints. Unknown placeholders stay as they are, and the syntax is checked first.",
+        "In this mail merge «name» is replaced by the name of the client before any letter is sent to them.",
+    ],
+)
+def test_tutorials_are_sound(text):
+    assert diagnose(text) is None
+
+
+@pytest.mark.parametrize("text", ["Notice to {{ name }}. " + SOUND * 300, SOUND * 3 + "Payable to ${lender_name} on demand.", "The template of this notice was agreed by the parties. It is sent to [[Lender Name]] on the date of the notice."])
+def test_one_placeholder_is_residue_however_long_the_text(text):
+    assert diagnose(text) == "placeholder"
+
+
+def test_masked_words_after_a_title():
+    assert diagnose("Bonasodon Logistics Credit Agreement Xxxx xxx xxx xxx xxx xx. Xxxx xxx xx xxx.") == "filler"
