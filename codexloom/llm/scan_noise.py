@@ -41,6 +41,8 @@ EDGE_SHARE = 0.25
 COMMON = 0.04
 #: A correction must be so many times as frequent as the word it replaces.
 RATIO, SHORT_RATIO = 8.0, 40.0
+#: Look-alikes in one word that are exchanged at most.
+EXCHANGES = 3
 KINDS = ("hyphen", "misread", "header", "pageno")
 
 #: What recognition makes of letters: (seen, meant). Fixed values.
@@ -53,8 +55,8 @@ _CANON1 = str.maketrans({"c": "e", "d": "el", "f": "t", "1": "l", "i": "l", "5":
 _CANON2 = [("nn", "rln"), ("rn", "ln")]
 _ORDINALS = frozenset("first second third fourth fifth sixth seventh eighth ninth tenth".split())
 _HYPHENS = "-­‐‑¬"
-_BREAK = re.compile(rf"([\w'’]{{0,60}}[^\W\d_]\w{{0,60}})([{_HYPHENS}])\s*$")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+_TAIL = re.compile(r"[\w'’]*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MARKED_PAGE = re.compile(r"(?i)^(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\d{1,4}\s*\|\s*p\s?[au]\s?g\s?[ec]|p[au]g[ec]\s+\d{1,4}(?:\s*(?:of|o[ft]|/)\s*\d{1,4})?|seite\s+\d{1,4}|[A-Z]-\d{1,3})$")
 _BARE_PAGE = re.compile(r"^(?:\d{1,4}|(?=[ivxl])(?:xc|xl|l?x{0,4})(?:ix|iv|v?i{0,4}))$")
@@ -79,7 +81,10 @@ class Corpus:
         self._fixes: dict[str, str | None] = {}
         self._whole: dict[str, str | None] = {}
         self.top = max((c for c, _ in self.words.values()), default=0)
-        self._likes = {_canon(w.rstrip("-")) for w, (_, share) in self.words.items() if share >= COMMON}
+        self._likes: dict[str, list[str]] = {}
+        for w, (_, share) in self.words.items():
+            if share >= COMMON:
+                self._likes.setdefault(_canon(w.rstrip("-")), []).append(w.rstrip("-"))
 
     def count(self, w: str) -> int:
         """Of the word, or of its suspended form (short- and long-term)."""
@@ -112,29 +117,19 @@ class Corpus:
         digits, letters = sum(c.isdigit() for c in word), sum(c.isalpha() for c in word)
         if letters < 2 or (digits and (digits > 3 or digits > letters or _CODE.fullmatch(word))):
             return None
-        if _canon(low) not in self._likes:
+        likes = self._likes.get(_canon(low))
+        if not likes:
             return self._digits_out(word) if digits and letters >= 3 else None
-        best, seen, front = None, {word}, [word]
         least = (RATIO if len(word) > 3 else SHORT_RATIO) * max(1, own)
         # Two exchanges in one word are likelier in a word that nobody knows.
-        for _ in range(1 if self.common(low) else 3):
-            step = []
-            for w in front:
-                for a, b in LOOKALIKES:
-                    i = w.find(a)
-                    while i >= 0:
-                        x = w[:i] + b + w[i + len(a) :]
-                        if x not in seen:
-                            seen.add(x)
-                            step.append(x)
-                            lx = x.lower()
-                            if self.count(lx) >= least and self.common(lx) and (best is None or self.count(lx) > self.count(best.lower())):
-                                best = x
-                        i = w.find(a, i + 1)
-            if best is not None:
-                return best
-            front = step if len(step) <= 400 else step[:400]
-        return self._digits_out(word)
+        most = 1 if self.common(low) else EXCHANGES
+        best = None
+        for target in likes:
+            c = self.count(target)
+            if target != low and c >= least and (got := exchanged(word, target, most)):
+                # The fewest exchanges win, then the most frequent word.
+                best = min(best or (got[0], -c, got[1]), (got[0], -c, got[1]))
+        return best[2] if best else self._digits_out(word)
 
     @staticmethod
     def _digits_out(word: str) -> str | None:
@@ -179,6 +174,26 @@ def _canon(w: str) -> str:
     return w
 
 
+def exchanged(word: str, target: str, most: int) -> tuple[int, str] | None:
+    """(exchanges, corrected word) if at most ``most`` look-alikes turn ``word`` into ``target``.
+
+    The exchanges stand side by side; of all ways one with the fewest is taken. ``target``
+    is in lower case; letters that are not exchanged keep their case.
+    """
+    low = word.lower()
+    # Ways to have read the word up to i and written the target up to j.
+    ways: dict[tuple[int, int], tuple[int, str]] = {(0, 0): (0, "")}
+    for i in range(len(word)):
+        for (at, j), (n, out) in [w for w in ways.items() if w[0][0] == i]:
+            steps = [(i + 1, j + 1, n, out + word[i])] if j < len(target) and low[i] == target[j] else []
+            if n < most:
+                steps += [(i + len(a), j + len(b), n + 1, out + b) for a, b in LOOKALIKES if word.startswith(a, i) and target.startswith(b.lower(), j)]
+            for x, y, k, text in steps:
+                if (x, y) not in ways or ways[x, y][0] > k:
+                    ways[x, y] = (k, text)
+    return ways.get((len(word), len(target)))
+
+
 def running_form(line: str) -> bool:
     """Whether a line can be a running header at all: short, a heading's letters, no stop."""
     s = line.strip()
@@ -269,8 +284,8 @@ def _line_kinds(lines: list[str], corpus: Corpus, running: frozenset | set) -> l
     marks = {}
     apart = _page_numbers([x for i in solid if len(lines[i]) < 20 and _BARE_PAGE.match(x := lines[i].strip())])
     for i in solid:
-        # Nothing that runs at a page's edge is longer than this, or ends like a sentence.
-        if len(lines[i]) > 200 or lines[i].rstrip()[-1] in ".;:,":
+        # Nothing that runs at a page's edge ends like a sentence.
+        if lines[i].rstrip()[-1] in ".;:,":
             marks[i] = [""]
             continue
         parts = _split_line(lines[i])
@@ -298,6 +313,14 @@ def _line_kinds(lines: list[str], corpus: Corpus, running: frozenset | set) -> l
     return out
 
 
+def _broken(word: str) -> tuple[str, str] | None:
+    """The last part of ``word`` and its hyphen, if it ends with one after a letter."""
+    if word[-1:] not in _HYPHENS or not word:
+        return None
+    part = _TAIL.match(word[-2::-1]).group()[::-1] if len(word) > 1 else ""
+    return (part, word[-1]) if any(c.isalpha() for c in re.split("['’]", part)[-1]) else None
+
+
 def _joins(a: str, hyphen: str, b: str, corpus: Corpus) -> bool:
     """Whether ``a`` + hyphen at a line's end + ``b`` is one broken word."""
     if not b or not b[0].isalpha():
@@ -355,16 +378,17 @@ def read(text: str | None, corpus: Corpus, own: set | None = None) -> tuple[list
     for k, (at, part) in enumerate(kept):
         line = part.strip()
         prev = kept[k - 1][1].rstrip() if built else ""
-        m = _BREAK.search(prev[-130:]) if prev and prev[-1] in _HYPHENS and not gap[k] else None
+        # The last word alone, whole: no pattern is tried over a long line.
+        m = _broken(prev.rsplit(None, 1)[-1]) if prev and not gap[k] else None
         if m and _WORD.match(line):
             raw_at = kept[k - 1][0] + len(prev.split()) - 1
             b = re.match(r"[^\W\d_]\w*|\d?[^\W_]+", line)
-            if b and _joins(m.group(1), m.group(2), b.group(0), corpus):
+            if b and _joins(*m, b.group(0), corpus):
                 found.append(Finding("hyphen", flat[raw_at - 1] if raw_at else "", flat[raw_at], flat[raw_at + 1] if raw_at + 1 < len(flat) else "", ""))
                 built[-1][-1] = built[-1][-1].rstrip()[:-1]
                 built[-1].append(line)
             else:
-                natural = m.group(2) == "-" and b and b.group(0).lower() not in ("and", "or", "to")
+                natural = m[1] == "-" and b and b.group(0).lower() not in ("and", "or", "to")
                 built[-1] += [line] if natural else [" ", line]
             continue
         runs_on = False
@@ -414,9 +438,9 @@ def read_chunk(text: str | None, findings: list[Finding] | None, corpus: Corpus)
         findings = []
         ws = text.split()
         for k, w in enumerate(ws[:-1]):
-            m = _BREAK.search(w)
+            m = _broken(w)
             b = re.match(r"[^\W\d_]\w*", ws[k + 1])
-            if m and b and _joins(m.group(1), m.group(2), b.group(0), corpus):
+            if m and b and _joins(*m, b.group(0), corpus):
                 findings.append(Finding("hyphen", ws[k - 1] if k else "", w, ws[k + 1], ""))
         findings += [Finding("misread", "", w, "", f) for w in {x for x in _WORD.findall(text)} if (f := corpus.corrected(w))]
         text_out = _INLINE_PAGE.sub("", text)

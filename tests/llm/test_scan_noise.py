@@ -54,6 +54,17 @@ def test_chunks_follow_their_sections(spark, corpus):
 
 def test_long_lines_take_no_quadratic_time(corpus):
     assert kinds("x" * 300_000 + "\n" + "ab-" * 50_000, corpus) <= {"hyphen"}
+    assert kinds("7" * 300_000 + "-\nab\n" + "a'" * 100_000 + "-\nb " + "rn" * 50_000, corpus) <= {"hyphen", "misread"}
+    assert sn.read_chunk("7" * 300_000 + "- " + "x" * 300_000, None, corpus)[0] == set()
+
+
+def test_a_broken_word_may_have_any_length(corpus):
+    assert kinds("The " + "pre" * 100 + "-\nmargin of the Lender is paid in full at that time.", corpus) == {"hyphen"}
+
+
+@pytest.mark.parametrize("word, target, most, want", [("Lencler", "lender", 3, (1, "Lender")), ("rnargln", "margin", 3, None), ("rnargm", "margin", 3, (2, "margin")), ("hh", "bb", 1, None), ("fu1I", "full", 3, (2, "full")), ("Lender", "lender", 3, (0, "Lender"))])
+def test_exchanges_stand_side_by_side(word, target, most, want):
+    assert sn.exchanged(word, target, most) == want
 
 
 def test_no_rows(spark):
