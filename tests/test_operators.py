@@ -1,7 +1,6 @@
 """Cases that the tables don't reach: ties, thresholds, ordered search, packing."""
 
 import datetime as dt
-import random
 
 import numpy as np
 import pytest
@@ -26,43 +25,29 @@ def test_surgical(spark, current, new, want):
     assert df.select(temporal.surgical(F.col("c"), F.col("n"))).first()[0] is want
 
 
-def model(base, ops):
-    """The fold in plain Python."""
-    t, status, notes = base, "original", []
-    for _, _, kind, inst, new, eff in ops:
-        stamp = f"{inst} (effective {eff})"
-        cur = t.strip() != ""
-        head = new.lower()[:240]
-        edit = not new.strip() or (cur and (len(new) < max(400, int(0.4 * len(t))) or (any(p in head for p in temporal.EDIT_PHRASES) and len(new) < len(t))))
-        if kind == "restate" and not edit:
-            t, status = new, "amended"
-        elif kind == "insert":
-            t, status = (t + "\n" + new if t else new), ("added" if not base else "amended")
-        else:
-            notes.append(f"[{'proviso/restate' if kind == 'restate' else kind} per {stamp}: {new}]")
-            status = "amended"
-        if not notes:
-            notes = [f"[as amended by {stamp}]"]
-    return t + ("\n" + "\n".join(notes) if notes else ""), status
-
-
-def test_fold_against_a_model(spark):
-    rng = random.Random(2)
-    nodes, ops, want = [], [], {}
-    for k in range(120):
-        base = "" if rng.random() < 0.2 else "b" * rng.choice([10, 400, 1000, 2500])
-        mine = []
-        for j in range(rng.randrange(5)):
-            eff = dt.date(2020, 1, 1 + rng.randrange(3))
-            new = rng.choice(["", "by replacing "]) + "n" * rng.choice([0, 5, 399, 400, 999, 1000])
-            mine.append((eff, k * 10 + j, rng.choice(["restate", "insert", "replace"]), f"I{j}", new, eff))
-        nodes.append((f"n{k}", f"L{k}", base, "as originally executed"))
-        ops += [(f"n{k}", e, s, kind, i, new) for e, s, kind, i, new, _ in mine]
-        want[f"n{k}"] = model(base, sorted(mine, key=lambda o: o[:2]))
-    n = spark.createDataFrame(nodes, "node_id string, label string, base_text string, origin string")
-    o = spark.createDataFrame(ops, "node_id string, eff date, seq long, kind string, instrument string, new_text string")
-    asked = n.select("node_id", F.lit(None).cast("date").alias("as_of"))
-    assert {r.node_id: (r.text, r.status) for r in temporal.fold(n, o, asked).collect()} == want
+D1, D2 = dt.date(2020, 1, 1), dt.date(2020, 1, 2)
+LONG, TEXT400 = "b" * 2000, "n" * 400
+
+
+@pytest.mark.parametrize(
+    "base, ops, want, status",
+    [
+        ("old", [], "old", "original"),
+        ("old", [(D1, 1, "restate", "A", TEXT400)], TEXT400 + "\n[as amended by A (effective 2020-01-01)]", "amended"),
+        (LONG, [(D1, 1, "restate", "A", "by replacing x")], LONG + "\n[proviso/restate per A (effective 2020-01-01): by replacing x]", "amended"),
+        (LONG, [(D1, 1, "restate", "A", "")], LONG + "\n[proviso/restate per A (effective 2020-01-01): ]", "amended"),
+        ("old", [(D2, 2, "insert", "B", "more"), (D1, 1, "insert", "A", "first")], "old\nfirst\nmore\n[as amended by A (effective 2020-01-01)]", "amended"),
+        ("", [(D1, 1, "insert", "A", "new")], "new\n[as amended by A (effective 2020-01-01)]", "added"),
+        (None, [(D1, 2, "insert", "B", "two"), (D1, 1, "insert", "A", "one")], "one\ntwo\n[as amended by A (effective 2020-01-01)]", "added"),
+        ("old", [(D1, 1, "replace", "A", "x for y"), (D2, 2, "restate", "B", TEXT400)], TEXT400 + "\n[replace per A (effective 2020-01-01): x for y]", "amended"),
+        ("old", [(D1, 1, "replace", "A", None)], "old\n[replace per A (effective 2020-01-01): ]", "amended"),
+    ],
+)
+def test_fold(spark, base, ops, want, status):
+    n = spark.createDataFrame([("n", "L", base, "as originally executed")], "node_id string, label string, base_text string, origin string")
+    o = spark.createDataFrame([("n", *x) for x in ops], "node_id string, eff date, seq long, kind string, instrument string, new_text string")
+    got = temporal.fold(n, o, n.select("node_id", F.lit(None).cast("date").alias("as_of"))).first()
+    assert (got.text, got.status) == (want, status)
 
 
 def test_as_of_is_inclusive(spark):
@@ -121,18 +106,24 @@ def test_pack(spark):
     assert run([400] * 5, 100_000) == [400] * 5
     assert run([10_000], 2000)[0] <= 2000 and len(run([1500] * 3, 2000)) == 2 - (2000 - 1535 - 35 < 180)
     assert run([], 2000) == [] and run([400], 0) == [400]
-    for lengths, most in (([1500] * 3, 2000), ([300, 900, 50, 700], 1500)):
-        rows = [{"citation": "c", "text": "x" * n} for n in lengths]
-        assert run(lengths, most) == [len(b["text"]) for b in retrieval._pack(rows, most)]
+    assert run([300, 900, 50, 700], 1500) == [300, 900, 50] and run([1500] * 3, 2000) == [1500, 423]
+
+
+def packed(spark, rows, most):
+    df = spark.createDataFrame([("q", rows)], "qid string, blocks array<struct<citation:string,text:string,node_ids:array<string>,reserved:boolean>>")
+    return df.select(retrieval.pack_reserved(F.col("blocks"), most)).first()[0]
 
 
 def test_reserved_blocks_all_stay(spark):
     rows = [block(1500, True, [f"n{i}"]) for i in range(5)] + [block(300, True, ("a", "b"))] + [block(900)]
-    got = retrieval.pack_reserved_rows(rows, 1200)
-    assert len([b for b in got if b["reserved"]]) == 6 and got[0]["node_ids"] == ["a", "b"]
-    assert retrieval.pack_reserved_rows([block(100, True), block(50)], 5000) == [block(100, True), block(50)]
-    df = spark.createDataFrame([("q", rows)], "qid string, blocks array<struct<citation:string,text:string,node_ids:array<string>,reserved:boolean>>")
-    assert len(retrieval.pack_reserved(df, 1200).first().packed) == len(got)
+    got = packed(spark, rows, 1200)
+    assert len(got) == 6 and got[0].node_ids == ["a", "b"] and all(b.reserved for b in got)
+    # 865 are left for five, and a share is never under 160: 125 for the body, its cut mark included.
+    assert [len(b.text) for b in got][:1] == [300] and {len(b.text) for b in got[1:]} == {173 - 35 - 20 + len(retrieval.CUT)}
+    assert [(len(b.text), b.reserved) for b in packed(spark, [block(100, True), block(50)], 5000)] == [(100, True), (50, False)]
+    assert [len(b.text) for b in packed(spark, [block(100, True), block(50)], 0)] == [100]
+    assert packed(spark, None, 500) == [] and packed(spark, [], 500) == []
+    assert [b.reserved for b in packed(spark, [block(700, True), block(900), block(10)], 1200)] == [True, False]
     assert retrieval.char_budget() == 35_328
 
 
