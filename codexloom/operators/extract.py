@@ -10,19 +10,23 @@ SECTION_MENTION = r"Section\s+([0-9]{1,2}\.[0-9]{2}(?:\([a-z]\))*)"
 ORDINALS = ("First", "Second", "Third", "Fourth", "Fifth", "Sixth", "Seventh", "Eighth", "Ninth", "Tenth")
 
 
-def mentions(sections: DataFrame, pattern: str = SECTION_MENTION, before: int = 60, after: int = 20) -> DataFrame:
-    """(id, document_id, k, number, start, evidence): each mention with its surroundings.
+def matches(rows: DataFrame, pattern: str) -> DataFrame:
+    """(id, document_id, text, k, value, start, len): each match with its captured value.
 
-    Starts come from the lengths of the pieces between the matches, in one expression,
-    so no row leaves the JVM.
+    Starts come from the lengths of the pieces between the matches, summed inside the row,
+    so no row leaves the JVM or its partition.
     """
-    rows = sections.where(F.col("text").isNotNull()).select("id", "document_id", "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("num"))
-    rows = rows.where(F.size("m") > 0).withColumn("gap", F.transform(F.split("text", pattern, -1), lambda p: F.length(p)))
-    w = Window.partitionBy("id").orderBy("k")
-    flat = rows.select("id", "document_id", "text", F.posexplode(F.arrays_zip("m", "num", F.slice("gap", 1, F.size("m")).alias("gap"))).alias("k", "x"))
-    flat = flat.withColumn("len", F.length("x.m")).withColumn("start", F.sum(F.col("x.gap") + F.col("len")).over(w) - F.col("len"))
+    got = rows.where(F.col("text").isNotNull()).select("id", "document_id", "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("v"))
+    got = got.where(F.size("m") > 0).withColumn("gap", F.transform(F.split("text", pattern, -1), lambda p: F.length(p)))
+    upto = lambda i: F.aggregate(F.slice("gap", 1, i + 1), F.lit(0), lambda s, g: s + g) + F.aggregate(F.slice("m", 1, i), F.lit(0), lambda s, x: s + F.length(x))
+    flat = got.select("id", "document_id", "text", F.posexplode(F.transform("m", lambda x, i: F.struct(upto(i).alias("start"), F.length(x).alias("len"), F.get("v", i).alias("value")))).alias("k", "x"))
+    return flat.select("id", "document_id", "text", "k", F.col("x.value").alias("value"), F.col("x.start").cast("long").alias("start"), F.col("x.len").alias("len"))
+
+
+def mentions(sections: DataFrame, pattern: str = SECTION_MENTION, before: int = 60, after: int = 20) -> DataFrame:
+    """(id, document_id, k, number, start, evidence): each mention with its surroundings."""
     begin = F.greatest(F.col("start") - before, F.lit(0))
-    return flat.select("id", "document_id", "k", F.col("x.num").alias("number"), "start", F.substr("text", (begin + 1).cast("int"), (F.col("start") + F.col("len") + after - begin).cast("int")).alias("evidence"))
+    return matches(sections, pattern).select("id", "document_id", "k", F.col("value").alias("number"), "start", F.substr("text", (begin + 1).cast("int"), (F.col("start") + F.col("len") + after - begin).cast("int")).alias("evidence"))
 
 
 def classify_op(text: Column) -> Column:

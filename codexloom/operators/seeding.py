@@ -100,7 +100,7 @@ def seeds(parts: list[DataFrame], amends: DataFrame) -> DataFrame:
 
 #: What a question asks for, by its words in lower case. Fixed values.
 GATES = {
-    "dependents": r"\bdepend|\breli(?:es|y) on|\breference or depend",
+    "dependents": r"\bdepend|\brel(?:ies|y) on|\breference or depend",
     "parties": r"\bpart(?:y|ies)\b|\bwho (?:are|is)\b|\brole",
     "amendments": r"amend",
     "history": r"chang|amend|trace|evolv|restructur|modif|history",

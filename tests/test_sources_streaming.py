@@ -20,18 +20,32 @@ def test_machine_html():
     assert list(s) == ["base::preamble", "base::art7", "base::7.05", "base::7.05(a)", "base::7.05(b)", "base::1.01"]
     assert s["base::7.05(a)"]["text"] == "(a) first\n(d) stays" and s["base::7.05(b)"]["text"] == "(b) second\ngrid 1"
     assert s["base::1.01"]["text"].endswith("(a) not split") and s["base::7.05"]["title"] == "Dispositions"
-    assert html.describe(PAGE) | {} == {"id": "base", "doc_type": "base", "amendment_number": None, "doc_date": date(2019, 5, 6), "filing_url": "https://x.example/a.htm", "scanned": False}
-    assert html.parties("ACME, INC., as Borrower\nALPHA and BETA, as Co-Agents\nOther Lenders") == [("ACME, INC.", ["Borrower"]), ("ALPHA", ["Co-Agent"]), ("BETA", ["Co-Agent"]), ("The Other Lenders Party Hereto", ["Lender"])]
 
 
-def test_scanned_html_and_folder(spark, tmp_path):
-    text = "FIRST AMENDMENT TO it dated as of June 1, 2020. 1.1 Alpha. See Section 7.05 Beta. 1.2 Gamma. " + "word " * 1200 + "1.11 Amendment to Section 2. Text. 1.3 Delta."
+def test_machine_definitions():
+    term = '<div><font style="text-decoration: underline">“{0}”</font> means {0} things.</div>'
+    page = BOLD.format("ARTICLE I Terms") + term.format("Early") + BOLD.format("1.01 Defined Terms.") + "<div>As used:</div>" + term.format("Base Rate") + "<div>(a) more</div>" + "<div>“Plain” means nothing.</div>" + term.format("Loan") + BOLD.format("1.02 Other.") + term.format("Late")
+    got = html.machine_definitions(page, "base")
+    assert [d["term"] for d in got] == ["Base Rate", "Loan"]
+    assert got[0]["text"] == "“Base Rate” means Base Rate things.\n(a) more\n“Plain” means nothing." and got[0]["id"] == "base::def::Base Rate"
+
+
+def test_folder_of_filings(spark, tmp_path):
+    text = "FIRST AMENDMENT TO it dated as of June 1, 2020. 1.1 Alpha. See Section 7.05 Beta. 1.2 Gamma. 5.1 Skips. 2.1 Next. " + "word " * 1200 + "1.11 Amendment to Section 2. Text. 1.3 Delta."
     (tmp_path / "b.htm").write_bytes(f'<font style="color:white">{text}</font>'.encode("windows-1252"))
     (tmp_path / "a.html").write_bytes(PAGE.encode("windows-1252"))
-    docs = {r.id: r for r in html.read_documents(spark, str(tmp_path)).collect()}
-    assert docs["amendment_1"].scanned and docs["amendment_1"].amendment_number == 1 and docs["base"].amendment_number is None
+    (tmp_path / "c.htm").write_bytes(b"<div>\x81 no heading, dated as of Smarch 45, 2020</div>")
+    docs = {r.path.rsplit("/", 1)[-1]: r for r in html.read_documents(spark, str(tmp_path)).collect()}
+    assert (docs["b.htm"].id, docs["b.htm"].scanned, docs["b.htm"].amendment_number, docs["b.htm"].doc_date) == ("amendment_1", True, 1, date(2020, 6, 1))
+    a = docs["a.html"]
+    assert (a.id, a.doc_type, a.amendment_number, a.doc_date, a.filing_url, a.scanned) == ("base", "base", None, date(2019, 5, 6), "https://x.example/a.htm", False)
+    assert docs["c.htm"].doc_date is None and docs["c.htm"].filing_url == ""
     rows = html.read_sections(spark, str(tmp_path))
-    assert [r.number for r in rows.where("document_id = 'amendment_1'").orderBy("pos").collect()] == ["0", "1.1", "1.2", "1.11"]
+    got = rows.where("document_id = 'amendment_1'").orderBy("pos").collect()
+    assert [r.number for r in got] == ["0", "1.1", "1.2", "2.1", "1.11"] and [r.id for r in got][:2] == ["amendment_1::preamble", "amendment_1::1.1"]
+    assert got[0].title == "PREAMBLE" and got[1].text == "1.1 Alpha. See Section 7.05 Beta." and got[1].title == "" or got[1].title.startswith("1 Alpha")
+    assert got[4].title.startswith("Amendment to Section 2") and rows.where("document_id = 'base'").count() >= 6
+    assert html.read_definitions(spark, str(tmp_path)).count() == 0
 
 
 def test_graph_round_trip(spark, tmp_path):
