@@ -59,18 +59,22 @@ def hop_neighbors(vertices: DataFrame, edges: DataFrame, types: Iterable[str], f
     return first_k(e.join(text, "neighbor", "left_semi"), ["node"], ["neighbor"], limit or 2**31 - 1).select("node", "neighbor", "rank")
 
 
-def sibling_neighbors(vertices: DataFrame, edges: DataFrame, limit: int = 6) -> DataFrame:
+def sibling_neighbors(vertices: DataFrame, edges: DataFrame, limit: int | None = 6, frontier: DataFrame | None = None) -> DataFrame:
     """(node, neighbor, rank): sections under the same parent, the next ``limit`` by id.
 
     Children are numbered under their parent, and the first ``limit + 1`` of each parent
-    are joined to all its children, so no parent's pairs are listed in full.
+    are joined to all its children, so no parent's pairs are listed in full. Without a
+    limit they are; then ``frontier`` (node) should name the few nodes that are asked for.
     """
     section = vertices.where("node_type = 'Section'").select(F.col("id").alias("dst"))
-    under = edges.where("edge_type = 'CONTAINS'").select("src", "dst").distinct().join(section, "dst", "left_semi")
-    heads = first_k(under, ["src"], ["dst"], limit + 1).select("src", F.col("dst").alias("neighbor"))
-    kids = edges.where("edge_type = 'CONTAINS'").select("src", F.col("dst").alias("node")).distinct()
+    own = edges.where("edge_type = 'CONTAINS'").select("src", "dst").distinct()
+    kids = own.withColumnRenamed("dst", "node")
+    if frontier is not None:
+        kids = kids.join(frontier.select("node").distinct(), "node", "left_semi")
+    under = own.join(section, "dst", "left_semi")
+    heads = (first_k(under, ["src"], ["dst"], limit + 1) if limit else under).select("src", F.col("dst").alias("neighbor"))
     pairs = kids.join(heads, "src").where("node != neighbor").select("node", "neighbor").distinct()
-    return first_k(pairs, ["node"], ["neighbor"], limit).select("node", "neighbor", "rank")
+    return first_k(pairs, ["node"], ["neighbor"], limit or 2**31 - 1).select("node", "neighbor", "rank")
 
 
 def inbound_dependents(edges: DataFrame, types: Iterable[str] = ("REFERENCES", "DEPENDS_ON")) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexloom.plans import asknown, graph, retrieval, temporal, texts
+from codexloom.plans import answers, asknown, graph, retrieval, temporal, texts
 
-MODULES = [asknown, graph, temporal, texts, retrieval]
+MODULES = [asknown, graph, temporal, texts, retrieval, answers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.answer_context(spark, sf_dir)
+    return answers.answer_context(spark, sf_dir)

@@ -15,6 +15,13 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(build.vertices(spark, sf)), cut_lineage(build.edges(spark, sf))
 
 
+def links(spark: SparkSession, sf: str, around: DataFrame, limit: int | None = 6) -> tuple[DataFrame, DataFrame]:
+    """Hop neighbours and siblings of the nodes of ``around`` alone."""
+    v, e = _graph(spark, sf)
+    front = around.select("node")
+    return graph.hop_neighbors(v, e, HOP_TYPES, front, limit), graph.sibling_neighbors(v, e, limit, front)
+
+
 def graph_contains(spark: SparkSession, sf: str) -> DataFrame:
     return extract.containment(build.sections(spark, sf))
 

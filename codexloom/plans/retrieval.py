@@ -1,15 +1,12 @@
-"""From question to context, and what it is worth: retrieval, packing, metrics, audits."""
+"""What retrieval and answers are worth: packing and metrics over stored answers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.operators import build, extract, graph, metrics, retrieval, text
-from codexloom.operators.asknown import join_as_known
-from codexloom.plans.graph import BASE as _GRAPH
-from codexloom.plans.graph import HOP_TYPES
-from codexloom.runtime import cut_lineage, table
+from codexloom.operators import build, metrics, retrieval, text
+from codexloom.runtime import table
 
 BUDGET = 1200
 
@@ -98,49 +95,6 @@ def metric_indexing(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("document_id", "words", F.round(F.col("words") / 500, 4).alias("pages"))
 
 
-def citation_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """Per path: distinct citations, those that name a provision, resolve in the context
-    of their answer, and claim a day after the question's."""
-    a = _answers(spark, sf).select("answer_id", "path", "as_of", F.explode(F.array_distinct(F.zip_with("citations", "context_ids", lambda c, i: F.struct(c.alias("c"), i.alias("i"))))).alias("x"))
-    c, i = F.col("x.c"), F.col("x.i")
-    shaped = c.rlike(r"§\s*\d{1,2}\.\d{1,2}|definition of\s+[“\"]|Exhibit\s+[A-Z]\b")
-    number = F.regexp_extract(c, r"§\s*(\d{1,2}\.\d{1,2}(?:\([a-z0-9]{1,4}\))*)", 1)
-    term = F.regexp_extract(c, r"definition of\s+[“\"]([^”\"]+)[”\"]", 1)
-    names = F.when(term != "", F.expr("substring_index(x.i, '::', -1)") == term).otherwise(F.expr("substring_index(x.i, '::', -1)") == number)
-    rows = a.where(c.isNotNull()).select("path", shaped.alias("shaped"), (shaped & F.coalesce(names, F.lit(False))).alias("resolved"), metrics.anachronism(c, F.col("as_of")).isNotNull().alias("late"))
-    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("citations"), F.count_if("shaped").alias("shaped"), F.count_if("resolved").alias("resolved"), F.count_if("late").alias("late"))
-
-
-def _links(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    v, e = cut_lineage(build.vertices(spark, sf)), cut_lineage(build.edges(spark, sf))
-    return graph.hop_neighbors(v, e, HOP_TYPES, limit=8), graph.sibling_neighbors(v, e, 6)
-
-
-def _seeds(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections that a question cites, then terms that it names, in its agreement."""
-    q = table(spark, sf, "holdout_hard_set").select(F.col("id").alias("qid"), "question", F.substring_index(F.get("gold", F.lit(0)), "::", 1).alias("document_id")).dropDuplicates(["qid"])
-    m = extract.mentions(q.select(F.col("qid").alias("id"), "document_id", F.col("question").alias("text")))
-    cited = graph.resolve_mentions(m, build.sections(spark, sf)).where("dst IS NOT NULL").select(F.col("id").alias("qid"), F.col("dst").alias("node"), F.col("k").alias("pos"))
-    d = build.definitions(spark, sf)
-    terms = extract.term_mentions(q.select(F.col("qid").alias("key"), F.col("document_id").alias("scope"), F.col("question").alias("text")), d.select(F.col("document_id").alias("scope"), "term"))
-    named = terms.withColumnRenamed("key", "qid").join(q.select("qid", "document_id"), "qid").select("qid", F.concat("document_id", F.lit("::def::"), "term").alias("node"), (-F.length("term")).alias("pos"))
-    return retrieval.ordered_union([cited, named])
-
-
-def seeds_union(spark: SparkSession, sf: str) -> DataFrame:
-    return _seeds(spark, sf)
-
-
-def seeds_expanded(spark: SparkSession, sf: str) -> DataFrame:
-    hops, _ = _links(spark, sf)
-    return retrieval.expand(_seeds(spark, sf), hops)
-
-
-def stage2_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    hops, siblings = _links(spark, sf)
-    return retrieval.stage2(_seeds(spark, sf), siblings, hops)
-
-
 def rerank_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The three blocks of each answer that say most of its question's words."""
     b = _answers(spark, sf).select(F.col("answer_id").alias("qid"), "question", F.posexplode("context_blocks").alias("pos", "b"))
@@ -153,46 +107,7 @@ def pack_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("answer_id", F.size("p").alias("blocks"), F.coalesce(F.aggregate("p", F.lit(0), lambda s, b: s + F.length(b["text"])), F.lit(0)).alias("chars"))
 
 
-def audit_provisos(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections that point to a proviso of another, and whether that one has any."""
-    s = build.sections(spark, sf)
-    claim = s.where(F.col("text").rlike(r"(?i)\b(?:proviso|provided that|except)\b"))
-    to = build.references(s).select("src", "dst").distinct().join(claim.select(F.col("id").alias("src")), "src", "left_semi")
-    fam = s.select(F.col("id").alias("dst"), F.lower("text").contains("provided").alias("has"))
-    return to.join(fam, "dst").select("src", "dst", F.coalesce("has", F.lit(False)).alias("has_proviso"))
-
-
-def audit_precedence(spark: SparkSession, sf: str) -> DataFrame:
-    """The first clause of each section that overrides another."""
-    s = build.sections(spark, sf).where("text IS NOT NULL")
-    c = F.regexp_extract("text", r"(?:Notwithstanding|Subject always to|subject always to)\s+Section\s+([0-9.]+[0-9](?:\([a-z]\))*)", 1)
-    return s.select("id", c.alias("overrides")).where("overrides != ''")
-
-
-def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
-    s = build.sections(spark, sf)
-    return s.agg(F.count(F.lit(1)).alias("sections"), F.count_if(F.col("text").rlike(r"(?i)\bnotwithstanding\b")).alias("notwithstanding"), F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("empty"))
-
-
-def answer_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: for every question, seeds, ordered search, text as known on its day,
-    scoring, packing and the prompt's context. No model answers; that is a stub."""
-    q = table(spark, sf, "holdout_hard_set").select(F.col("id").alias("qid"), "question", "as_of").dropDuplicates(["qid"])
-    v, e = cut_lineage(build.vertices(spark, sf)), cut_lineage(build.edges(spark, sf))
-    hops = graph.hop_neighbors(v, e, HOP_TYPES, limit=8)
-    start = cut_lineage(retrieval.expand(_seeds(spark, sf), hops))
-    walked = graph.ordered_dfs(start, e, v.where(F.col("node_type").isin(*graph.TEXT_TYPES)).select("id"), max_depth=2, max_nodes=40)
-    # Read several times below, and the walk is the costly part.
-    events = cut_lineage(walked.join(q, "qid").select("qid", "question", "as_of", "pos", F.col("node").alias("node_id")))
-    known = join_as_known(events, table(spark, sf, "effective"), ["text", "citation"])
-    scored = known.where("text IS NOT NULL").withColumn("score", text.grounding(F.col("question"), F.col("text")))
-    best = retrieval.rerank(scored, 10)
-    blocks = best.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "citation", "text"))), lambda b: F.struct(b["citation"], b["text"])).alias("blocks"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda b: b["node_id"]).alias("context_ids"))
-    packed = blocks.withColumn("p", retrieval.pack(F.col("blocks"), retrieval.char_budget()))
-    return packed.select("qid", F.slice("context_ids", F.lit(1), F.size("p")).alias("context_ids"), retrieval.context(F.col("p")).alias("context"), F.lit("").alias("answer"))
-
-
-QUERIES = {f.__name__: f for f in (metric_context, metric_ranking, metric_by_path, metric_by_category, metric_latency, metric_percentiles, metric_citation_rates, metric_agreement, metric_correlation, metric_flips, metric_indexing, citation_verify, seeds_union, seeds_expanded, stage2_candidates, rerank_blocks, pack_blocks, audit_provisos, audit_precedence, audit_summary, answer_context)}
+QUERIES = {f.__name__: f for f in (metric_context, metric_ranking, metric_by_path, metric_by_category, metric_latency, metric_percentiles, metric_citation_rates, metric_agreement, metric_correlation, metric_flips, metric_indexing, rerank_blocks, pack_blocks)}
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOP_WORDS)
 _A = """WITH ans AS (SELECT answer_id, any_value(path) AS path, any_value(id) AS id, any_value(question) AS question, any_value(as_of) AS as_of, any_value(citations) AS citations, any_value(context_ids) AS context_ids, any_value(context_blocks) AS context_blocks, any_value(latency_s) AS latency_s, any_value(tag) AS tag FROM answers GROUP BY answer_id),
@@ -202,18 +117,6 @@ m AS (SELECT *, CASE WHEN len(gold) > 0 THEN len(list_filter(gold, lambda g: len
   CASE WHEN len(found) > 0 THEN len(list_filter(found, lambda c: len(list_filter(gold, lambda g: c = g OR starts_with(c, g || '(') OR starts_with(g, c || '('))) > 0)) / len(found) ELSE 0.0 END AS "precision",
   CASE WHEN len(gold) > 0 THEN len(list_intersect(gold, found)) / len(list_distinct(gold)) ELSE 1.0 END AS exact FROM j)
 """
-_SEEDS = (
-    _GRAPH
-    + r""", q AS (SELECT id AS qid, any_value(question) AS question, any_value(split_part(gold[1], '::', 1)) AS document_id FROM holdout_hard_set GROUP BY id),
-qn AS (SELECT qid, document_id, unnest(regexp_extract_all(question, 'Section\s+([0-9]{1,2}\.[0-9]{2}(?:\([a-z]\))*)', 1)) AS number, unnest(range(len(regexp_extract_all(question, 'Section\s+([0-9]{1,2}\.[0-9]{2}(?:\([a-z]\))*)')))) AS k FROM q),
-cited AS (SELECT n.qid, coalesce(s.id, p.id) AS node, 0 AS prio, n.k AS pos FROM qn n LEFT JOIN sec s ON s.document_id = n.document_id AND s.number = n.number LEFT JOIN sec p ON p.document_id = n.document_id AND p.number = split_part(n.number, '(', 1) WHERE coalesce(s.id, p.id) IS NOT NULL),
-named AS (SELECT q.qid, d.id AS node, 1 AS prio, -len(d.term) AS pos FROM q JOIN def d ON d.document_id = q.document_id AND regexp_matches(q.question, '(^|[^\w])' || d.term || '($|[^\w])')),
-u AS (SELECT qid, node, min((prio, pos)) AS at_ FROM (SELECT * FROM cited UNION ALL SELECT * FROM named) GROUP BY qid, node),
-seed AS (SELECT qid, node, CAST(row_number() OVER (PARTITION BY qid ORDER BY at_, node) - 1 AS INTEGER) AS pos FROM u),
-hp AS (SELECT node, neighbor, row_number() OVER (PARTITION BY node ORDER BY neighbor) AS rank FROM (SELECT DISTINCT b.node, b.neighbor FROM (SELECT src AS node, dst AS neighbor, edge_type FROM edge UNION ALL SELECT dst, src, edge_type FROM edge) b JOIN vert v ON v.id = b.neighbor AND v.node_type IN ('Section', 'Definition') WHERE b.edge_type IN ('REFERENCES', 'DEPENDS_ON', 'EXCEPTION_TO')) x),
-sb AS (SELECT node, neighbor, row_number() OVER (PARTITION BY node ORDER BY neighbor) AS rank FROM (SELECT DISTINCT a.dst AS node, b.dst AS neighbor FROM edge a JOIN edge b ON a.edge_type = 'CONTAINS' AND b.edge_type = 'CONTAINS' AND a.src = b.src AND a.dst <> b.dst JOIN vert v ON v.id = b.dst AND v.node_type = 'Section') y)
-"""
-)
 ORACLE = {
     "metric_context": _A + 'SELECT answer_id, round(recall, 6) AS recall, round("precision", 6) AS "precision", round(exact, 6) AS exact FROM m',
     "metric_ranking": _A + """, t AS (SELECT path, list_distinct(gold) AS g, found, list_filter(found, lambda x, i: list_position(found, x) = i)[1:10] AS top FROM j),
@@ -232,13 +135,6 @@ SELECT 'wholly_recalled' AS field, n, round(po, 6) AS agreement, CASE WHEN a * b
     "metric_correlation": _A + 'SELECT path, count(*) AS n, round(corr(recall, "precision"), 6) AS pearson FROM m WHERE recall IS NOT NULL GROUP BY path',
     "metric_flips": _A + ", t AS (SELECT id, tag, max(CAST(exact = 1 AS INTEGER)) AS ok FROM m WHERE tag IS NOT NULL GROUP BY id, tag) SELECT t.tag, count(*) AS questions, count(*) FILTER (WHERE n.ok = 1 AND t.ok = 0) AS regressions, count(*) FILTER (WHERE n.ok = 0 AND t.ok = 1) AS gains FROM t JOIN t n ON n.id = t.id AND n.tag = 'nightly' AND t.tag <> 'nightly' GROUP BY t.tag",
     "metric_indexing": "WITH sec AS (SELECT DISTINCT id, number, title, text, document_id, level, pos FROM sections), w AS (SELECT document_id, coalesce(sum(len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''))), 0) AS words FROM sec GROUP BY document_id) SELECT document_id, CAST(words AS BIGINT) AS words, round(words / 500, 4) AS pages FROM w",
-    "citation_verify": _A + r""", x AS (SELECT DISTINCT answer_id, path, as_of, unnest(list_zip(citations, context_ids)) AS z FROM ans), c AS (SELECT path, as_of, z[1] AS c, split_part(z[2], '::', -1) AS i FROM x WHERE z[1] IS NOT NULL),
-s AS (SELECT *, regexp_matches(c, '§\s*\d{1,2}\.\d{1,2}|definition of\s+[“"]|Exhibit\s+[A-Z]\b') AS shaped, regexp_extract(c, 'definition of\s+[“"]([^”"]+)[”"]', 1) AS term, regexp_extract(c, '§\s*(\d{1,2}\.\d{1,2}(?:\([a-z0-9]{1,4}\))*)', 1) AS num FROM c)
-SELECT path, count(*) AS citations, count(*) FILTER (WHERE shaped) AS shaped, count(*) FILTER (WHERE shaped AND i = CASE WHEN term <> '' THEN term ELSE num END) AS resolved,
-  count(*) FILTER (WHERE len(list_filter(regexp_extract_all(c, '(?:effective|dated)\s+(\d{4}-\d{2}-\d{2})', 1), lambda d: TRY_CAST(d AS DATE) > as_of)) > 0) AS late FROM s GROUP BY path""",
-    "seeds_union": _SEEDS + "SELECT qid, node, pos FROM seed",
-    "seeds_expanded": _SEEDS + ", e AS (SELECT qid, node, pos, 0 AS k FROM seed UNION ALL SELECT s.qid, h.neighbor, s.pos, h.rank FROM seed s JOIN hp h ON h.node = s.node AND h.rank <= 6), b AS (SELECT qid, node, min((pos, k)) AS at_ FROM e GROUP BY qid, node) SELECT qid, node, CAST(row_number() OVER (PARTITION BY qid ORDER BY at_, node) - 1 AS INTEGER) AS pos FROM b",
-    "stage2_candidates": _SEEDS + "SELECT DISTINCT s.qid, n.neighbor AS node FROM seed s JOIN (SELECT node, neighbor FROM hp WHERE rank <= 8 UNION SELECT node, neighbor FROM sb WHERE rank <= 6) n ON n.node = s.node WHERE NOT EXISTS (SELECT 1 FROM seed z WHERE z.qid = s.qid AND z.node = n.neighbor)",
     "rerank_blocks": _A + f""", b AS (SELECT answer_id AS qid, question, unnest(range(len(context_blocks))) AS pos, unnest(context_blocks) AS b FROM ans),
 g AS (SELECT qid, pos, list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z0-9.$%()]+')), lambda w: len(w) > 2 AND w NOT IN ({_STOP})) AS c, list_distinct(regexp_extract_all(lower(coalesce(b.text, '')), '[a-z0-9.$%()]+')) AS t FROM b),
 s AS (SELECT qid, CAST(pos AS INTEGER) AS pos, round(CASE WHEN len(c) = 0 THEN 1.0 ELSE len(list_intersect(c, t)) / len(c) END, 6) AS score FROM g)
@@ -250,7 +146,4 @@ f AS (SELECT answer_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, false
     CASE WHEN len(coalesce(b.b.text, '')) > {BUDGET} - f.used - len(coalesce(b.b.citation, '')) - 34 THEN len(regexp_replace(left(coalesce(b.b.text, ''), {BUDGET} - f.used - len(coalesce(b.b.citation, '')) - 54), '\\s+$', '')) + 13 ELSE len(coalesce(b.b.text, '')) END AS l
     FROM f JOIN b ON b.answer_id = f.answer_id AND b.k = f.k + 1) x)
 SELECT answer_id, CAST(arg_max(n, k) AS INTEGER) AS blocks, CAST(arg_max(chars, k) AS INTEGER) AS chars FROM f GROUP BY answer_id""",
-    "audit_provisos": _GRAPH + "SELECT DISTINCT r.src, r.dst, coalesce(contains(lower(d.text), 'provided'), false) AS has_proviso FROM ref r JOIN sec c ON c.id = r.src AND regexp_matches(c.text, '(?i)\\b(?:proviso|provided that|except)\\b') JOIN sec d ON d.id = r.dst",
-    "audit_precedence": _GRAPH + r"SELECT id, regexp_extract(text, '(?:Notwithstanding|Subject always to|subject always to)\s+Section\s+([0-9.]+[0-9](?:\([a-z]\))*)', 1) AS overrides FROM sec WHERE regexp_extract(text, '(?:Notwithstanding|Subject always to|subject always to)\s+Section\s+([0-9.]+[0-9](?:\([a-z]\))*)', 1) <> ''",
-    "audit_summary": _GRAPH + "SELECT count(*) AS sections, count(*) FILTER (WHERE regexp_matches(text, '(?i)\\bnotwithstanding\\b')) AS notwithstanding, count(*) FILTER (WHERE coalesce(trim(text), '') = '') AS \"empty\" FROM sec",
 }

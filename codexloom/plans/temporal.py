@@ -9,7 +9,7 @@ from codexloom.operators import build, extract, temporal
 from codexloom.runtime import cut_lineage, table
 
 
-def _ops(spark: SparkSession, sf: str) -> DataFrame:
+def amend_operations(spark: SparkSession, sf: str) -> DataFrame:
     """Each amending version as an operation, its kind taken from its words and status."""
     v = build.versions(spark, sf).where("status != 'original'")
     kind = F.when(F.col("status") == "added", "insert").otherwise(extract.classify_op(F.substring("text", 1, 240)))
@@ -29,24 +29,24 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asof_ops_before(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.ops_before(_ops(spark, sf), _asked(spark, sf)).select("node_id", "as_of", "eff", "seq", "kind", "instrument")
+    return temporal.ops_before(amend_operations(spark, sf), _asked(spark, sf)).select("node_id", "as_of", "eff", "seq", "kind", "instrument")
 
 
 def asof_status(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.status_on(_ops(spark, sf), _asked(spark, sf))
+    return temporal.status_on(amend_operations(spark, sf), _asked(spark, sf))
 
 
 def asof_fold_text(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.fold(_nodes(spark, sf), _ops(spark, sf), _asked(spark, sf))
+    return temporal.fold(_nodes(spark, sf), amend_operations(spark, sf), _asked(spark, sf))
 
 
 def asof_lattice(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.lattice(_ops(spark, sf), _nodes(spark, sf))
+    return temporal.lattice(amend_operations(spark, sf), _nodes(spark, sf))
 
 
 def asof_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Operations in force the day before, on and after each amendment day of a node."""
-    ops = _ops(spark, sf)
+    ops = amend_operations(spark, sf)
     days = ops.select("node_id", "eff").distinct()
     asked = days.select("node_id", F.explode(F.array(F.date_sub("eff", 1), "eff", F.date_add("eff", 1))).alias("as_of")).distinct()
     n = cut_lineage(temporal.status_on(ops, asked))
@@ -56,21 +56,21 @@ def asof_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def asof_mixed_vintage(spark: SparkSession, sf: str) -> DataFrame:
     """Definitions that use a term amended before they were themselves last amended."""
-    last = _ops(spark, sf).groupBy("node_id").agg(F.max("eff").alias("eff"))
+    last = amend_operations(spark, sf).groupBy("node_id").agg(F.max("eff").alias("eff"))
     uses = build.edges(spark, sf).where("edge_type = 'DEPENDS_ON'").select("src", "dst")
     a, b = last.toDF("src", "src_eff"), last.toDF("dst", "dst_eff")
     return uses.join(b, "dst").join(a, "src", "left").where("src_eff IS NULL OR src_eff < dst_eff").select("src", "dst", "src_eff", "dst_eff")
 
 
 def amendment_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.catalog(_ops(spark, sf))
+    return temporal.catalog(amend_operations(spark, sf))
 
 
 def amendment_versions_ok(spark: SparkSession, sf: str) -> DataFrame:
     """Share of the small set's version checks whose node has the status expected then."""
     q = table(spark, sf, "mini_eval_set").select("id", "version_checks").distinct().select("id", F.explode("version_checks").alias("c"))
     asked = q.select("id", F.col("c.node").alias("node_id"), F.col("c.as_of").alias("as_of"), F.col("c.status").alias("want"))
-    got = temporal.status_on(_ops(spark, sf), asked.select("node_id", "as_of").distinct())
+    got = temporal.status_on(amend_operations(spark, sf), asked.select("node_id", "as_of").distinct())
     j = asked.alias("q").join(got.alias("g"), (F.col("q.node_id") == F.col("g.node_id")) & F.col("q.as_of").eqNullSafe(F.col("g.as_of")))
     is_ = F.when(F.col("n_ops") > 0, F.lit("amended")).otherwise(F.lit("original"))
     return j.groupBy("id").agg(F.count(F.lit(1)).alias("checks"), F.avg((is_ == F.col("want")).cast("double")).alias("version_ok"))
@@ -80,7 +80,7 @@ QUERIES = {f.__name__: f for f in (asof_ops_before, asof_status, asof_fold_text,
 
 from codexloom.plans.graph import BASE as _GRAPH  # noqa: E402
 
-_OPS = (
+OPS = (
     _GRAPH
     + r""", ops AS (SELECT node_id, effective_date AS eff, version_id AS seq, CASE WHEN status = 'added' THEN 'insert'
     WHEN regexp_matches(left(text, 240), '(?is)amended by (?:deleting|replacing)|by replacing the text in the proviso') THEN 'replace'
@@ -95,9 +95,9 @@ hit AS (SELECT a.node_id, a.as_of, o.eff, o.seq, o.kind, o.instrument, o.new_tex
 _SURGICAL = """(trim(n) = '' OR (trim(t) <> '' AND (len(n) < greatest(400, CAST(floor(0.4 * len(t)) AS BIGINT))
  OR (regexp_matches(left(lower(n), 240), 'by replacing|by deleting|by inserting|is hereby amended|amended by replacing|replacing the text in the proviso') AND len(n) < len(t)))))"""
 ORACLE = {
-    "asof_ops_before": _OPS + "SELECT node_id, as_of, eff, seq, kind, instrument FROM hit",
-    "asof_status": _OPS + "SELECT a.node_id, a.as_of, count(h.seq) AS n_ops, arg_max(h.instrument, h.rn) AS last_instrument FROM asked a LEFT JOIN hit h ON h.node_id = a.node_id AND h.as_of IS NOT DISTINCT FROM a.as_of GROUP BY a.node_id, a.as_of",
-    "asof_fold_text": _OPS
+    "asof_ops_before": OPS + "SELECT node_id, as_of, eff, seq, kind, instrument FROM hit",
+    "asof_status": OPS + "SELECT a.node_id, a.as_of, count(h.seq) AS n_ops, arg_max(h.instrument, h.rn) AS last_instrument FROM asked a LEFT JOIN hit h ON h.node_id = a.node_id AND h.as_of IS NOT DISTINCT FROM a.as_of GROUP BY a.node_id, a.as_of",
+    "asof_fold_text": OPS
     + f""", f AS (
   SELECT a.node_id, a.as_of, CAST(0 AS BIGINT) AS rn, coalesce(x.v[3], '') AS t, coalesce(x.v[3], '') AS base, 'original' AS status, CAST([] AS VARCHAR[]) AS notes FROM asked a JOIN nodes x ON x.node_id = a.node_id
   UNION ALL
@@ -111,17 +111,17 @@ SELECT f.node_id, f.as_of, CASE WHEN len(notes) > 0 THEN t || chr(10) || array_t
   x.label || ', ' || coalesce('as amended by ' || h.instrument || ' (effective ' || h.eff || ')', 'as originally executed (' || x.v[1] || ')', 'not in the original') AS citation
 FROM f JOIN nodes x ON x.node_id = f.node_id LEFT JOIN hit h ON h.node_id = f.node_id AND h.as_of IS NOT DISTINCT FROM f.as_of AND h.rn = f.rn
 QUALIFY f.rn = max(f.rn) OVER (PARTITION BY f.node_id, f.as_of)""",
-    "asof_lattice": _OPS
+    "asof_lattice": OPS
     + """, d AS (SELECT DISTINCT node_id, eff + CAST(unnest([-1, 0, 1]) AS INTEGER) AS as_of FROM ops)
 SELECT d.node_id, CAST(d.as_of AS DATE) AS as_of, count(o.seq) AS n_ops, false AS reverts FROM d LEFT JOIN ops o ON o.node_id = d.node_id AND o.eff <= d.as_of GROUP BY d.node_id, d.as_of""",
-    "asof_windows": _OPS
+    "asof_windows": OPS
     + """SELECT d.node_id, d.eff, count(*) FILTER (WHERE o.eff <= d.eff - 1) AS pre, count(*) FILTER (WHERE o.eff <= d.eff) AS cur, count(*) FILTER (WHERE o.eff <= d.eff + 1) AS post
 FROM (SELECT DISTINCT node_id, eff FROM ops) d JOIN ops o ON o.node_id = d.node_id GROUP BY d.node_id, d.eff""",
-    "asof_mixed_vintage": _OPS
+    "asof_mixed_vintage": OPS
     + """, l AS (SELECT node_id, max(eff) AS eff FROM ops GROUP BY node_id)
 SELECT e.src, e.dst, a.eff AS src_eff, b.eff AS dst_eff FROM edge e JOIN l b ON b.node_id = e.dst LEFT JOIN l a ON a.node_id = e.src WHERE e.edge_type = 'DEPENDS_ON' AND (a.eff IS NULL OR a.eff < b.eff)""",
-    "amendment_catalog": _OPS + "SELECT eff, instrument, count(*) AS ops, string_agg(DISTINCT node_id || ' (' || kind || ')', '; ' ORDER BY node_id || ' (' || kind || ')') AS targets FROM ops GROUP BY eff, instrument",
-    "amendment_versions_ok": _OPS
+    "amendment_catalog": OPS + "SELECT eff, instrument, count(*) AS ops, string_agg(DISTINCT node_id || ' (' || kind || ')', '; ' ORDER BY node_id || ' (' || kind || ')') AS targets FROM ops GROUP BY eff, instrument",
+    "amendment_versions_ok": OPS
     + """, q AS (SELECT id, unnest(version_checks) AS c FROM (SELECT DISTINCT id, version_checks FROM mini_eval_set)), g AS (SELECT id, c.status AS want, CASE WHEN EXISTS (SELECT 1 FROM ops o WHERE o.node_id = c.node AND (c.as_of IS NULL OR o.eff <= c.as_of)) THEN 'amended' ELSE 'original' END AS got FROM q)
 SELECT id, count(*) AS checks, avg(CASE WHEN want = got THEN 1.0 ELSE 0.0 END) AS version_ok FROM g GROUP BY id""",
 }
