@@ -87,12 +87,6 @@ def _roots(spark: SparkSession, sf: str, seeds: DataFrame) -> DataFrame:
     return seeds.join(d, "node").select("qid", "node", "pos", "term")
 
 
-def term_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms that each defined term is computed from, three steps deep."""
-    e = build.edges(spark, sf).where("edge_type = 'DEPENDS_ON'")
-    return graph.closure(cut_lineage(e), build.definitions(spark, sf).select(F.col("id").alias("root")), 3)
-
-
 def block_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     ops = amend_operations(spark, sf).withColumn("agreement_id", F.substring_index("node_id", ".", 1))
     got = blocks.catalogue(ops, _labels(spark, sf), "agreement_id")
@@ -100,16 +94,17 @@ def block_catalogue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_dependents(spark: SparkSession, sf: str) -> DataFrame:
-    """Everything that depends on each defined term."""
-    roots = build.definitions(spark, sf).select(F.lit("").alias("qid"), F.col("id").alias("node"), "term")
+    """Everything that depends on each provision or defined term."""
+    v = build.vertices(spark, sf).where(F.col("node_type").isin(*graph.TEXT_TYPES))
+    roots = v.select(F.lit("").alias("qid"), F.col("id").alias("node"), F.col("label").alias("term")).dropDuplicates(["node"])
     got = blocks.dependents(roots, graph.inbound_dependents(build.edges(spark, sf)), _labels(spark, sf))
     return got.select("node", "citation", "text", F.array_join("node_ids", " ").alias("nodes"))
 
 
 def block_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Changes to the terms that each question's gold terms are computed from."""
+    """Changes to what each question's gold nodes refer to or are computed from."""
     gold = table(spark, sf, "holdout_hard_set").select(F.col("id").alias("qid"), "as_of", F.explode("gold").alias("node")).distinct()
-    uses = build.edges(spark, sf).where("edge_type = 'DEPENDS_ON'").select("src", "dst")
+    uses = build.edges(spark, sf).where("edge_type IN ('REFERENCES', 'DEPENDS_ON')").select("src", "dst")
     return blocks.components(gold, uses, amend_operations(spark, sf), _labels(spark, sf))
 
 
@@ -228,7 +223,7 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunks").select("id", "text", "document_name", "section_hint").where("text IS NOT NULL").dropDuplicates(["id"])
 
 
-QUERIES = {f.__name__: f for f in (question_agreements, question_gates, amend_ops, seeds_union, seeds_expanded, stage2_candidates, term_closure, block_catalogue, block_dependents, block_components, block_history, answer_context, baseline_context)}
+QUERIES = {f.__name__: f for f in (question_agreements, question_gates, amend_ops, seeds_union, seeds_expanded, stage2_candidates, block_catalogue, block_dependents, block_components, block_history, answer_context, baseline_context)}
 
 _W = r"[\p{L}\p{N}''’-]+"
 _SAY = lambda x: f"array_to_string(regexp_extract_all(lower({x}), '{_W}'), ' ')"
@@ -261,7 +256,7 @@ sb AS (SELECT DISTINCT a.dst AS node, b.dst AS neighbor FROM edge a JOIN edge b
 lab AS (SELECT id AS node_id, any_value(label) AS label FROM (SELECT id, name AS label FROM fil UNION ALL SELECT id, '§' || number FROM sec UNION ALL SELECT id, 'definition of “' || term || '” (§1.01)' FROM def) GROUP BY id)
 """
 )
-_DEP = "SELECT src, dst FROM edge WHERE edge_type = 'DEPENDS_ON'"
+_DEP = "SELECT src, dst FROM edge WHERE edge_type IN ('REFERENCES', 'DEPENDS_ON')"
 ORACLE = {
     "question_agreements": _SEEDS + "SELECT qid, agreement_id FROM agr",
     "question_gates": "WITH q AS (SELECT id AS qid, lower(any_value(question)) AS x FROM holdout_hard_set GROUP BY id) SELECT qid, "
@@ -271,14 +266,13 @@ ORACLE = {
     "seeds_union": _SEEDS + "SELECT qid, node, pos FROM seed",
     "seeds_expanded": _SEEDS + ", e AS (SELECT qid, node, pos, 0 AS k FROM seed UNION ALL SELECT s.qid, h.neighbor, s.pos, h.rank FROM seed s JOIN hp h ON h.node = s.node AND h.rank <= 6), b AS (SELECT qid, node, min((pos, k)) AS at_ FROM e GROUP BY qid, node) SELECT qid, node, CAST(row_number() OVER (PARTITION BY qid ORDER BY at_, node) - 1 AS INTEGER) AS pos FROM b",
     "stage2_candidates": _SEEDS + "SELECT DISTINCT s.qid, n.neighbor AS node FROM seed s JOIN (SELECT node, neighbor FROM hp UNION SELECT node, neighbor FROM sb) n ON n.node = s.node AND s.pos < 6 WHERE NOT EXISTS (SELECT 1 FROM seed z WHERE z.qid = s.qid AND z.node = n.neighbor)",
-    "term_closure": _SEEDS + f", d AS ({_DEP}), c1 AS (SELECT DISTINCT id AS root, dst AS node FROM def JOIN d ON src = id WHERE dst <> id), c2 AS (SELECT DISTINCT root, dst AS node FROM c1 JOIN d ON src = node WHERE dst <> root), c3 AS (SELECT DISTINCT root, dst AS node FROM c2 JOIN d ON src = node WHERE dst <> root) SELECT root, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM c1 UNION ALL SELECT *, 2 FROM c2 UNION ALL SELECT *, 3 FROM c3) GROUP BY root, node",
     "block_catalogue": _SEEDS
     + """, r AS (SELECT split_part(o.node_id, '.', 1) AS agreement_id, o.*, l.label FROM ops o JOIN lab l USING (node_id)),
 i AS (SELECT agreement_id, eff, instrument, count(*) AS n, string_agg('  ' || label || ' (' || kind || ')', chr(10) ORDER BY label, seq) AS l FROM r GROUP BY ALL),
 ids AS (SELECT agreement_id, node_id, min((eff, instrument)) AS m FROM r GROUP BY ALL)
 SELECT agreement_id, CAST(sum(n) AS BIGINT) AS operations, 'Amendment operations in all: ' || sum(n) || '.' || chr(10) || chr(10) || string_agg(instrument || ' — effective ' || eff || ' — ' || n || ' operations:' || chr(10) || l, chr(10) || chr(10) ORDER BY eff, instrument) AS text,
   (SELECT string_agg(node_id, ' ' ORDER BY m, node_id) FROM ids x WHERE x.agreement_id = i.agreement_id) AS nodes FROM i GROUP BY agreement_id""",
-    "block_dependents": _SEEDS + ", dep AS (SELECT DISTINCT e.dst AS node, e.src AS dependent, l.label FROM edge e JOIN lab l ON l.node_id = e.src WHERE edge_type IN ('REFERENCES', 'DEPENDS_ON')) SELECT d.id AS node, 'Provisions that depend on “' || d.term || '” (inbound graph edges)' AS citation, string_agg(label || '  [' || dependent || ']', chr(10) ORDER BY dependent) AS text, d.id || ' ' || string_agg(dependent, ' ' ORDER BY dependent) AS nodes FROM def d JOIN dep ON dep.node = d.id GROUP BY d.id, d.term",
+    "block_dependents": _SEEDS + ", dep AS (SELECT DISTINCT e.dst AS node, e.src AS dependent, l.label FROM edge e JOIN lab l ON l.node_id = e.src WHERE edge_type IN ('REFERENCES', 'DEPENDS_ON')) SELECT node, 'Provisions that depend on “' || d.label || '” (inbound graph edges)' AS citation, string_agg(dep.label || '  [' || dependent || ']', chr(10) ORDER BY dependent) AS text, node || ' ' || string_agg(dependent, ' ' ORDER BY dependent) AS nodes FROM dep JOIN lab d ON d.node_id = node JOIN vert v ON v.id = node AND v.node_type IN ('Section', 'Definition') GROUP BY node, d.label",
     "block_components": _SEEDS
     + f""", g AS (SELECT DISTINCT id AS qid, as_of, unnest(gold) AS node FROM holdout_hard_set), c AS (SELECT DISTINCT qid, as_of, node, dst AS component FROM g JOIN ({_DEP}) ON src = node WHERE dst <> node),
 o AS (SELECT qid, node, component, max((eff, seq, kind, instrument)) AS o FROM c JOIN ops ON node_id = component AND (as_of IS NULL OR eff <= as_of) GROUP BY ALL)
