@@ -80,21 +80,39 @@ def catalog(ops: DataFrame) -> DataFrame:
     return ops.groupBy("eff", "instrument").agg(F.count(F.lit(1)).alias("ops"), t.alias("targets"))
 
 
+#: Days before and after all that can be asked for.
+FIRST_DAY, LAST_DAY = "1900-01-01", "2100-01-01"
+
+
 def lattice_days(ops: DataFrame) -> DataFrame:
-    """Every effective day with the days before and after it."""
-    return ops.select(F.explode(F.array(F.date_sub("eff", 1), "eff", F.date_add("eff", 1))).alias("as_of")).distinct()
+    """(node_id, as_of): each node's effective days with the days around them, and two far ones."""
+    far = F.array(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))
+    days = F.concat(F.array(F.date_sub("eff", 1), F.col("eff"), F.date_add("eff", 1)), far)
+    return ops.select("node_id", F.explode(days).alias("as_of")).distinct()
+
+
+def check_lattice(folded: DataFrame, counted: DataFrame) -> DataFrame:
+    """(node_id, as_of, n_ops, status, reverts, late) from the folds and counts of a lattice.
+
+    ``reverts`` is true where a node has fewer operations than on an earlier day, or is
+    original again after it was amended; ``late`` where its citation names a later day.
+    Neither must ever be.
+    """
+    w = Window.partitionBy("node_id").orderBy("as_of").rowsBetween(Window.unboundedPreceding, -1)
+    rows = folded.join(counted.select("node_id", "as_of", "n_ops"), ["node_id", "as_of"])
+    fewer = F.col("n_ops") < F.max("n_ops").over(w)
+    again = (F.col("status") == "original") & F.max(F.col("status") != "original").over(w)
+    days = F.transform(F.regexp_extract_all("citation", F.lit(r"(?:effective|dated)\s+(\d{4}-\d{2}-\d{2})"), F.lit(1)), lambda d: F.try_to_date(d))
+    late = F.exists(days, lambda d: d > F.col("as_of"))
+    return rows.select("node_id", "as_of", "n_ops", "status", F.coalesce(fewer | again, F.lit(False)).alias("reverts"), F.coalesce(late, F.lit(False)).alias("late"))
 
 
-def lattice(ops: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node_id, as_of, n_ops, reverts) on each node's own lattice of days.
+def check_windows(days: DataFrame, folded: DataFrame) -> DataFrame:
+    """(node_id, eff, status, changes, changes_again, cites_anew, cites_day) around each day of ``days``.
 
-    ``reverts`` is true where a node has fewer operations than on an earlier day, which
-    must never be. Running counts by day replace a join of days with operations.
+    Text and citation must change on the day itself, and again the day after only if
+    another operation takes effect then; the citation must name the day.
     """
-    per = ops.groupBy("node_id", "eff").agg(F.count(F.lit(1)).alias("c"))
-    days = per.select("node_id", F.explode(F.array(F.date_sub("eff", 1), "eff", F.date_add("eff", 1))).alias("as_of")).distinct().join(nodes.select("node_id").distinct(), "node_id", "left_semi")
-    both = days.withColumn("c", F.lit(0)).withColumn("ask", F.lit(True)).unionByName(per.select("node_id", F.col("eff").alias("as_of"), "c", F.lit(False).alias("ask")))
-    w = Window.partitionBy("node_id").orderBy("as_of")
-    run = both.withColumn("n_ops", F.sum("c").over(w)).where("ask")
-    before = F.lag("n_ops").over(Window.partitionBy("node_id").orderBy("as_of"))
-    return run.withColumn("reverts", F.coalesce(F.col("n_ops") < before, F.lit(False))).select("node_id", "as_of", "n_ops", "reverts")
+    at = lambda k, x: folded.select("node_id", F.date_add("as_of", k).alias("eff"), F.col("text").alias(f"{x}_t"), F.col("citation").alias(f"{x}_c"), F.col("status").alias(f"{x}_s"))
+    j = days.join(at(1, "p"), ["node_id", "eff"]).join(at(0, "c"), ["node_id", "eff"]).join(at(-1, "n"), ["node_id", "eff"])
+    return j.select("node_id", "eff", F.col("c_s").alias("status"), (~F.col("p_t").eqNullSafe(F.col("c_t"))).alias("changes"), (~F.col("c_t").eqNullSafe(F.col("n_t"))).alias("changes_again"), (~F.col("p_c").eqNullSafe(F.col("c_c"))).alias("cites_anew"), F.contains("c_c", F.col("eff").cast("string")).alias("cites_day"))

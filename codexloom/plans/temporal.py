@@ -41,25 +41,38 @@ def asof_fold_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asof_lattice(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.lattice(amend_operations(spark, sf), _nodes(spark, sf))
+    """Every node on its own lattice of days: operations, status, and what must never be."""
+    ops = amend_operations(spark, sf)
+    days = temporal.lattice_days(ops)
+    return temporal.check_lattice(temporal.fold(_nodes(spark, sf), ops, days), temporal.status_on(ops, days))
 
 
 def asof_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Operations in force the day before, on and after each amendment day of a node."""
+    """The text and citation of a node the day before, on and after each of its amendment days."""
     ops = amend_operations(spark, sf)
     days = ops.select("node_id", "eff").distinct()
     asked = days.select("node_id", F.explode(F.array(F.date_sub("eff", 1), "eff", F.date_add("eff", 1))).alias("as_of")).distinct()
-    n = cut_lineage(temporal.status_on(ops, asked))
-    at = lambda k, name: n.select("node_id", F.date_sub("as_of", k).alias("eff"), F.col("n_ops").alias(name))
-    return days.join(at(-1, "pre"), ["node_id", "eff"]).join(at(0, "cur"), ["node_id", "eff"]).join(at(1, "post"), ["node_id", "eff"])
+    return temporal.check_windows(days, cut_lineage(temporal.fold(_nodes(spark, sf), ops, asked)))
 
 
 def asof_mixed_vintage(spark: SparkSession, sf: str) -> DataFrame:
-    """Definitions that use a term amended before they were themselves last amended."""
-    last = amend_operations(spark, sf).groupBy("node_id").agg(F.max("eff").alias("eff"))
-    uses = build.edges(spark, sf).where("edge_type = 'DEPENDS_ON'").select("src", "dst")
+    """Provisions that use one amended since they were last amended, with its status around that day."""
+    ops = amend_operations(spark, sf)
+    last = ops.groupBy("node_id").agg(F.max("eff").alias("eff"))
+    uses = build.edges(spark, sf).where("edge_type IN ('DEPENDS_ON', 'REFERENCES')").select("src", "dst").distinct()
     a, b = last.toDF("src", "src_eff"), last.toDF("dst", "dst_eff")
-    return uses.join(b, "dst").join(a, "src", "left").where("src_eff IS NULL OR src_eff < dst_eff").select("src", "dst", "src_eff", "dst_eff")
+    mixed = uses.join(b, "dst").join(a, "src", "left").where("src_eff IS NULL OR src_eff < dst_eff")
+    asked = mixed.select(F.col("dst").alias("node_id"), F.explode(F.array(F.date_sub("dst_eff", 1), "dst_eff")).alias("as_of")).distinct()
+    told = cut_lineage(temporal.fold(_nodes(spark, sf), ops, asked).select("node_id", "as_of", "status"))
+    at = lambda k, name: told.select(F.col("node_id").alias("dst"), F.date_add("as_of", k).alias("dst_eff"), F.col("status").alias(name))
+    return mixed.join(at(1, "before"), ["dst", "dst_eff"]).join(at(0, "after"), ["dst", "dst_eff"]).select("src", "dst", "src_eff", "dst_eff", "before", "after")
+
+
+def amended_operations(spark: SparkSession, sf: str) -> DataFrame:
+    """Each amended node with its operations, oldest first."""
+    o = F.array_sort(F.collect_list(F.struct("eff", "seq", "kind")))
+    line = F.array_join(F.transform("o", lambda x: F.concat(x["eff"].cast("string"), F.lit(" "), x["kind"])), "; ")
+    return amend_operations(spark, sf).groupBy("node_id").agg(o.alias("o")).select("node_id", F.size("o").alias("operations"), line.alias("history"))
 
 
 def amendment_catalog(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,13 +83,12 @@ def amendment_versions_ok(spark: SparkSession, sf: str) -> DataFrame:
     """Share of the small set's version checks whose node has the status expected then."""
     q = table(spark, sf, "mini_eval_set").select("id", "version_checks").distinct().select("id", F.explode("version_checks").alias("c"))
     asked = q.select("id", F.col("c.node").alias("node_id"), F.col("c.as_of").alias("as_of"), F.col("c.status").alias("want"))
-    got = temporal.status_on(amend_operations(spark, sf), asked.select("node_id", "as_of").distinct())
+    got = temporal.fold(_nodes(spark, sf), amend_operations(spark, sf), asked.select("node_id", "as_of").distinct()).select("node_id", "as_of", "status")
     j = asked.alias("q").join(got.alias("g"), (F.col("q.node_id") == F.col("g.node_id")) & F.col("q.as_of").eqNullSafe(F.col("g.as_of")))
-    is_ = F.when(F.col("n_ops") > 0, F.lit("amended")).otherwise(F.lit("original"))
-    return j.groupBy("id").agg(F.count(F.lit(1)).alias("checks"), F.avg((is_ == F.col("want")).cast("double")).alias("version_ok"))
+    return j.groupBy("id").agg(F.count(F.lit(1)).alias("checks"), F.avg((F.col("status") == F.col("want")).cast("double")).alias("version_ok"))
 
 
-QUERIES = {f.__name__: f for f in (asof_ops_before, asof_status, asof_fold_text, asof_lattice, asof_windows, asof_mixed_vintage, amendment_catalog, amendment_versions_ok)}
+QUERIES = {f.__name__: f for f in (asof_ops_before, asof_status, asof_fold_text, asof_lattice, asof_windows, asof_mixed_vintage, amended_operations, amendment_catalog, amendment_versions_ok)}
 
 from codexloom.plans.graph import BASE as _GRAPH  # noqa: E402
 
@@ -94,11 +106,7 @@ hit AS (SELECT a.node_id, a.as_of, o.eff, o.seq, o.kind, o.instrument, o.new_tex
 )
 _SURGICAL = """(trim(n) = '' OR (trim(t) <> '' AND (len(n) < greatest(400, CAST(floor(0.4 * len(t)) AS BIGINT))
  OR (regexp_matches(left(lower(n), 240), 'by replacing|by deleting|by inserting|is hereby amended|amended by replacing|replacing the text in the proviso') AND len(n) < len(t)))))"""
-ORACLE = {
-    "asof_ops_before": OPS + "SELECT node_id, as_of, eff, seq, kind, instrument FROM hit",
-    "asof_status": OPS + "SELECT a.node_id, a.as_of, count(h.seq) AS n_ops, arg_max(h.instrument, h.rn) AS last_instrument FROM asked a LEFT JOIN hit h ON h.node_id = a.node_id AND h.as_of IS NOT DISTINCT FROM a.as_of GROUP BY a.node_id, a.as_of",
-    "asof_fold_text": OPS
-    + f""", f AS (
+_FOLD = f""", f AS (
   SELECT a.node_id, a.as_of, CAST(0 AS BIGINT) AS rn, coalesce(x.v[3], '') AS t, coalesce(x.v[3], '') AS base, 'original' AS status, CAST([] AS VARCHAR[]) AS notes FROM asked a JOIN nodes x ON x.node_id = a.node_id
   UNION ALL
   SELECT node_id, as_of, rn, CASE WHEN kind = 'restate' AND NOT s THEN n WHEN kind = 'insert' THEN CASE WHEN t = '' THEN n ELSE t || chr(10) || n END ELSE t END, base,
@@ -106,22 +114,40 @@ ORACLE = {
     CASE WHEN (kind = 'restate' AND NOT s) OR kind = 'insert' THEN CASE WHEN len(notes) = 0 THEN ['[as amended by ' || stamp || ']'] ELSE notes END
       ELSE list_append(notes, '[' || CASE WHEN kind = 'restate' THEN 'proviso/restate' ELSE kind END || ' per ' || stamp || ': ' || n || ']') END
   FROM (SELECT f.node_id, f.as_of, h.rn, f.t, f.base, f.notes, h.kind, h.new_text AS n, h.instrument || ' (effective ' || h.eff || ')' AS stamp, {_SURGICAL.replace("(n)", "(h.new_text)").replace("(t)", "(f.t)")} AS s
-    FROM f JOIN hit h ON h.node_id = f.node_id AND h.as_of IS NOT DISTINCT FROM f.as_of AND h.rn = f.rn + 1))
-SELECT f.node_id, f.as_of, CASE WHEN len(notes) > 0 THEN t || chr(10) || array_to_string(notes, chr(10)) ELSE t END AS text, f.status,
+    FROM f JOIN hit h ON h.node_id = f.node_id AND h.as_of IS NOT DISTINCT FROM f.as_of AND h.rn = f.rn + 1)),
+folded AS (SELECT f.node_id, f.as_of, CASE WHEN len(notes) > 0 THEN t || chr(10) || array_to_string(notes, chr(10)) ELSE t END AS text, f.status,
   x.label || ', ' || coalesce('as amended by ' || h.instrument || ' (effective ' || h.eff || ')', 'as originally executed (' || x.v[1] || ')', 'not in the original') AS citation
 FROM f JOIN nodes x ON x.node_id = f.node_id LEFT JOIN hit h ON h.node_id = f.node_id AND h.as_of IS NOT DISTINCT FROM f.as_of AND h.rn = f.rn
-QUALIFY f.rn = max(f.rn) OVER (PARTITION BY f.node_id, f.as_of)""",
-    "asof_lattice": OPS
-    + """, d AS (SELECT DISTINCT node_id, eff + CAST(unnest([-1, 0, 1]) AS INTEGER) AS as_of FROM ops)
-SELECT d.node_id, CAST(d.as_of AS DATE) AS as_of, count(o.seq) AS n_ops, false AS reverts FROM d LEFT JOIN ops o ON o.node_id = d.node_id AND o.eff <= d.as_of GROUP BY d.node_id, d.as_of""",
-    "asof_windows": OPS
-    + """SELECT d.node_id, d.eff, count(*) FILTER (WHERE o.eff <= d.eff - 1) AS pre, count(*) FILTER (WHERE o.eff <= d.eff) AS cur, count(*) FILTER (WHERE o.eff <= d.eff + 1) AS post
-FROM (SELECT DISTINCT node_id, eff FROM ops) d JOIN ops o ON o.node_id = d.node_id GROUP BY d.node_id, d.eff""",
-    "asof_mixed_vintage": OPS
-    + """, l AS (SELECT node_id, max(eff) AS eff FROM ops GROUP BY node_id)
-SELECT e.src, e.dst, a.eff AS src_eff, b.eff AS dst_eff FROM edge e JOIN l b ON b.node_id = e.dst LEFT JOIN l a ON a.node_id = e.src WHERE e.edge_type = 'DEPENDS_ON' AND (a.eff IS NULL OR a.eff < b.eff)""",
+QUALIFY f.rn = max(f.rn) OVER (PARTITION BY f.node_id, f.as_of))"""
+_ASKED = "asked AS (SELECT DISTINCT node_id, as_of FROM (SELECT unnest(gold) AS node_id, as_of FROM holdout_hard_set) WHERE node_id IN (SELECT node_id FROM ver))"
+
+
+def folded(asked: str = _ASKED) -> str:
+    """The common table expressions up to ``folded`` (node_id, as_of, text, status, citation) for ``asked``."""
+    return OPS.replace(_ASKED, asked) + _FOLD
+
+
+_NODE = "node_id IN (SELECT node_id FROM nodes)"
+_AROUND = "SELECT DISTINCT node_id, CAST(eff + CAST(unnest([-1, 0, 1]) AS INTEGER) AS DATE) AS as_of FROM ops"
+ORACLE = {
+    "asof_ops_before": OPS + "SELECT node_id, as_of, eff, seq, kind, instrument FROM hit",
+    "asof_status": OPS + "SELECT a.node_id, a.as_of, count(h.seq) AS n_ops, arg_max(h.instrument, h.rn) AS last_instrument FROM asked a LEFT JOIN hit h ON h.node_id = a.node_id AND h.as_of IS NOT DISTINCT FROM a.as_of GROUP BY a.node_id, a.as_of",
+    "asof_fold_text": folded() + " SELECT * FROM folded",
     "amendment_catalog": OPS + "SELECT eff, instrument, count(*) AS ops, string_agg(DISTINCT node_id || ' (' || kind || ')', '; ' ORDER BY node_id || ' (' || kind || ')') AS targets FROM ops GROUP BY eff, instrument",
+    "asof_lattice": folded(f"asked AS ({_AROUND} UNION SELECT DISTINCT node_id, unnest([DATE '1900-01-01', DATE '2100-01-01']) FROM ops)")
+    + """, c AS (SELECT node_id, as_of, status, count(seq) AS n_ops FROM folded LEFT JOIN hit USING (node_id, as_of) GROUP BY ALL)
+SELECT c.node_id, c.as_of, n_ops, c.status, coalesce(n_ops < max(n_ops) OVER w OR (c.status = 'original' AND max(CASE WHEN c.status <> 'original' THEN 1 ELSE 0 END) OVER w = 1), false) AS reverts,
+  coalesce(len(list_filter(regexp_extract_all(f.citation, '(?:effective|dated)\\s+(\\d{4}-\\d{2}-\\d{2})', 1), lambda d: TRY_CAST(d AS DATE) > c.as_of)) > 0, false) AS late
+FROM c JOIN folded f USING (node_id, as_of) WINDOW w AS (PARTITION BY c.node_id ORDER BY c.as_of ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "asof_windows": folded(f"asked AS ({_AROUND})")
+    + """, d AS (SELECT DISTINCT node_id, eff FROM ops) SELECT d.node_id, d.eff, c.status, p.text IS DISTINCT FROM c.text AS changes, c.text IS DISTINCT FROM n.text AS changes_again, p.citation IS DISTINCT FROM c.citation AS cites_anew, contains(c.citation, CAST(d.eff AS VARCHAR)) AS cites_day
+FROM d JOIN folded p ON p.node_id = d.node_id AND p.as_of = d.eff - 1 JOIN folded c ON c.node_id = d.node_id AND c.as_of = d.eff JOIN folded n ON n.node_id = d.node_id AND n.as_of = d.eff + 1""",
+    "asof_mixed_vintage": folded("l AS (SELECT node_id, max(eff) AS eff FROM ops GROUP BY node_id), mixed AS (SELECT DISTINCT e.src, e.dst, a.eff AS src_eff, b.eff AS dst_eff FROM edge e JOIN l b ON b.node_id = e.dst LEFT JOIN l a ON a.node_id = e.src WHERE e.edge_type IN ('DEPENDS_ON', 'REFERENCES') AND (a.eff IS NULL OR a.eff < b.eff)), asked AS (SELECT DISTINCT dst AS node_id, CAST(dst_eff + CAST(unnest([-1, 0]) AS INTEGER) AS DATE) AS as_of FROM mixed)")
+    + " SELECT m.*, p.status AS before, c.status AS after FROM mixed m JOIN folded p ON p.node_id = m.dst AND p.as_of = m.dst_eff - 1 JOIN folded c ON c.node_id = m.dst AND c.as_of = m.dst_eff",
+    "amended_operations": OPS + "SELECT node_id, CAST(count(*) AS INTEGER) AS operations, string_agg(eff || ' ' || kind, '; ' ORDER BY eff, seq) AS history FROM ops GROUP BY node_id",
     "amendment_versions_ok": OPS
-    + """, q AS (SELECT id, unnest(version_checks) AS c FROM (SELECT DISTINCT id, version_checks FROM mini_eval_set)), g AS (SELECT id, c.status AS want, CASE WHEN EXISTS (SELECT 1 FROM ops o WHERE o.node_id = c.node AND (c.as_of IS NULL OR o.eff <= c.as_of)) THEN 'amended' ELSE 'original' END AS got FROM q)
+    + """, q AS (SELECT id, unnest(version_checks) AS c FROM (SELECT DISTINCT id, version_checks FROM mini_eval_set)),
+l AS (SELECT id, c.status AS want, c.node AS node, c.as_of AS as_of, (SELECT arg_max(kind, (eff, seq)) FROM ops o WHERE o.node_id = c.node AND (c.as_of IS NULL OR o.eff <= c.as_of)) AS k FROM q),
+g AS (SELECT id, want, CASE WHEN k IS NULL THEN 'original' WHEN k = 'insert' AND coalesce((SELECT v[3] FROM nodes n WHERE n.node_id = node), '') = '' THEN 'added' ELSE 'amended' END AS got FROM l)
 SELECT id, count(*) AS checks, avg(CASE WHEN want = got THEN 1.0 ELSE 0.0 END) AS version_ok FROM g GROUP BY id""",
 }
