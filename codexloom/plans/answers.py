@@ -21,7 +21,7 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "holdout_hard_set").select(F.col("id").alias("qid"), "question", "as_of").dropDuplicates(["qid"])
 
 
-def _companies(spark: SparkSession, sf: str) -> DataFrame:
+def companies(spark: SparkSession, sf: str) -> DataFrame:
     f = build.filings(spark, sf).where("doc_type = 'base'")
     return f.select("agreement_id", F.regexp_replace("name", r"\s+Credit Agreement\s*$", "").alias("company"))
 
@@ -29,7 +29,7 @@ def _companies(spark: SparkSession, sf: str) -> DataFrame:
 def _placed(spark: SparkSession, sf: str) -> DataFrame:
     """The questions with the base document of the agreement that they name, if any."""
     q = _questions(spark, sf)
-    own = seeding.agreements(q, _companies(spark, sf))
+    own = seeding.agreements(q, companies(spark, sf))
     return q.join(own, "qid", "left").withColumn("document_id", F.concat("agreement_id", F.lit(".base")))
 
 
@@ -49,7 +49,7 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def question_agreements(spark: SparkSession, sf: str) -> DataFrame:
-    return seeding.agreements(_questions(spark, sf), _companies(spark, sf))
+    return seeding.agreements(_questions(spark, sf), companies(spark, sf))
 
 
 def question_gates(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexloom.plans import answers, asknown, graph, retrieval, temporal, texts
+from codexloom.plans import answers, asknown, citations, graph, retrieval, temporal, texts
 
-MODULES = [asknown, graph, temporal, texts, retrieval, answers]
+MODULES = [asknown, graph, temporal, texts, retrieval, answers, citations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

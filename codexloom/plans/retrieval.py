@@ -110,7 +110,7 @@ def pack_blocks(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (metric_context, metric_ranking, metric_by_path, metric_by_category, metric_latency, metric_percentiles, metric_citation_rates, metric_agreement, metric_correlation, metric_flips, metric_indexing, rerank_blocks, pack_blocks)}
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOP_WORDS)
-_A = """WITH ans AS (SELECT answer_id, any_value(path) AS path, any_value(id) AS id, any_value(question) AS question, any_value(as_of) AS as_of, any_value(citations) AS citations, any_value(context_ids) AS context_ids, any_value(context_blocks) AS context_blocks, any_value(latency_s) AS latency_s, any_value(tag) AS tag FROM answers GROUP BY answer_id),
+A = """WITH ans AS (SELECT answer_id, any_value(path) AS path, any_value(id) AS id, any_value(question) AS question, any_value(as_of) AS as_of, any_value(citations) AS citations, any_value(context_ids) AS context_ids, any_value(context_blocks) AS context_blocks, any_value(latency_s) AS latency_s, any_value(tag) AS tag FROM answers GROUP BY answer_id),
 gold AS (SELECT id, any_value(gold) AS gold FROM (SELECT id, gold FROM holdout_hard_set UNION ALL SELECT id, gold FROM mini_eval_set) GROUP BY id),
 j AS (SELECT a.answer_id, a.id, a.path, a.tag, g.gold, coalesce(a.context_ids, []) AS found FROM ans a JOIN gold g USING (id)),
 m AS (SELECT *, CASE WHEN len(gold) > 0 THEN len(list_filter(gold, lambda g: len(list_filter(found, lambda c: c = g OR starts_with(c, g || '(') OR starts_with(g, c || '('))) > 0)) / len(gold) END AS recall,
@@ -118,28 +118,28 @@ m AS (SELECT *, CASE WHEN len(gold) > 0 THEN len(list_filter(gold, lambda g: len
   CASE WHEN len(gold) > 0 THEN len(list_intersect(gold, found)) / len(list_distinct(gold)) ELSE 1.0 END AS exact FROM j)
 """
 ORACLE = {
-    "metric_context": _A + 'SELECT answer_id, round(recall, 6) AS recall, round("precision", 6) AS "precision", round(exact, 6) AS exact FROM m',
-    "metric_ranking": _A + """, t AS (SELECT path, list_distinct(gold) AS g, found, list_filter(found, lambda x, i: list_position(found, x) = i)[1:10] AS top FROM j),
+    "metric_context": A + 'SELECT answer_id, round(recall, 6) AS recall, round("precision", 6) AS "precision", round(exact, 6) AS exact FROM m',
+    "metric_ranking": A + """, t AS (SELECT path, list_distinct(gold) AS g, found, list_filter(found, lambda x, i: list_position(found, x) = i)[1:10] AS top FROM j),
 h AS (SELECT path, g, list_filter(list_transform(top, lambda x, i: CASE WHEN list_contains(g, x) THEN i END), lambda r: r IS NOT NULL) AS h FROM t),
 s AS (SELECT path, CASE WHEN len(g) > 0 THEN len(h) / len(g) ELSE 0.0 END AS r, CASE WHEN len(h) > 0 THEN 1.0 / list_min(h) ELSE 0.0 END AS mrr,
   CASE WHEN len(g) > 0 THEN coalesce(list_sum(list_transform(h, lambda x: 1 / log2(x + 1))), 0.0) / list_sum(list_transform(range(1, least(len(g), 10) + 1), lambda x: 1 / log2(x + 1))) ELSE 0.0 END AS n FROM h)
 SELECT path, round(avg(r), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr_at_10, round(avg(n), 6) AS ndcg_at_10 FROM s GROUP BY path""",
-    "metric_by_path": _A + 'SELECT path, count(*) AS n, round(avg(recall), 6) AS recall, round(avg("precision"), 6) AS "precision", round(avg(recall) FILTER (WHERE tag IS NOT NULL), 6) AS tagged_recall, count(tag) AS tagged FROM m GROUP BY path',
-    "metric_by_category": _A + ", q AS (SELECT id, any_value(regexp_replace(lower(trim(category)), '[ -]+', '_', 'g')) AS category FROM holdout_hard_set GROUP BY id) SELECT category, count(*) AS answers, count(*) FILTER (WHERE exact = 1) AS whole, round(avg(exact), 6) AS mean_exact FROM m JOIN q USING (id) GROUP BY category",
-    "metric_latency": _A + "SELECT path, count(latency_s) AS n, round(avg(latency_s), 6) AS mean, min(latency_s) AS least, max(latency_s) AS most FROM ans GROUP BY path",
-    "metric_percentiles": _A + ", r AS (SELECT path, latency_s, row_number() OVER (PARTITION BY path ORDER BY latency_s) - 1 AS k, count(*) OVER (PARTITION BY path) AS n FROM ans WHERE latency_s IS NOT NULL) SELECT path, n, max(latency_s) FILTER (WHERE k = CAST(floor(n / 2) AS BIGINT)) AS p50, max(latency_s) FILTER (WHERE k = least(n - 1, CAST(round_even(n * 0.95, 0) AS BIGINT))) AS p95 FROM r GROUP BY path, n",
-    "metric_citation_rates": _A + ", c AS (SELECT path, unnest(citations) AS c FROM ans) SELECT path, count(*) AS citations, round(avg(CASE WHEN regexp_matches(c, '§[0-9.]+\\(') THEN 1.0 ELSE 0.0 END), 6) AS subsection_rate, count(*) FILTER (WHERE lower(c) NOT LIKE '%as originally executed%' AND (lower(c) LIKE '%as amended by%' OR lower(c) LIKE '%proviso added by%')) AS amended FROM c GROUP BY path",
-    "metric_agreement": _A + """, p AS (SELECT id, max(CASE WHEN path = 'graph' THEN CAST(exact = 1 AS INTEGER) END) AS g, max(CASE WHEN path = 'baseline' THEN CAST(exact = 1 AS INTEGER) END) AS b FROM m GROUP BY id),
+    "metric_by_path": A + 'SELECT path, count(*) AS n, round(avg(recall), 6) AS recall, round(avg("precision"), 6) AS "precision", round(avg(recall) FILTER (WHERE tag IS NOT NULL), 6) AS tagged_recall, count(tag) AS tagged FROM m GROUP BY path',
+    "metric_by_category": A + ", q AS (SELECT id, any_value(regexp_replace(lower(trim(category)), '[ -]+', '_', 'g')) AS category FROM holdout_hard_set GROUP BY id) SELECT category, count(*) AS answers, count(*) FILTER (WHERE exact = 1) AS whole, round(avg(exact), 6) AS mean_exact FROM m JOIN q USING (id) GROUP BY category",
+    "metric_latency": A + "SELECT path, count(latency_s) AS n, round(avg(latency_s), 6) AS mean, min(latency_s) AS least, max(latency_s) AS most FROM ans GROUP BY path",
+    "metric_percentiles": A + ", r AS (SELECT path, latency_s, row_number() OVER (PARTITION BY path ORDER BY latency_s) - 1 AS k, count(*) OVER (PARTITION BY path) AS n FROM ans WHERE latency_s IS NOT NULL) SELECT path, n, max(latency_s) FILTER (WHERE k = CAST(floor(n / 2) AS BIGINT)) AS p50, max(latency_s) FILTER (WHERE k = least(n - 1, CAST(round_even(n * 0.95, 0) AS BIGINT))) AS p95 FROM r GROUP BY path, n",
+    "metric_citation_rates": A + ", c AS (SELECT path, unnest(citations) AS c FROM ans) SELECT path, count(*) AS citations, round(avg(CASE WHEN regexp_matches(c, '§[0-9.]+\\(') THEN 1.0 ELSE 0.0 END), 6) AS subsection_rate, count(*) FILTER (WHERE lower(c) NOT LIKE '%as originally executed%' AND (lower(c) LIKE '%as amended by%' OR lower(c) LIKE '%proviso added by%')) AS amended FROM c GROUP BY path",
+    "metric_agreement": A + """, p AS (SELECT id, max(CASE WHEN path = 'graph' THEN CAST(exact = 1 AS INTEGER) END) AS g, max(CASE WHEN path = 'baseline' THEN CAST(exact = 1 AS INTEGER) END) AS b FROM m GROUP BY id),
 k AS (SELECT count(*) AS n, avg(CAST(g = b AS INTEGER)) AS po, avg(g) AS a, avg(b) AS b FROM p WHERE g IS NOT NULL AND b IS NOT NULL)
 SELECT 'wholly_recalled' AS field, n, round(po, 6) AS agreement, CASE WHEN a * b + (1 - a) * (1 - b) < 1 THEN round((po - (a * b + (1 - a) * (1 - b))) / (1 - (a * b + (1 - a) * (1 - b))), 3) END AS kappa FROM k""",
-    "metric_correlation": _A + 'SELECT path, count(*) AS n, round(corr(recall, "precision"), 6) AS pearson FROM m WHERE recall IS NOT NULL GROUP BY path',
-    "metric_flips": _A + ", t AS (SELECT id, tag, max(CAST(exact = 1 AS INTEGER)) AS ok FROM m WHERE tag IS NOT NULL GROUP BY id, tag) SELECT t.tag, count(*) AS questions, count(*) FILTER (WHERE n.ok = 1 AND t.ok = 0) AS regressions, count(*) FILTER (WHERE n.ok = 0 AND t.ok = 1) AS gains FROM t JOIN t n ON n.id = t.id AND n.tag = 'nightly' AND t.tag <> 'nightly' GROUP BY t.tag",
+    "metric_correlation": A + 'SELECT path, count(*) AS n, round(corr(recall, "precision"), 6) AS pearson FROM m WHERE recall IS NOT NULL GROUP BY path',
+    "metric_flips": A + ", t AS (SELECT id, tag, max(CAST(exact = 1 AS INTEGER)) AS ok FROM m WHERE tag IS NOT NULL GROUP BY id, tag) SELECT t.tag, count(*) AS questions, count(*) FILTER (WHERE n.ok = 1 AND t.ok = 0) AS regressions, count(*) FILTER (WHERE n.ok = 0 AND t.ok = 1) AS gains FROM t JOIN t n ON n.id = t.id AND n.tag = 'nightly' AND t.tag <> 'nightly' GROUP BY t.tag",
     "metric_indexing": "WITH sec AS (SELECT DISTINCT id, number, title, text, document_id, level, pos FROM sections), w AS (SELECT document_id, coalesce(sum(len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''))), 0) AS words FROM sec GROUP BY document_id) SELECT document_id, CAST(words AS BIGINT) AS words, round(words / 500, 4) AS pages FROM w",
-    "rerank_blocks": _A + f""", b AS (SELECT answer_id AS qid, question, unnest(range(len(context_blocks))) AS pos, unnest(context_blocks) AS b FROM ans),
+    "rerank_blocks": A + f""", b AS (SELECT answer_id AS qid, question, unnest(range(len(context_blocks))) AS pos, unnest(context_blocks) AS b FROM ans),
 g AS (SELECT qid, pos, list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z0-9.$%()]+')), lambda w: len(w) > 2 AND w NOT IN ({_STOP})) AS c, list_distinct(regexp_extract_all(lower(coalesce(b.text, '')), '[a-z0-9.$%()]+')) AS t FROM b),
 s AS (SELECT qid, CAST(pos AS INTEGER) AS pos, round(CASE WHEN len(c) = 0 THEN 1.0 ELSE len(list_intersect(c, t)) / len(c) END, 6) AS score FROM g)
 SELECT * FROM (SELECT qid, pos, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS INTEGER) AS rank FROM s) WHERE rank <= 3""",
-    "pack_blocks": "WITH RECURSIVE" + _A[4:] + f""", b AS (SELECT answer_id, unnest(range(1, len(context_blocks) + 1)) AS k, unnest(context_blocks) AS b FROM ans),
+    "pack_blocks": "WITH RECURSIVE" + A[4:] + f""", b AS (SELECT answer_id, unnest(range(1, len(context_blocks) + 1)) AS k, unnest(context_blocks) AS b FROM ans),
 f AS (SELECT answer_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, false AS done, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS chars FROM ans
   UNION ALL SELECT answer_id, k, CASE WHEN stop THEN used ELSE used + hdr + l + 34 END, stop, CASE WHEN stop THEN n ELSE n + 1 END, CASE WHEN stop THEN chars ELSE chars + l END
   FROM (SELECT f.answer_id, b.k, f.used, f.n, f.chars, len(coalesce(b.b.citation, '')) AS hdr, f.done OR {BUDGET} - f.used - len(coalesce(b.b.citation, '')) - 34 < 180 AS stop,

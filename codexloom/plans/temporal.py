@@ -17,7 +17,7 @@ def amend_operations(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("node_id", F.col("effective_date").alias("eff"), F.col("version_id").alias("seq"), kind.alias("kind"), F.coalesce(inst, F.lit("")).alias("instrument"), F.col("text").alias("new_text"))
 
 
-def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+def nodes_of(spark: SparkSession, sf: str) -> DataFrame:
     v = build.versions(spark, sf)
     first = v.groupBy("node_id").agg(F.min(F.when(F.col("status") == "original", F.struct("effective_date", "version_id", "text"))).alias("v"))
     return first.select("node_id", F.expr("substring_index(node_id, '::', -1)").alias("label"), F.col("v.text").alias("base_text"), F.coalesce(F.concat(F.lit("as originally executed ("), F.col("v.effective_date").cast("string"), F.lit(")")), F.lit("not in the original")).alias("origin"))
@@ -25,7 +25,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "holdout_hard_set").select("as_of", F.explode("gold").alias("node_id")).distinct()
-    return q.join(_nodes(spark, sf).select("node_id"), "node_id", "left_semi").select("node_id", "as_of")
+    return q.join(nodes_of(spark, sf).select("node_id"), "node_id", "left_semi").select("node_id", "as_of")
 
 
 def asof_ops_before(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,14 +37,14 @@ def asof_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asof_fold_text(spark: SparkSession, sf: str) -> DataFrame:
-    return temporal.fold(_nodes(spark, sf), amend_operations(spark, sf), _asked(spark, sf))
+    return temporal.fold(nodes_of(spark, sf), amend_operations(spark, sf), _asked(spark, sf))
 
 
 def asof_lattice(spark: SparkSession, sf: str) -> DataFrame:
     """Every node on its own lattice of days: operations, status, and what must never be."""
     ops = amend_operations(spark, sf)
     days = temporal.lattice_days(ops)
-    return temporal.check_lattice(temporal.fold(_nodes(spark, sf), ops, days), temporal.status_on(ops, days))
+    return temporal.check_lattice(temporal.fold(nodes_of(spark, sf), ops, days), temporal.status_on(ops, days))
 
 
 def asof_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,7 +52,7 @@ def asof_windows(spark: SparkSession, sf: str) -> DataFrame:
     ops = amend_operations(spark, sf)
     days = ops.select("node_id", "eff").distinct()
     asked = days.select("node_id", F.explode(F.array(F.date_sub("eff", 1), "eff", F.date_add("eff", 1))).alias("as_of")).distinct()
-    return temporal.check_windows(days, cut_lineage(temporal.fold(_nodes(spark, sf), ops, asked)))
+    return temporal.check_windows(days, cut_lineage(temporal.fold(nodes_of(spark, sf), ops, asked)))
 
 
 def asof_mixed_vintage(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +63,7 @@ def asof_mixed_vintage(spark: SparkSession, sf: str) -> DataFrame:
     a, b = last.toDF("src", "src_eff"), last.toDF("dst", "dst_eff")
     mixed = uses.join(b, "dst").join(a, "src", "left").where("src_eff IS NULL OR src_eff < dst_eff")
     asked = mixed.select(F.col("dst").alias("node_id"), F.explode(F.array(F.date_sub("dst_eff", 1), "dst_eff")).alias("as_of")).distinct()
-    told = cut_lineage(temporal.fold(_nodes(spark, sf), ops, asked).select("node_id", "as_of", "status"))
+    told = cut_lineage(temporal.fold(nodes_of(spark, sf), ops, asked).select("node_id", "as_of", "status"))
     at = lambda k, name: told.select(F.col("node_id").alias("dst"), F.date_add("as_of", k).alias("dst_eff"), F.col("status").alias(name))
     return mixed.join(at(1, "before"), ["dst", "dst_eff"]).join(at(0, "after"), ["dst", "dst_eff"]).select("src", "dst", "src_eff", "dst_eff", "before", "after")
 
@@ -83,7 +83,7 @@ def amendment_versions_ok(spark: SparkSession, sf: str) -> DataFrame:
     """Share of the small set's version checks whose node has the status expected then."""
     q = table(spark, sf, "mini_eval_set").select("id", "version_checks").distinct().select("id", F.explode("version_checks").alias("c"))
     asked = q.select("id", F.col("c.node").alias("node_id"), F.col("c.as_of").alias("as_of"), F.col("c.status").alias("want"))
-    got = temporal.fold(_nodes(spark, sf), amend_operations(spark, sf), asked.select("node_id", "as_of").distinct()).select("node_id", "as_of", "status")
+    got = temporal.fold(nodes_of(spark, sf), amend_operations(spark, sf), asked.select("node_id", "as_of").distinct()).select("node_id", "as_of", "status")
     j = asked.alias("q").join(got.alias("g"), (F.col("q.node_id") == F.col("g.node_id")) & F.col("q.as_of").eqNullSafe(F.col("g.as_of")))
     return j.groupBy("id").agg(F.count(F.lit(1)).alias("checks"), F.avg((F.col("status") == F.col("want")).cast("double")).alias("version_ok"))
 
