@@ -65,6 +65,43 @@ def percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return c.groupBy(*by, "n").agg(at(F.floor(F.col("n") / 2)).alias("p50"), at(p95).alias("p95"))
 
 
+def compare_arms(values: DataFrame, arm: str, key: list[str], by: list[str]) -> DataFrame:
+    """(by, first, second, n, agreement, mean_apart, most_apart, within_tenth) of every two arms.
+
+    ``values`` has ``arm``, ``key`` and ``value``, one row for each; only what both arms have counts.
+    """
+    a, b = values.withColumnsRenamed({arm: "first", "value": "_a"}), values.withColumnsRenamed({arm: "second", "value": "_b"})
+    apart = F.abs(F.col("_a") - F.col("_b"))
+    g = a.join(b, key).where("first < second").groupBy(*by, "first", "second")
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return g.agg(F.count(F.lit(1)).alias("n"), share(apart < 1e-9).alias("agreement"), F.round(F.avg(apart), 6).alias("mean_apart"), F.round(F.max(apart), 6).alias("most_apart"), share(apart <= 0.1 + 1e-9).alias("within_tenth"))
+
+
+def baseline_hit(gold: Column, citation: Column, text: Column) -> Column:
+    """Whether a chunk shows a gold node: its quoted term, its exhibit, or its section by hint.
+
+    A flat index knows no nodes, so a definition counts where its term stands quoted, an
+    exhibit where it is named, and a section where the hint is the same or a relative.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    name = F.substring_index(gold, "::", -1)
+    quoted = F.concat(F.lit("“"), F.lower(name), F.lit("”"))
+    hint = F.regexp_extract(F.coalesce(citation, F.lit("")), r"§\s*(\d{1,2}\.\d{1,2}(?:\([a-z0-9]+\))*)", 1)
+    exhibit = F.concat(F.lit("exhibit "), F.lower(name))
+    return (
+        F.when(F.contains(gold, F.lit("::def::")), F.contains(low(text), quoted) | F.contains(low(citation), quoted))
+        .when(F.contains(gold, F.lit("::exhibit::")), F.contains(low(text), exhibit) | F.contains(low(citation), exhibit))
+        .otherwise((hint != "") & related(hint, name))
+    )
+
+
+def indexing_cost(words: DataFrame, seconds: float, rate_per_hour: float, by: list[str] | None = None) -> DataFrame:
+    """Pages of 500 words, and seconds and cost for a hundred of them, of an index that took ``seconds``."""
+    p = words.groupBy(*(by or [])).agg((F.sum("words") / 500).alias("pages"))
+    per = F.when(F.col("pages") > 0, F.lit(float(seconds)) / F.col("pages") * 100)
+    return p.withColumns({"seconds_per_100": F.round(per, 4), "cost_per_100": F.round(per / 3600 * rate_per_hour, 6)})
+
+
 def citation_status(citation: Column) -> Column:
     """What a citation claims about its version: original, amended, or null."""
     c = F.lower(citation)

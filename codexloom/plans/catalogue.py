@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexloom.plans import answers, asknown, audit, citations, graph, retrieval, temporal, texts
+from codexloom.plans import answers, asknown, audit, citations, evalset, graph, retrieval, temporal, texts
 
-MODULES = [asknown, graph, temporal, texts, retrieval, answers, citations, audit]
+MODULES = [asknown, graph, temporal, texts, retrieval, answers, citations, audit, evalset]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
