@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexloom.runtime import shipped
+
 #: Characters of an operation in an excerpt, of a definition, and of an original text.
 OP_CHARS, DEFINITION_CHARS, TEXT_CHARS = 600, 1500, 1800
 #: Rows of one group that are clustered in one task; more are an error and not a cut.
@@ -170,7 +172,7 @@ def clusters(vectors: DataFrame, by: str, id_col: str = "vec_id", vec: str = "em
         got = average_linkage(np.array(pdf[vec].tolist(), dtype=np.float64), min(48, max(2, len(pdf) // 8)))
         return pdf[[by, id_col]].assign(cluster=got)
 
-    return vectors.where(F.col(vec).isNotNull()).select(by, id_col, vec).groupBy(by).applyInPandas(run, f"`{by}` {kinds[by]}, `{id_col}` {kinds[id_col]}, cluster int")
+    return vectors.where(F.col(vec).isNotNull()).select(by, id_col, vec).transform(shipped).groupBy(by).applyInPandas(run, f"`{by}` {kinds[by]}, `{id_col}` {kinds[id_col]}, cluster int")
 
 
 def conditions(questions: DataFrame, grid: dict[str, dict[str, bool]]) -> DataFrame:

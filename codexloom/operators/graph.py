@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexloom.runtime import cut_lineage
+from codexloom.runtime import cut_lineage, shipped
 
 TEXT_TYPES = ("Section", "Definition")
 
@@ -178,4 +178,4 @@ def ordered_dfs(starts: DataFrame, edges: DataFrame, keep: DataFrame, max_depth:
                 stack += [(d, depth + 1) for d in reversed(nexts.get(node, [])) if d not in visited]
         return pd.DataFrame({"qid": [pdf["qid"].iloc[0]] * len(result), "node": result, "pos": range(len(result))})
 
-    return rows.groupBy("qid").applyInPandas(walk, "qid string, node string, pos int")
+    return rows.transform(shipped).groupBy("qid").applyInPandas(walk, "qid string, node string, pos int")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexloom.runtime import cut_lineage
+from codexloom.runtime import cut_lineage, shipped
 
 #: Vectors per block on average; two blocks meet in one task at a time.
 BLOCK = 2048
@@ -52,7 +52,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id",
                 best = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
                 yield pd.DataFrame({"qid": np.repeat(qi, best.shape[1]), "id": ci[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
 
-    got = pairs.select("q", "c").mapInPandas(run, "qid long, id long, score double")
+    got = pairs.select("q", "c").transform(shipped).mapInPandas(run, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -86,7 +86,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
                     m, n = m[xi[m] < yi[n]], n[xi[m] < yi[n]]
                 yield pd.DataFrame({"a": np.minimum(xi[m], yi[n]), "b": np.maximum(xi[m], yi[n]), "cosine": s[m, n]})
 
-    return met.select("xb", "yb", "x", "y").mapInPandas(run, "a long, b long, cosine double")
+    return met.select("xb", "yb", "x", "y").transform(shipped).mapInPandas(run, "a long, b long, cosine double")
 
 
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -36,6 +36,12 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(archive)
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once the session's Python workers have this package."""
+    ship(df.sparkSession)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
