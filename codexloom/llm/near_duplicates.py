@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexloom.runtime import cut_lineage, skew_join
+from codexloom.runtime import cut_lineage, shipped, skew_join
 
 THRESHOLD = 0.8
 SAMPLES, BITS, SIGMAS = 256, 512, 5.0
@@ -202,7 +202,7 @@ def bands(sets: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUEN
     known = (h[order], top["df"].to_numpy(dtype=np.int64)[order])
     todo, parts = sets, []
     for level in range(1, deepest + 1):
-        keys = cut_lineage(todo.mapInPandas(lambda it, lv=level: _keys(it, threshold, lv, deepest, known, frequent), _KEYS))
+        keys = cut_lineage(todo.transform(shipped).mapInPandas(lambda it, lv=level: _keys(it, threshold, lv, deepest, known, frequent), _KEYS))
         made = keys.where("NOT open").drop("open")
         if level == 1:
             parts.append(made)
@@ -236,7 +236,7 @@ def similar_classes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select(F.least("c_s", "c_l").alias("class_a"), F.greatest("c_s", "c_l").alias("class_b")).distinct()
     )
     lanes = [f"s{i}" for i in range(_LANES)]
-    sketch = cut_lineage(sets.mapInPandas(odd_sketches, "class_id long, " + ", ".join(f"{x} long" for x in lanes)))
+    sketch = cut_lineage(sets.transform(shipped).mapInPandas(odd_sketches, "class_id long, " + ", ".join(f"{x} long" for x in lanes)))
     side = lambda x: sketch.select(F.col("class_id").alias(f"class_{x}"), *[F.col(c).alias(f"{x}{c}") for c in lanes])
     xor = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in lanes), F.lit(0))
     judged = cut_lineage(pairs.join(side("a"), "class_a").join(side("b"), "class_b").select("class_a", "class_b", xor.alias("x")).where(F.col("x") <= max_xor(threshold)))

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexloom.runtime import shipped
+
 #: Full containers that a shard's documents would fill on average. Its last container, the
 #: only one with much room, is then about a thousandth. A shard's task holds only sizes and
 #: ids; of documents that take no room there are at most SHARD to a shard on average.
@@ -95,7 +97,7 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
         name = [f"{s}-{b}" for s, b in zip(pdf["_shard"], bins)]
         return pdf.assign(docs_class=capacity // np.maximum(pdf["n_tokens"], 1), bin=name)[["_id", "piece_no", "start", "end", "n_tokens", "docs_class", "bin"]]
 
-    out = rows.groupBy("_shard").applyInPandas(run, f"_id {kind}, piece_no int, start long, end long, n_tokens long, docs_class long, bin string")
+    out = rows.transform(shipped).groupBy("_shard").applyInPandas(run, f"_id {kind}, piece_no int, start long, end long, n_tokens long, docs_class long, bin string")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexloom.runtime import shipped
+
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 MAX_SOUND, MAX_FOREIGN = 1500, 800
 DIM = 1 << 14
@@ -588,4 +590,4 @@ def find_defects(pairs: DataFrame, model: Model, keys: list[str], question: str
             out = pdf[keys].assign(defect=found)
             yield out[out["defect"].notna()]
 
-    return rows.mapInPandas(run, schema).groupBy(*keys).agg(F.min("defect").alias("defect"))
+    return rows.transform(shipped).mapInPandas(run, schema).groupBy(*keys).agg(F.min("defect").alias("defect"))

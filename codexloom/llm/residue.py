@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexloom.runtime import shipped
+
 _NAME = r"[A-Za-z][\w.\- ]{0,60}"
 _FILL_IN = r"(?:please\s+)?(?:insert|enter|fill in|type|add|specify|your)\s+"
 #: Grammars by delimiter; an instruction ends with its bracket, however long it is. Fixed values.
@@ -218,5 +220,5 @@ def residue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield out[out["kind"].notna()]
 
     kind = rows.schema["rid"].dataType.simpleString()
-    found = rows.mapInPandas(run, f"rid {kind}, kind string")
+    found = rows.transform(shipped).mapInPandas(run, f"rid {kind}, kind string")
     return found.groupBy("rid").agg(F.max("kind").alias("kind")).select(F.col("rid").alias(id_col), "kind")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexloom.runtime import cut_lineage, skew_join
+from codexloom.runtime import cut_lineage, shipped, skew_join
 
 WORD_SHARE, LINE_SHARE, LINE_REPEATS = 5e-6, 1e-5, 3
 #: A page may also end with a sentence, so not every edge can be told.
@@ -43,6 +43,7 @@ COMMON = 0.04
 RATIO, SHORT_RATIO = 8.0, 40.0
 #: Look-alikes in one word that are exchanged at most.
 EXCHANGES = 3
+_FAR = (1 << 30, "")
 KINDS = ("hyphen", "misread", "header", "pageno")
 
 #: What recognition makes of letters: (seen, meant). Fixed values.
@@ -79,7 +80,8 @@ class Corpus:
 
     def __post_init__(self) -> None:
         self._fixes: dict[str, str | None] = {}
-        self._whole: dict[str, str | None] = {}
+        #: Corrections of the words read so far.
+        self.seen: dict[str, str | None] = {}
         self.top = max((c for c, _ in self.words.values()), default=0)
         self._likes: dict[str, list[str]] = {}
         for w, (_, share) in self.words.items():
@@ -95,11 +97,11 @@ class Corpus:
 
     def corrected(self, word: str) -> str | None:
         """The corrected form of a word with its suffix or compound parts, or None."""
-        if word not in self._whole:
-            if len(self._whole) > 200_000:
-                self._whole.clear()
-            self._whole[word] = _corrected(word, self)
-        return self._whole[word]
+        if word not in self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[word] = _corrected(word, self)
+        return self.seen[word]
 
     def correction(self, word: str) -> str | None:
         """What ``word`` was before it was misread, or None."""
@@ -114,7 +116,7 @@ class Corpus:
         own = self.count(low)
         if len(word) < 2 or word.isdigit() or own > self.top / RATIO:
             return None
-        digits, letters = sum(c.isdigit() for c in word), sum(c.isalpha() for c in word)
+        digits, letters = (0, len(word)) if word.isalpha() else (sum(c.isdigit() for c in word), sum(c.isalpha() for c in word))
         if letters < 2 or (digits and (digits > 3 or digits > letters or _CODE.fullmatch(word))):
             return None
         likes = self._likes.get(_canon(low))
@@ -181,17 +183,21 @@ def exchanged(word: str, target: str, most: int) -> tuple[int, str] | None:
     is in lower case; letters that are not exchanged keep their case.
     """
     low = word.lower()
-    # Ways to have read the word up to i and written the target up to j.
-    ways: dict[tuple[int, int], tuple[int, str]] = {(0, 0): (0, "")}
-    for i in range(len(word)):
-        for (at, j), (n, out) in [w for w in ways.items() if w[0][0] == i]:
-            steps = [(i + 1, j + 1, n, out + word[i])] if j < len(target) and low[i] == target[j] else []
+    # For each place in the word: what of the target may be written by then, and how.
+    ways: list[dict[int, tuple[int, str]]] = [{} for _ in range(len(word) + 1)]
+    ways[0][0] = (0, "")
+    for i, here in enumerate(ways[:-1]):
+        if not here:
+            continue
+        swaps = [(len(a), b) for a, b in LOOKALIKES if word.startswith(a, i)]
+        for j, (n, out) in here.items():
+            if j < len(target) and low[i] == target[j] and ways[i + 1].get(j + 1, _FAR)[0] > n:
+                ways[i + 1][j + 1] = (n, out + word[i])
             if n < most:
-                steps += [(i + len(a), j + len(b), n + 1, out + b) for a, b in LOOKALIKES if word.startswith(a, i) and target.startswith(b.lower(), j)]
-            for x, y, k, text in steps:
-                if (x, y) not in ways or ways[x, y][0] > k:
-                    ways[x, y] = (k, text)
-    return ways.get((len(word), len(target)))
+                for step, b in swaps:
+                    if target.startswith(b, j) and ways[i + step].get(j + len(b), _FAR)[0] > n + 1:
+                        ways[i + step][j + len(b)] = (n + 1, out + b)
+    return ways[-1].get(len(target))
 
 
 def running_form(line: str) -> bool:
@@ -399,9 +405,9 @@ def read(text: str | None, corpus: Corpus, own: set | None = None) -> tuple[list
         else:
             built.append([line])
     paragraphs = ["".join(x) for x in built]
-    clean, misread = [], {}
+    clean, misread, known = [], {}, corpus.seen
     for p in paragraphs:
-        fixes = {w: fixed for w in set(_WORD.findall(p)) if (fixed := corpus.corrected(w))}
+        fixes = {w: fixed for w in set(_WORD.findall(p)) if (fixed := known[w] if w in known else corpus.corrected(w))}
         clean.append(_WORD.sub(lambda m, fixes=fixes: fixes.get(m.group(), m.group()), p) if fixes else p)
         misread |= fixes
     found += [Finding("misread", "", w, "", fixed) for w, fixed in misread.items()]
@@ -479,7 +485,8 @@ def learn(sections: DataFrame, id_col: str = "id", text_col: str = "text", doc_c
     """
     rows = sections.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.coalesce(F.col(doc_col), F.lit("")).alias("d"))
     # Words at a line's end may be halves; a hyphen inside a line is the word's own.
-    inner = F.regexp_replace(F.lower("t"), rf"[a-z]{{1,40}}[{_HYPHENS}][ \t]*\n", "\n")
+    # Each word is tried once, from its start, and never given back letter by letter.
+    inner = F.regexp_replace(F.lower("t"), rf"\b[a-z]++[{_HYPHENS}][ \t]*\n", "\n")
     words = rows.select("d", F.explode(F.regexp_extract_all(inner, F.lit(_TOKEN), F.lit(0))).alias("w"))
     per_doc = words.groupBy("w", "d").agg(F.count(F.lit(1)).alias("c"))
     stats = per_doc.groupBy("w").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("df"))
@@ -502,7 +509,7 @@ def learn(sections: DataFrame, id_col: str = "id", text_col: str = "text", doc_c
                 yield pd.DataFrame(out, columns=["d", "i", "f", "n", "e"])
 
     named = rows.select("d", F.coalesce(F.col("i").cast("string"), F.xxhash64("t").cast("string")).alias("i"), "t")
-    once = named.mapInPandas(forms, "d string, i string, f string, n long, e long").groupBy("d", "i", "f").agg(F.max("n").alias("n"), F.max("e").alias("e"))
+    once = named.transform(shipped).mapInPandas(forms, "d string, i string, f string, n long, e long").groupBy("d", "i", "f").agg(F.max("n").alias("n"), F.max("e").alias("e"))
     counts = cut_lineage(once.groupBy("d", "f").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("s")))
     at_edges = F.col("e") >= EDGE_SHARE * F.col("n")
     wide = counts.groupBy("f").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("e").alias("e")).where((F.col("s") >= repeats) & at_edges).select("f", "s")
@@ -535,7 +542,7 @@ def read_sections(sections: DataFrame, corpus: Corpus, id_col: str = "id", text_
 
     rows = sections.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.coalesce(F.col(doc_col), F.lit("")).alias("d"))
     joined = rows.withColumn("own", F.lit(None).cast("array<string>")) if corpus.own is None else skew_join(rows, corpus.own, ["d"], "left")
-    return joined.select("i", "t", "own").mapInPandas(run, f"id string, findings {_FOUND}, repaired string")
+    return joined.select("i", "t", "own").transform(shipped).mapInPandas(run, f"id string, findings {_FOUND}, repaired string")
 
 
 def read_chunks(chunks: DataFrame, read_rows: DataFrame, corpus: Corpus, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -555,4 +562,4 @@ def read_chunks(chunks: DataFrame, read_rows: DataFrame, corpus: Corpus, id_col:
                 continue
             yield pd.DataFrame({"id": pdf["i"], "kinds": [sorted(k) for k, _ in got], "repaired": [r for _, r in got]})
 
-    return base.join(by, "s", "left").select("i", "t", "findings").mapInPandas(run, "id string, kinds array<string>, repaired string")
+    return base.join(by, "s", "left").select("i", "t", "findings").transform(shipped).mapInPandas(run, "id string, kinds array<string>, repaired string")

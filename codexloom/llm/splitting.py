@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codexloom.runtime import cut_lineage, ship
+from codexloom.runtime import cut_lineage, ship, shipped
 
 #: Bytes per range, of its halos, and per segment (of several ranges).
 RANGE, HALO, SEGMENT = 65_536, 1024, 1_048_576
@@ -125,7 +125,7 @@ def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE, halo:
                     out.append((path, r, lo, f.read(hi - lo)))
             yield pd.DataFrame(out, columns=["path", "r", "lo", "body"])
 
-    return plan.mapInPandas(run, "path string, r int, lo long, body binary")
+    return plan.transform(shipped).mapInPandas(run, "path string, r int, lo long, body binary")
 
 
 def decode_range(body: bytes, lo: int, r: int, size: int) -> tuple[str, str, str]:
@@ -166,7 +166,7 @@ def boundary_table(ranges: DataFrame, keys: list[str], size: int = RANGE) -> Dat
                 cuts.append(np.array(boundaries(before + own + after, -len(before), 0, len(own)), dtype=np.int64))
             yield pdf[names].assign(chars=chars, cuts=cuts)
 
-    return ranges.mapInPandas(run, _kinds(ranges, names) + ", chars long, cuts array<long>").dropDuplicates([*keys, "r"])
+    return ranges.transform(shipped).mapInPandas(run, _kinds(ranges, names) + ", chars long, cuts array<long>").dropDuplicates([*keys, "r"])
 
 
 def offsets(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -212,7 +212,7 @@ def piece_table(table: DataFrame, at: DataFrame, keys: list[str], size: int = RA
             if out:
                 yield pd.DataFrame(out, columns=[*keys, "seg", "c", "s", "e"])
 
-    done = cut_lineage(rows.mapInPandas(run, _kinds(table, keys) + ", seg int, c long, s array<long>, e array<long>"))
+    done = cut_lineage(rows.transform(shipped).mapInPandas(run, _kinds(table, keys) + ", seg int, c long, s array<long>, e array<long>"))
     before = F.sum("c").over(Window.partitionBy(*keys).orderBy("seg")) - F.col("c")
     base = done.select(*keys, "seg", "c").select(*keys, "seg", before.alias("b"))
     flat = done.join(base, [*keys, "seg"]).select(*keys, "b", F.posexplode(F.arrays_zip("s", "e")).alias("k", "x"))
@@ -245,7 +245,7 @@ def emit(pieces: DataFrame, ranges: DataFrame, at: DataFrame, keys: list[str], s
             if out:
                 yield pd.DataFrame(out, columns=[*keys, "r", "piece_no", "piece_start", "piece_end", "part"])
 
-    got = parts.join(bodies, [*keys, "r"]).mapInPandas(run, _kinds(parts, keys) + ", r int, piece_no int, piece_start long, piece_end long, part string")
+    got = parts.join(bodies, [*keys, "r"]).transform(shipped).mapInPandas(run, _kinds(parts, keys) + ", r int, piece_no int, piece_start long, piece_end long, part string")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "part"))), lambda x: x["part"]), "")
     return got.groupBy(*keys, "piece_no", "piece_start", "piece_end").agg(text.alias("piece"))
 
@@ -270,7 +270,7 @@ def _pieces_at_once(items: DataFrame, keys: list[str], text: str, with_text: boo
             yield pd.DataFrame(out, columns=cols)
 
     schema = _kinds(items, keys) + ", piece_no int, piece_start long, piece_end long" + (", piece string" if with_text else "")
-    return items.select(*keys, "max_chars", "overlap_chars", text).mapInPandas(run, schema)
+    return items.select(*keys, "max_chars", "overlap_chars", text).transform(shipped).mapInPandas(run, schema)
 
 
 def split_items(items: DataFrame, limits: DataFrame, keep: list[str], with_text: bool = True, kind: str = "item_kind", source: str = "source", text: str = "text", size: int = RANGE, halo: int = HALO, segment: int = SEGMENT) -> DataFrame:
