@@ -214,6 +214,11 @@ def running_form(line: str) -> bool:
     return sum(w[0].isupper() for w in heads) >= 0.75 * len(heads) or (len(heads) <= 2 and heads[0][0].isupper() and sum(c.isdigit() for c in s) >= 4)
 
 
+def _plain(line: str) -> bool:
+    """Whether a line is too long for what runs at a page's edge, and has no gaps that part it."""
+    return len(line) > 80 and "  " not in line and "\t" not in line
+
+
 def _split_line(line: str) -> list[str]:
     line = line.strip()
     if "  " not in line and "\t" not in line:
@@ -228,12 +233,16 @@ def candidates(text: str) -> Iterator[tuple[str, bool]]:
     if len(lines) < 2:
         return
     split = [_split_line(x) for x in lines]
-    marked = [any(_MARKED_PAGE.match(p) for p in ps) for ps in split]
-    running = [all(_MARKED_PAGE.match(p) or _BARE_PAGE.match(p) or running_form(p) for p in ps) for ps in split]
+    plain = [_plain(x) for x in lines]
+    if all(plain):
+        return
+    marked = [not far and any(_MARKED_PAGE.match(p) for p in ps) for far, ps in zip(plain, split)]
+    running = [not far and all(_MARKED_PAGE.match(p) or _BARE_PAGE.match(p) or running_form(p) for p in ps) for far, ps in zip(plain, split)]
     i = 0
     while i < len(lines):
         if not running[i]:
-            yield from ((p, False) for p in split[i] if running_form(p))
+            if not plain[i]:
+                yield from ((p, False) for p in split[i] if running_form(p))
             i += 1
             continue
         # Lines that can run and page numbers stand together between two lines of text.
@@ -291,7 +300,7 @@ def _line_kinds(lines: list[str], corpus: Corpus, running: frozenset | set) -> l
     apart = _page_numbers([x for i in solid if len(lines[i]) < 20 and _BARE_PAGE.match(x := lines[i].strip())])
     for i in solid:
         # Nothing that runs at a page's edge ends like a sentence.
-        if lines[i].rstrip()[-1] in ".;:,":
+        if lines[i].rstrip()[-1] in ".;:," or _plain(lines[i].strip()):
             marks[i] = [""]
             continue
         parts = _split_line(lines[i])
@@ -360,12 +369,14 @@ def read(text: str | None, corpus: Corpus, own: set | None = None) -> tuple[list
     kept: list[tuple[int, str]] = []
     gap: dict[int, bool] = {}
     blank = removed = False
+    # Places of words are needed only where something is found beside them.
+    placed = any(kind for parts in kinds for kind, _ in parts) or any(h in text for h in _HYPHENS)
     for i, parts in enumerate(kinds):
         if not parts:
             blank = True
             continue
         for kind, part in parts:
-            ws = part.split()
+            ws = part.split() if placed else []
             if kind:
                 where.append((len(flat), kind, len(ws)))
                 removed = True
@@ -404,18 +415,19 @@ def read(text: str | None, corpus: Corpus, own: set | None = None) -> tuple[list
             built[-1] += [" ", line]
         else:
             built.append([line])
-    paragraphs = ["".join(x) for x in built]
-    clean, misread, known = [], {}, corpus.seen
-    for p in paragraphs:
-        fixes = {w: fixed for w in set(_WORD.findall(p)) if (fixed := known[w] if w in known else corpus.corrected(w))}
-        clean.append(_WORD.sub(lambda m, fixes=fixes: fixes.get(m.group(), m.group()), p) if fixes else p)
-        misread |= fixes
-    found += [Finding("misread", "", w, "", fixed) for w, fixed in misread.items()]
-    return found, "\n".join(clean)
+    whole, known = "\n".join("".join(x) for x in built), corpus.seen
+    fixes = {w: fixed for w in set(_WORD.findall(whole)) if (fixed := known[w] if w in known else corpus.corrected(w))}
+    if fixes:
+        whole = _WORD.sub(lambda m: fixes.get(m.group(), m.group()), whole)
+    # Sorted, so that a section's findings are the same whenever it is read.
+    found += [Finding("misread", "", w, "", fixes[w]) for w in sorted(fixes)]
+    return found, whole
 
 
 def _corrected(w: str, corpus: Corpus) -> str | None:
-    """The corrected form of a word, compounds part by part."""
+    """The corrected form of a word, compounds part by part. Numbers and dates are none."""
+    if w.lower() == w.upper():
+        return None
     if "-" in w:
         if whole := corpus.correction(w):
             return whole
