@@ -1,6 +1,8 @@
-"""The legal graph from the domain tables: vertices and edges, without Party vertices and PARTY_TO.
+"""The legal graph from the domain tables: vertices and edges of all types.
 
-References of sections to definitions are made by ``section_terms`` and are not in ``edges``.
+Vertices are documents, sections, definitions, parties of cover pages and exhibits that
+amendments make. The tables hold no cover page and amend no exhibit, so over them the
+last two are empty; over parsed filings they are not.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.operators import extract, graph
+from codexloom.operators import amendments, extract, graph
 from codexloom.runtime import table
 
 
@@ -31,24 +33,38 @@ def definitions(spark: SparkSession, sf: str) -> DataFrame:
     return first.select(F.col("node_id").alias("id"), F.substring_index("node_id", "::def::", 1).alias("document_id"), F.expr("substring_index(node_id, '::def::', -1)").alias("term"), F.col("v.text").alias("text"))
 
 
+def parties(spark: SparkSession, sf: str) -> DataFrame:
+    return amendments.parties(sections(spark, sf).where(F.endswith("id", F.lit("::preamble"))).select("document_id", "text"))
+
+
+def clauses(spark: SparkSession, sf: str) -> DataFrame:
+    """The amending clauses of all amendments with the nodes that they amend."""
+    sec = sections(spark, sf)
+    return amendments.resolve_targets(amendments.amend_ops(sec.where("document_id NOT LIKE '%.base'")), sec.select("id"))
+
+
 def vertices(spark: SparkSession, sf: str) -> DataFrame:
     d = filings(spark, sf).select("id", F.lit("Document").alias("node_type"), F.col("name").alias("label")).dropDuplicates(["id"])
     s = sections(spark, sf).select("id", F.lit("Section").alias("node_type"), F.concat(F.lit("§"), F.col("number")).alias("label"))
     t = definitions(spark, sf).select("id", F.lit("Definition").alias("node_type"), F.concat(F.lit("definition of “"), F.col("term"), F.lit("” (§1.01)")).alias("label"))
-    return d.unionByName(s).unionByName(t)
+    p = parties(spark, sf).select(F.col("node_id").alias("id"), F.lit("Party").alias("node_type"), F.col("name").alias("label")).dropDuplicates(["id"])
+    x = clauses(spark, sf).where("target_kind = 'exhibit'").select(F.col("node_id").alias("id"), F.lit("Exhibit").alias("node_type"), F.concat(F.lit("Exhibit "), F.col("target")).alias("label")).distinct()
+    return d.unionByName(s).unionByName(t).unionByName(p).unionByName(x)
 
 
 def amend_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """AMENDS from the amendment's filing to the node, one per version it made."""
+    """AMENDS from the amendment's filing to the node, one per version it made, with the clause that says so."""
     v = versions(spark, sf).where("status != 'original'")
     name = F.regexp_extract("citation", r"as amended by (\w+) Amendment", 1)
     number = F.array_position(F.array(*[F.lit(o) for o in extract.ORDINALS]), name)
     base = F.substring_index("node_id", ".", 1)
-    return v.where(number > 0).select(F.concat(base, F.lit(".amendment_"), number.cast("string")).alias("src"), F.col("node_id").alias("dst"), F.concat(F.lit("AMENDS::"), F.col("effective_date").cast("string")).alias("edge_key"), F.lit("AMENDS").alias("edge_type"), F.col("version_id").alias("seq"))
+    made = v.where(number > 0).select(F.concat(base, F.lit(".amendment_"), number.cast("string")).alias("src"), F.col("node_id").alias("dst"), F.concat(F.lit("AMENDS::"), F.col("effective_date").cast("string")).alias("edge_key"), F.lit("AMENDS").alias("edge_type"), F.col("version_id").alias("seq"))
+    said = clauses(spark, sf).select(F.col("document_id").alias("src"), F.col("node_id").alias("dst"), "source_sec_id")
+    return made.join(said, ["src", "dst"], "left")
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, dst, edge_key, edge_type, seq), one edge per key."""
+    """(src, dst, edge_key, edge_type, seq, source_sec_id), one edge per key."""
     sec, defs = sections(spark, sf), definitions(spark, sf)
 
     def typed(df: DataFrame, kind: str, seq) -> DataFrame:  # noqa: ANN001
@@ -59,10 +75,12 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     defines = defs.select(F.concat("document_id", F.lit("::1.01")).alias("src"), F.col("id").alias("dst")).join(sec.select(F.col("id").alias("src")), "src", "left_semi")
     uses = extract.term_mentions(defs.select(F.col("id").alias("key"), F.col("document_id").alias("scope"), "text"), defs.select(F.col("document_id").alias("scope"), "term"))
     uses = uses.select(F.col("key").alias("src"), F.concat(F.substring_index("key", "::def::", 1), F.lit("::def::"), F.col("term")).alias("dst")).where("src != dst")
-    parts = [contains, typed(refs, "REFERENCES", F.col("seq")), typed(extract.exceptions(sec), "EXCEPTION_TO", F.lit(0)), typed(defines, "DEFINES", F.lit(0)), typed(uses, "DEPENDS_ON", F.lit(0)), amend_edges(spark, sf)]
+    # References to definitions come after those to sections.
+    named = typed(section_terms(spark, sf), "REFERENCES", F.lit(1 << 20))
+    parts = [contains, typed(refs, "REFERENCES", F.col("seq")), named, typed(extract.exceptions(sec), "EXCEPTION_TO", F.lit(0)), typed(defines, "DEFINES", F.lit(0)), typed(uses, "DEPENDS_ON", F.lit(0)), amendments.party_edges(parties(spark, sf)), amend_edges(spark, sf)]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return graph.upsert(out)
 
 

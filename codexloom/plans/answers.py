@@ -34,8 +34,7 @@ def _placed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _amends(spark: SparkSession, sf: str) -> DataFrame:
-    ops = amendments.amend_ops(table(spark, sf, "sections").select("id", "number", "level", "document_id", "pos", "text").distinct())
-    return amendments.resolve_targets(ops, build.sections(spark, sf).select("id")).select("source_sec_id", F.col("node_id").alias("target"))
+    return graph.amends_targets(build.amend_edges(spark, sf))
 
 
 def _seeds(spark: SparkSession, sf: str, placed: DataFrame | None = None) -> DataFrame:
@@ -58,9 +57,7 @@ def question_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 def amend_ops(spark: SparkSession, sf: str) -> DataFrame:
     """Every amending clause, its target resolved in the agreement's base document."""
-    ops = amendments.amend_ops(table(spark, sf, "sections").select("id", "number", "level", "document_id", "pos", "text").distinct())
-    got = amendments.resolve_targets(ops, build.sections(spark, sf).select("id"))
-    return got.select("document_id", "target_kind", "target", "op", "source_sec_id", "node_id", "made", F.md5("new_text").alias("new_text"))
+    return build.clauses(spark, sf).select("document_id", "target_kind", "target", "op", "source_sec_id", "node_id", "made", F.md5("new_text").alias("new_text"))
 
 
 def seeds_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,7 +229,7 @@ _GENERIC = ", ".join(f"'{x}'" for x in seeding.GENERIC_TERMS)
 _WEAK = ", ".join(f"'{x}'" for x in seeding.WEAK_WORDS)
 #: The clauses that amend in the tables; the other families are tested on texts of their form.
 _CLAUSE = r"""am0 AS (SELECT id, document_id, pos, text, unnest(regexp_extract_all(text, 'Section (\d{1,2}\.\d{1,2}(?:\([a-z0-9]+\))*) of the Credit Agreement is amended\b', 1)) AS target, unnest(regexp_extract_all(text, 'Section (\d{1,2}\.\d{1,2}(?:\([a-z0-9]+\))*) of the Credit Agreement is amended\b')) AS m,
-  unnest(range(len(regexp_extract_all(text, 'Section (\d{1,2}\.\d{1,2}(?:\([a-z0-9]+\))*) of the Credit Agreement is amended\b')))) AS k FROM sec WHERE level = 'section' AND (starts_with(number, '1.') OR regexp_matches(text, '^\s*\d+\.\d+\s+Amendment to\b'))),
+  unnest(range(len(regexp_extract_all(text, 'Section (\d{1,2}\.\d{1,2}(?:\([a-z0-9]+\))*) of the Credit Agreement is amended\b')))) AS k FROM sec WHERE document_id NOT LIKE '%.base' AND level = 'section' AND (starts_with(number, '1.') OR regexp_matches(text, '^\s*\d+\.\d+\s+Amendment to\b'))),
 am1 AS (SELECT *, substr(text, strpos(text, m), 240) AS win, substr(text, strpos(text, m) + len(m)) AS aft, row_number() OVER (PARTITION BY document_id, target ORDER BY pos, id, k) AS rk FROM am0),
 aop AS (SELECT document_id, 'section' AS target_kind, target, CASE WHEN regexp_matches(win, '(?is)amended by (?:deleting|replacing)|by replacing the text in the proviso') THEN 'replace' WHEN regexp_matches(win, 'amended by (?:inserting|adding)') THEN 'insert' ELSE 'restate' END AS op, id AS source_sec_id,
   regexp_replace(document_id, '[^.]*$', '') || 'base::' || target AS node_id, md5(trim(CASE WHEN regexp_matches(aft, '(?s)^.*?(?:follows|thereof|the following|order|below)\s*[:.]') THEN regexp_replace(aft, '(?s)^.*?(?:follows|thereof|the following|order|below)\s*[:.]', '') ELSE substr(aft, 1, 2000) END, ' ')) AS new_text FROM am1 WHERE rk = 1)"""

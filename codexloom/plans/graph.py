@@ -80,17 +80,17 @@ def graph_amended_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_reference_closure(spark: SparkSession, sf: str) -> DataFrame:
-    """Two steps along references from the first gold node of every question."""
-    q = table(spark, sf, "holdout_hard_set").select(F.get("gold", F.lit(0)).alias("root")).where("root IS NOT NULL").distinct()
-    e = build.references(build.sections(spark, sf)).select("src", "dst")
-    return graph.closure(e, q, 2)
+    """Two steps along references and dependencies from every gold node of every question."""
+    q = table(spark, sf, "holdout_hard_set").select(F.explode("gold").alias("root")).distinct()
+    e = graph.of_types(build.edges(spark, sf), ("REFERENCES", "DEPENDS_ON")).select("src", "dst")
+    return graph.closure(cut_lineage(e), q, 2)
 
 
 def graph_reachable(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes within two steps either way of each question's entry nodes."""
+    """Nodes within three steps either way of each question's entry nodes, over all edges but amendments."""
     q = table(spark, sf, "mini_eval_set").select(F.explode("entry").alias("root")).distinct()
-    e = graph.both_ways(extract.containment(build.sections(spark, sf)).withColumn("edge_type", F.lit("CONTAINS")))
-    return graph.closure(e, q, 2).select("root", "node")
+    e = graph.both_ways(cut_lineage(build.edges(spark, sf).where("edge_type != 'AMENDS'")))
+    return graph.closure(e, q, 3)
 
 
 def graph_edge_asserts(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,10 +110,10 @@ def graph_dangling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_section_seed(spark: SparkSession, sf: str) -> DataFrame:
-    """The section that each question's first citation leads to in its gold document."""
-    q = table(spark, sf, "holdout_hard_set").select("id", "question", F.substring_index(F.get("gold", F.lit(0)), "::", 1).alias("doc")).distinct()
-    n = q.withColumn("number", F.regexp_extract("question", r"(?:Section|Ziffer|clausula)\s+([0-9]{1,2}\.[0-9]{2}(?:\([a-z]\))*)", 1)).where("number != '' AND doc IS NOT NULL")
-    n = n.select(F.col("id").alias("key"), F.concat("doc", F.lit("::"), F.col("number")).alias("number"))
+    """The sections that the citations of each stored answer lead to, or their nearest ancestors."""
+    a = table(spark, sf, "answers").select("answer_id", F.substring_index(F.get("context_ids", F.lit(0)), "::", 1).alias("doc"), "citations").dropDuplicates(["answer_id"])
+    n = a.select("answer_id", "doc", F.explode("citations").alias("c")).withColumn("number", F.regexp_extract("c", r"§\s*(\d{1,2}\.\d{1,2}(?:\([a-z0-9]+\))*)", 1)).where("number != '' AND doc IS NOT NULL").distinct()
+    n = n.select(F.col("answer_id").alias("key"), F.concat("doc", F.lit("::"), F.col("number")).alias("number")).distinct()
     s = build.sections(spark, sf).select("id", F.col("id").alias("number"))
     return graph.section_seed(n, s)
 
@@ -160,6 +160,7 @@ edge AS (SELECT DISTINCT * FROM (
   UNION ALL SELECT src, dst, 'REFERENCES', 'REFERENCES' FROM ref UNION ALL SELECT src, dst, 'EXCEPTION_TO', 'EXCEPTION_TO' FROM exc
   UNION ALL SELECT d.document_id || '::1.01', d.id, 'DEFINES', 'DEFINES' FROM def d WHERE d.document_id || '::1.01' IN (SELECT id FROM sec)
   UNION ALL SELECT key, split_part(key, '::def::', 1) || '::def::' || term, 'DEPENDS_ON', 'DEPENDS_ON' FROM occ WHERE hit AND key <> split_part(key, '::def::', 1) || '::def::' || term
+  UNION ALL SELECT s.id, d.id, 'REFERENCES', 'REFERENCES' FROM sec s JOIN def d ON d.document_id = s.document_id AND s.level <> 'article' AND NOT starts_with(s.number, '1.01') AND regexp_matches(s.text, '(^|[^\w])' || d.term || '($|[^\w])')
   UNION ALL SELECT src, dst, 'AMENDS::' || effective_date, 'AMENDS' FROM am)),
 vert AS (SELECT id, min(node_type) AS node_type FROM (SELECT id, 'Document' AS node_type FROM fil UNION ALL SELECT id, 'Section' FROM sec UNION ALL SELECT id, 'Definition' FROM def) GROUP BY id)
 """
@@ -178,14 +179,15 @@ ORACLE = {
     "graph_dependents": BASE + "SELECT DISTINCT dst AS node, src AS dependent FROM edge WHERE edge_type IN ('REFERENCES', 'DEPENDS_ON')",
     "graph_degree_band": BASE + "SELECT dst AS node, count(DISTINCT src) AS inbound FROM edge WHERE edge_type IN ('REFERENCES', 'DEPENDS_ON') GROUP BY dst HAVING count(DISTINCT src) BETWEEN 3 AND 25",
     "graph_amended_nodes": BASE + "SELECT DISTINCT dst AS node FROM am",
-    "graph_reference_closure": BASE + """, root AS (SELECT DISTINCT gold[1] AS root FROM holdout_hard_set WHERE gold[1] IS NOT NULL),
-s1 AS (SELECT DISTINCT root, dst AS node FROM root JOIN ref ON src = root), s2 AS (SELECT DISTINCT s1.root, dst AS node FROM s1 JOIN ref ON src = s1.node WHERE dst <> s1.root)
+    "graph_reference_closure": BASE + """, root AS (SELECT DISTINCT unnest(gold) AS root FROM holdout_hard_set), d AS (SELECT src, dst FROM edge WHERE edge_type IN ('REFERENCES', 'DEPENDS_ON')),
+s1 AS (SELECT DISTINCT root, dst AS node FROM root JOIN d ON src = root WHERE dst <> root), s2 AS (SELECT DISTINCT s1.root, dst AS node FROM s1 JOIN d ON src = s1.node WHERE dst <> s1.root)
 SELECT root, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM s1 UNION ALL SELECT *, 2 FROM s2) GROUP BY root, node""",
-    "graph_reachable": BASE + """, e AS (SELECT src, dst FROM contains_ UNION SELECT dst, src FROM contains_), root AS (SELECT DISTINCT unnest(entry) AS root FROM mini_eval_set),
-s1 AS (SELECT DISTINCT root, dst AS node FROM root JOIN e ON src = root), s2 AS (SELECT DISTINCT s1.root, dst AS node FROM s1 JOIN e ON src = s1.node WHERE dst <> s1.root) SELECT root, node FROM s1 UNION SELECT root, node FROM s2""",
+    "graph_reachable": BASE + """, e AS (SELECT src, dst FROM edge WHERE edge_type <> 'AMENDS' UNION SELECT dst, src FROM edge WHERE edge_type <> 'AMENDS'), root AS (SELECT DISTINCT unnest(entry) AS root FROM mini_eval_set),
+s1 AS (SELECT DISTINCT root, dst AS node FROM root JOIN e ON src = root WHERE dst <> root), s2 AS (SELECT DISTINCT s1.root, dst AS node FROM s1 JOIN e ON src = s1.node WHERE dst <> s1.root), s3 AS (SELECT DISTINCT s2.root, dst AS node FROM s2 JOIN e ON src = s2.node WHERE dst <> s2.root)
+SELECT root, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3) GROUP BY root, node""",
     "graph_edge_asserts": BASE + """, q AS (SELECT DISTINCT id, edge_asserts FROM mini_eval_set), a AS (SELECT id, unnest(edge_asserts) AS a FROM q)
 SELECT id, count(*) AS asserted, avg(CASE WHEN EXISTS (SELECT 1 FROM edge e WHERE e.src = a[1] AND e.edge_type = a[2] AND e.dst = a[3]) THEN 1.0 ELSE 0.0 END) AS edge_recall FROM a GROUP BY id""",
     "graph_dangling": BASE + "SELECT m.id, m.number, count(*) AS mentions FROM men m WHERE NOT EXISTS (SELECT 1 FROM sec s WHERE s.document_id = m.document_id AND split_part(s.number, '(', 1) = split_part(m.number, '(', 1)) GROUP BY ALL",
-    "graph_section_seed": BASE + r""", q AS (SELECT DISTINCT id AS key, split_part(gold[1], '::', 1) AS doc, regexp_extract(question, '(?:Section|Ziffer|clausula)\s+([0-9]{1,2}\.[0-9]{2}(?:\([a-z]\))*)', 1) AS n FROM holdout_hard_set WHERE gold[1] IS NOT NULL)
+    "graph_section_seed": BASE + r""", a AS (SELECT answer_id, any_value(context_ids) AS ids, any_value(citations) AS cs FROM answers GROUP BY answer_id), q AS (SELECT DISTINCT answer_id AS key, split_part(ids[1], '::', 1) AS doc, regexp_extract(c, '§\s*(\d{1,2}\.\d{1,2}(?:\([a-z0-9]+\))*)', 1) AS n FROM (SELECT answer_id, ids, unnest(cs) AS c FROM a WHERE ids[1] IS NOT NULL))
 SELECT key, doc || '::' || n AS number, arg_max(s.id, len(s.id)) AS node FROM q JOIN sec s ON n <> '' AND s.document_id = doc AND (doc || '::' || n = s.id OR starts_with(doc || '::' || n, s.id || '(')) GROUP BY key, doc, n""",
 }
