@@ -38,18 +38,18 @@ def change_log(versions: DataFrame, days: int = PERIOD_DAYS) -> DataFrame:
     )
 
 
-def snapshots(log: DataFrame, last_period: DataFrame) -> DataFrame:
-    """(node_id, period, state): each node's state at the start of each period.
+def snapshots(log: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node_id, period, state): each node's state at the start of each period that may be asked for.
 
-    ``last_period`` is one row with the last period asked for, ``horizon``. The window
-    runs over one row per node and period with changes, never over single versions.
+    ``asked`` (node_id, low, high) bounds a node's periods. The window runs over one row per
+    node and period with changes, never over single versions.
     """
     w = Window.partitionBy("node_id").orderBy("period")
     runs = (
         log.groupBy("node_id", "period").agg(F.max("state").alias("state"))
         .select("node_id", F.max("state").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("state"), (F.col("period") + 1).alias("first"), F.lead("period").over(w).alias("next"))
-        .crossJoin(F.broadcast(last_period))
-        .withColumn("last", F.least(F.coalesce("next", "horizon"), F.col("horizon")))
+        .join(asked, "node_id")
+        .select("node_id", "state", F.greatest("first", "low").alias("first"), F.least(F.coalesce("next", "high"), F.col("high")).alias("last"))
     )
     return runs.where("first <= last").select("node_id", F.explode(F.sequence("first", "last")).alias("period"), "state")
 
@@ -64,8 +64,8 @@ def as_known(events: DataFrame, versions: DataFrame, node: str = "node_id", as_o
     asked = versions.join(pairs.select("node_id").distinct(), "node_id", "left_semi")
     dated = pairs.where("as_of IS NOT NULL").withColumn("period", _period(F.col("as_of"), days))
     log = change_log(asked, days)
-    horizon = dated.agg(F.max("period").alias("horizon")).where("horizon IS NOT NULL")
-    held = dated.join(snapshots(log, horizon), ["node_id", "period"]).select("node_id", "as_of", "state")
+    bounds = dated.groupBy("node_id").agg(F.min("period").alias("low"), F.max("period").alias("high"))
+    held = dated.join(snapshots(log, bounds), ["node_id", "period"]).select("node_id", "as_of", "state")
     replayed = dated.join(log, ["node_id", "period"]).where("day <= as_of").select("node_id", "as_of", "state")
     newest = (
         asked.where("effective_date IS NOT NULL AND version_id IS NOT NULL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexloom.runtime import range_of
+
 #: A mention of a section, the number captured. Fixed value.
 SECTION_MENTION = r"Section\s+([0-9]{1,2}\.[0-9]{2}(?:\([a-z]\))*)"
 ORDINALS = ("First", "Second", "Third", "Fourth", "Fifth", "Sixth", "Seventh", "Eighth", "Ninth", "Tenth")
@@ -42,15 +44,23 @@ def classify_op(text: Column) -> Column:
 
 
 def containment(sections: DataFrame) -> DataFrame:
-    """(src, dst, seq): document, article, section and subsection by running state."""
-    w = Window.partitionBy("document_id").orderBy("pos", "id").rowsBetween(Window.unboundedPreceding, 0)
-    slim = sections.select("id", "document_id", "level", "pos")
-    art = F.last(F.when(F.col("level") == "article", F.col("id")), ignorenulls=True).over(w)
+    """(src, dst, seq): document, article, section and subsection by running state.
+
+    The last article and section before a row are running maxima of their places. They
+    run inside ranges of places, and over the ranges, so a large document is no one task's.
+    """
+    at = F.struct(F.col("pos").alias("pos"), F.col("id").alias("id"), F.col("level").alias("level"))
+    rows = sections.select("id", "document_id", "level", "pos", F.when(F.col("level") == "article", at).alias("a"), F.when(F.col("level") != "subsection", at).alias("s"), range_of(F.col("pos")).alias("b"))
+    w = Window.partitionBy("document_id", "b").orderBy("pos", "id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("document_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("document_id", "b").agg(F.max("a").alias("a"), F.max("s").alias("s"))
+    ends = ends.select("document_id", "b", F.max("a").over(before).alias("a0"), F.max("s").over(before).alias("s0"))
+    run = rows.withColumns({"a": F.max("a").over(w), "s": F.max("s").over(w)}).join(ends, ["document_id", "b"])
+    art, sec = F.coalesce("a", "a0"), F.coalesce("s", "s0")
     # A section that opens before the current article belongs to an earlier one.
-    sec = F.last(F.when(F.col("level") != "subsection", F.struct("level", "id")), ignorenulls=True).over(w)
-    s = slim.withColumns({"_a": art, "_s": sec})
-    parent = F.when(F.col("level") == "article", F.col("document_id")).when(F.col("level") == "section", F.coalesce("_a", "document_id")).otherwise(F.coalesce(F.when(F.col("_s.level") == "section", F.col("_s.id")), F.col("_a"), F.col("document_id")))
-    return s.select(parent.alias("src"), F.col("id").alias("dst"), F.col("pos").cast("long").alias("seq"))
+    under = F.coalesce(F.when(sec["level"] == "section", sec["id"]), art["id"], F.col("document_id"))
+    parent = F.when(F.col("level") == "article", F.col("document_id")).when(F.col("level") == "section", F.coalesce(art["id"], F.col("document_id"))).otherwise(under)
+    return run.select(parent.alias("src"), F.col("id").alias("dst"), F.col("pos").cast("long").alias("seq"))
 
 
 def exceptions(sections: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codexloom.runtime import running_sum, skew_join
+
 #: Words that carry no content in grounding. Fixed values.
 STOP_WORDS = tuple(
     "a an and are as at be been but by can did do does for from had has have how i if in into is it it's its may must no not of on or shall should such than that the their them then there these this to under was were what when which who will with would you your".split()
@@ -36,11 +38,10 @@ def chunk_fixed(sections: DataFrame, size: int = 512, overlap: int = 256) -> Dat
     """
     step = size - overlap
     s = sections.select("document_id", "id", "pos", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    w = Window.partitionBy("document_id").orderBy("pos", "id")
     lens = s.select("document_id", "id", F.size("w").cast("long").alias("n"), "pos")
-    lens = lens.select("document_id", "id", (F.sum("n").over(w) - F.col("n")).alias("first"))
+    first = running_sum(lens, "document_id", "pos", ["pos", "id"], "n", "first").select("document_id", "id", "first")
     total = s.groupBy("document_id").agg(F.sum(F.size("w")).alias("n"))
-    at = s.join(lens, ["document_id", "id"]).join(total, "document_id")
+    at = s.join(skew_join(first, total, ["document_id"]), ["document_id", "id"])
     last = F.floor((F.greatest(F.col("n") - overlap, F.lit(1)) - 1) / step)
     # A section goes to its windows as slices, never as single words.
     lo = F.greatest(F.ceil((F.col("first") - size + 1) / step), F.lit(0))

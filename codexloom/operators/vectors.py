@@ -14,6 +14,8 @@ from codexloom.runtime import cut_lineage, shipped
 
 #: Vectors per block on average; two blocks meet in one task at a time.
 BLOCK = 2048
+#: Tasks at most among which one block of queries meets the corpus.
+LANES = 64
 
 
 def norm(v: Column) -> Column:
@@ -41,8 +43,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id",
     Blocks are hashed to a bounded size; nothing is broadcast.
     """
     q, c = _blocks(queries, id_col, vec, block, ("qb", "q", "")), _blocks(corpus, id_col, vec, block, ("cb", "c", ""))
-    qb = queries.sparkSession.range(max(1, math.ceil(queries.count() / block))).select(F.col("id").alias("qb"))
-    pairs = c.select("cb", "c", F.explode(F.sequence(F.lit(0), F.lit(qb.count() - 1))).alias("qb")).join(q, "qb")
+    n = max(1, math.ceil(queries.count() / block))
+    # Query blocks are copied to LANES lanes, over which the corpus is spread.
+    lane = F.pmod("cb", F.lit(LANES))
+    pairs = c.select(lane.alias("lane"), "c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb")).join(q.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")))), ["qb", "lane"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

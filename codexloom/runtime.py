@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more rows than this and more than 1/HOT_KEYS of all rows,
@@ -77,6 +77,30 @@ def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
+#: Places of an ordered group that one task runs over, where a group may be large.
+RANGE = 4096
+
+
+def range_of(pos: Column, width: int = RANGE) -> Column:
+    """The range of places that ``pos`` lies in; null places come first."""
+    return F.coalesce(F.floor(pos / width), F.lit(-(1 << 40)))
+
+
+def running_sum(df: DataFrame, by: str, pos: str, order: Sequence[str], value: str, out: str, width: int = RANGE) -> DataFrame:
+    """``df`` with ``out``, the sum of ``value`` over the rows of its group before it in ``order``.
+
+    ``order`` begins with ``pos``. Sums run inside ranges of ``pos``, and over the ranges' totals, so that no
+    task gets a whole group.
+    """
+    b, inside, before = fresh(df, "_range"), fresh(df, "_inside"), fresh(df, "_before")
+    rows = df.withColumn(b, range_of(F.col(pos), width))
+    rows = rows.withColumn(inside, F.sum(value).over(Window.partitionBy(by, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
+    total = rows.groupBy(by, b).agg(F.sum(value).alias(before))
+    w = Window.partitionBy(by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(F.col(by).alias("_g"), F.col(b).alias("_b"), F.coalesce(F.sum(before).over(w), F.lit(0)).alias(before))
+    return rows.join(total, rows[by].eqNullSafe(total["_g"]) & (rows[b] == total["_b"])).withColumn(out, F.col(inside) + F.col(before)).drop("_g", "_b", b, inside, before)
+
+
 def skew_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``big`` to ``lookup`` (null keys match), splitting hot keys of ``big``.
 

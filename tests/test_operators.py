@@ -1,11 +1,13 @@
 """Cases that the tables don't reach: ties, thresholds, ordered search, packing."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codexloom import runtime
 from codexloom.operators import extract, graph, metrics, retrieval, temporal, text, vectors
 
 EDGE = "src string, dst string, edge_key string, edge_type string, seq long"
@@ -198,3 +200,25 @@ def test_similar_pairs_are_all_pairs_whatever_the_blocks(spark):
         got = [(r.a, r.b) for r in vectors.similar_pairs(df, 0.92, block=block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert vectors.similar_pairs(df.where("false"), 0.92).count() == 0
+
+
+def test_running_state_over_ranges_of_places(spark):
+    rng = random.Random(6)
+    rows, want, art, sec = [], [], None, None
+    for p in range(9000):
+        level = rng.choice(["subsection"] * 30 + ["section"] * 3 + ["article"] if p > 40 else ["subsection", "section"])
+        rows.append((f"s{p:05}", "d", level, p))
+        if level == "article":
+            want.append("d")
+            art = sec = f"s{p:05}"
+        elif level == "section":
+            want.append(art or "d")
+            sec = f"s{p:05}"
+        else:
+            want.append(sec or art or "d")
+    df = spark.createDataFrame(rows + [("z", "e", "subsection", None)], "id string, document_id string, level string, pos int")
+    got = {r.dst: r.src for r in extract.containment(df).collect()}
+    assert [got[r[0]] for r in rows] == want and got["z"] == "e"
+    v = df.withColumn("n", F.length("id").cast("long"))
+    sums = runtime.running_sum(v, "document_id", "pos", ["pos", "id"], "n", "first", width=100)
+    assert {r.id: r["first"] for r in sums.where("document_id = 'd'").collect()} == {r[0]: 6 * k for k, r in enumerate(rows)}
