@@ -77,4 +77,9 @@ SELECT answer_id, round(CASE WHEN len(c) = 0 THEN 1.0 ELSE len(list_intersect(c,
 i AS (SELECT name, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM k) SELECT DISTINCT name, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM i""",
     "vector_topk": _TOP + " SELECT qid, id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10",
     "dense_seeds": _TOP + ", n AS (SELECT qid, label AS node, min(rank) AS first FROM r WHERE rank <= 30 GROUP BY qid, label) SELECT * FROM (SELECT qid, node, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) AS INTEGER) AS rank FROM n) WHERE rank <= 3",
+    "greedy_dedup": """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v), p AS (SELECT b.rn, list(a.id) AS near FROM n a JOIN n b ON a.id < b.id AND round(list_dot_product(a.e, b.e) / (a.n * b.n), 10) >= 0.92 GROUP BY b.rn),
+s AS (SELECT v.rn, v.id, coalesce(p.near, []) AS near FROM v LEFT JOIN p USING (rn)),
+f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT s.rn, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, id) END FROM f JOIN s ON s.rn = f.rn + 1)
+SELECT v.id, list_contains((SELECT arg_max(kept, rn) FROM f), v.id) AS kept FROM v""",
 }
