@@ -8,7 +8,7 @@ The corpus gives two tables; what is broadcast of them is bounded by a share:
 * its running lines, short unpunctuated lines whose fuzzy form (digits masked, look-alike
   letters merged, names masked) stands LINE_REPEATS times in one filing or in LINE_REPEATS
   sections of the corpus, at least EDGE_SHARE of them at a page's edge: beside a page
-  number, or across a word or sentence that goes on after them. Each filing's own are joined to its sections; only for sections
+  number, or across a word or sentence that goes on after them. Each section gets its filing's own that it has; only for sections
   of filings that were not learned from, the forms that also make up LINE_SHARE of all are
   broadcast.
 
@@ -29,10 +29,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexloom.runtime import cut_lineage, shipped, skew_join
+from codexloom.runtime import cut_lineage, shipped
 
 WORD_SHARE, LINE_SHARE, LINE_REPEATS = 5e-6, 1e-5, 3
 #: A page may also end with a sentence, so not every edge can be told.
@@ -71,7 +71,8 @@ _INLINE_PAGE = re.compile(r"(?<=\s)(?:- \d{1,4} -|\[\d{1,4}\]|\d{1,4} \| P a g e
 class Corpus:
     """The vocabulary (count, share of filings) and the running lines' fuzzy forms.
 
-    ``own`` has (d, own): the forms of all running lines of each filing learned from.
+    ``own`` has (d, i, own): of each section learned from that has running lines of its
+    filing ``d``, their forms.
     """
 
     words: dict = field(default_factory=dict)
@@ -490,6 +491,11 @@ def read_chunk(text: str | None, findings: list[Finding] | None, corpus: Corpus)
 _TOKEN = r"[a-z]+(?:-[a-z]+)*-?"
 
 
+def _key(id_: Column, text: Column) -> Column:
+    """What tells sections apart: the id, or the text where there is none."""
+    return F.coalesce(id_.cast("string"), F.xxhash64(text).cast("string"))
+
+
 def learn(sections: DataFrame, id_col: str = "id", text_col: str = "text", doc_col: str = "document_id", word_share: float = WORD_SHARE, line_share: float = LINE_SHARE, repeats: int = LINE_REPEATS) -> Corpus:
     """Vocabulary and running lines of all ``sections``; what reaches the driver is bounded.
 
@@ -520,15 +526,18 @@ def learn(sections: DataFrame, id_col: str = "id", text_col: str = "text", doc_c
             if out:
                 yield pd.DataFrame(out, columns=["d", "i", "f", "n", "e"])
 
-    named = rows.select("d", F.coalesce(F.col("i").cast("string"), F.xxhash64("t").cast("string")).alias("i"), "t")
+    named = rows.select("d", _key(F.col("i"), F.col("t")).alias("i"), "t")
     once = named.transform(shipped).mapInPandas(forms, "d string, i string, f string, n long, e long").groupBy("d", "i", "f").agg(F.max("n").alias("n"), F.max("e").alias("e"))
-    counts = cut_lineage(once.groupBy("d", "f").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("s")))
+    once = cut_lineage(once)
+    counts = once.groupBy("d", "f").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("s"))
     at_edges = F.col("e") >= EDGE_SHARE * F.col("n")
     wide = counts.groupBy("f").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("e").alias("e")).where((F.col("s") >= repeats) & at_edges).select("f", "s")
     every = counts.agg(F.sum("s").alias("all"))
     lines = wide.crossJoin(F.broadcast(every)).where(F.col("s") >= line_share * F.col("all")).select("f")
-    own = counts.join(wide.select("f", F.lit(True).alias("wide")), "f", "left").where(F.col("wide") | ((F.col("n") >= repeats) & at_edges))
-    return Corpus(table, frozenset(r.f for r in lines.collect()), own.groupBy("d").agg(F.collect_set("f").alias("own")))
+    own = counts.join(wide.select("f", F.lit(True).alias("wide")), "f", "left").where(F.col("wide") | ((F.col("n") >= repeats) & at_edges)).select("d", "f")
+    # Each section gets those of its filing's running lines that it has itself.
+    its = once.select("d", "i", "f").join(own, ["d", "f"]).groupBy("d", "i").agg(F.collect_set("f").alias("own"))
+    return Corpus(table, frozenset(r.f for r in lines.collect()), its)
 
 
 _FOUND = "array<struct<kind:string,before:string,item:string,after:string,repaired:string>>"
@@ -552,8 +561,8 @@ def read_sections(sections: DataFrame, corpus: Corpus, id_col: str = "id", text_
                 continue
             yield pd.DataFrame({"id": pdf["i"], "findings": [[vars(f) for f in fs] for fs, _ in got], "repaired": [r for _, r in got]})
 
-    rows = sections.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.coalesce(F.col(doc_col), F.lit("")).alias("d"))
-    joined = rows.withColumn("own", F.lit(None).cast("array<string>")) if corpus.own is None else skew_join(rows, corpus.own, ["d"], "left")
+    rows = sections.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.coalesce(F.col(doc_col), F.lit("")).alias("d"), _key(F.col(id_col), F.col(text_col)).alias("k"))
+    joined = rows.withColumn("own", F.lit(None).cast("array<string>")) if corpus.own is None else rows.join(corpus.own.withColumnRenamed("i", "k"), ["d", "k"], "left")
     return joined.select("i", "t", "own").transform(shipped).mapInPandas(run, f"id string, findings {_FOUND}, repaired string")
 
 
