@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexloom.operators import text as words
 from codexloom.operators import vectors
+from codexloom.reports import build_once
 from codexloom.runtime import cut_lineage, ship
 
 DIM, BATCH = 256, 32
@@ -84,10 +85,37 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, factory: Cal
     ``questions`` (qid, question), ``chunks`` (id, text, ...). Ties go to the lower key.
     """
     # Keys are hashes of ids, since vectors meet by number.
-    c = cut_lineage(encode(chunks, "text", factory=factory).withColumn("vec_id", F.xxhash64("id")))
+    index = cut_lineage(encode(chunks, "text", factory=factory).withColumn("vec_id", F.xxhash64("id")))
+    return search(questions, index, k, factory)
+
+
+def build_index(spark: SparkSession, chunks: DataFrame, path: str, factory: Callable = hashed_encoder) -> DataFrame:
+    """The index of ``chunks`` (id, text, ...) at ``path``, encoded and written there unless it is finished already."""
+    return build_once(spark, path, lambda: encode(chunks, "text", factory=factory).withColumn("vec_id", F.xxhash64("id")))
+
+
+def search(questions: DataFrame, index: DataFrame, k: int, factory: Callable = hashed_encoder) -> DataFrame:
+    """(qid, question, id, rank, ...): the k entries of an index nearest to each question."""
     q = cut_lineage(encode(questions, "question", factory=factory).withColumn("vec_id", F.xxhash64("qid")))
-    hits = vectors.top_k(q, c, k).withColumnsRenamed({"qid": "_q", "id": "_c"})
-    return hits.join(q.select(F.col("vec_id").alias("_q"), "qid", "question"), "_q").join(c.withColumnRenamed("vec_id", "_c").drop("embedding"), "_c").drop("_q", "_c", "score")
+    hits = vectors.top_k(q, index, k).withColumnsRenamed({"qid": "_q", "id": "_c"})
+    return hits.join(q.select(F.col("vec_id").alias("_q"), "qid", "question"), "_q").join(index.withColumnRenamed("vec_id", "_c").drop("embedding"), "_c").drop("_q", "_c", "score")
+
+
+def generate(prompts: DataFrame, prompt: str, factory: Callable[[], Callable[[list[str]], list[str]]], out: str = "answer", batch: int = BATCH) -> DataFrame:
+    """``prompts`` with the model's reply to each, ``batch`` at a time; a null prompt gets none."""
+    ship(prompts.sparkSession)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for s in batches:
+            asked = [k for k, t in enumerate(s) if t is not None]
+            replies: list[str | None] = [None] * len(s)
+            for at in range(0, len(asked), batch):
+                for k, r in zip(asked[at : at + batch], model([s.iloc[k] for k in asked[at : at + batch]])):
+                    replies[k] = r
+            yield pd.Series(replies, dtype=object)
+
+    return prompts.withColumn(out, F.pandas_udf(run, "string", functionType=F.PandasUDFType.SCALAR_ITER)(prompt))
 
 
 def json_object(reply: Column) -> Column:

@@ -93,6 +93,15 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
     return met.select("xb", "yb", "x", "y").transform(shipped).mapInPandas(run, "a long, b long, cosine double")
 
 
+def max_sim(query: Column, doc: Column) -> Column:
+    """Late interaction: for each vector of ``query`` its best inner product with one of ``doc``, summed.
+
+    Both are arrays of vectors; without any vector in either the sum is 0.
+    """
+    best = F.transform(query, lambda q: F.coalesce(F.array_max(F.transform(doc, lambda d: dot(q, d))), F.lit(0.0)))
+    return F.coalesce(F.aggregate(best, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+
+
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, kept): what a pass in id order keeps, dropping whatever resembles a kept one.
 

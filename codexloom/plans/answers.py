@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.operators import amendments, blocks, build, graph, models, retrieval, seeding, temporal
+from codexloom.operators import amendments, blocks, build, graph, metrics, models, retrieval, seeding
+from codexloom.operators import text as words
 from codexloom.operators.asknown import join_as_known
 from codexloom.plans.graph import HOP_TYPES, links
 from codexloom.plans.temporal import OPS as _OPS_SQL
@@ -216,11 +217,42 @@ def baseline_context(spark: SparkSession, sf: str) -> DataFrame:
     return q.join(packed, "qid", "left").select("qid", retrieval.ids_of(F.col("p")).alias("context_ids"), retrieval.context(F.col("p")).alias("context"), F.lit("").alias("answer"))
 
 
+#: Ways to cut sections into chunks that are compared: words, and overlap; none is by section.
+CUTS = {"fixed_512_256": (512, 256), "fixed_256_64": (256, 64), "sections_512": (512, None)}
+
+
+def chunking_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """For each way of chunking: chunks, and the share of gold among the best ten of the thirty nearest."""
+    sec = build.sections(spark, sf)
+    q = table(spark, sf, "mini_eval_set").select(F.col("id").alias("qid"), F.col("text").alias("question"), "gold").where("size(gold) > 0").dropDuplicates(["qid"])
+    number, out = sec.select(F.col("id").alias("section_id"), "number").dropDuplicates(["section_id"]), None
+    for name, (size, overlap) in CUTS.items():
+        made = words.chunk_sections(sec, size) if overlap is None else words.chunk_fixed(sec, size, overlap)
+        made = cut_lineage(made.join(number, "section_id", "left").select("id", "text", F.concat(F.lit("near §"), "number").alias("citation")))
+        best = retrieval.rerank(models.lexical_scorer(models.nearest_chunks(q.select("qid", "question"), made, 30).withColumnRenamed("rank", "pos")), TOP_K)
+        got = q.join(best.groupBy("qid").agg(F.collect_list(F.struct("citation", "text")).alias("c")), "qid", "left")
+        hit = F.size(F.filter("gold", lambda g: F.exists("c", lambda b: metrics.baseline_hit(g, b["citation"], b["text"]))))
+        row = got.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.coalesce(hit, F.lit(0)) / F.size("gold")), 6).alias("recall_at_10")).crossJoin(made.agg(F.count(F.lit(1)).alias("chunks"))).withColumn("chunking", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def structure_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Structure alone: what the ordered search from the seeds reaches, the best ten, the first three seeds before them."""
+    seeds = cut_lineage(_seeds(spark, sf))
+    v, e = cut_lineage(build.vertices(spark, sf)), cut_lineage(build.edges(spark, sf))
+    walked = graph.ordered_dfs(seeds, e, v.where(F.col("node_type").isin(*graph.TEXT_TYPES)).select("id"))
+    day = _questions(spark, sf)
+    known = _text_as_of(spark, sf, walked.join(day, "qid"))
+    best = retrieval.rerank(models.lexical_scorer(known), TOP_K).select("qid", "node", F.col("rank").alias("pos"))
+    return retrieval.ordered_union([seeds.where("pos < 3"), best])
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunks").select("id", "text", "document_name", "section_hint").where("text IS NOT NULL").dropDuplicates(["id"])
 
 
-QUERIES = {f.__name__: f for f in (question_agreements, question_gates, amend_ops, seeds_union, seeds_expanded, stage2_candidates, block_catalogue, block_dependents, block_components, block_history, answer_context, baseline_context)}
+QUERIES = {f.__name__: f for f in (question_agreements, question_gates, amend_ops, seeds_union, seeds_expanded, stage2_candidates, block_catalogue, block_dependents, block_components, block_history, answer_context, baseline_context, chunking_recall, structure_seeds)}
 
 _W = r"[\p{L}\p{N}''’-]+"
 _SAY = lambda x: f"array_to_string(regexp_extract_all(lower({x}), '{_W}'), ' ')"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codexloom import reports
 from codexloom.__main__ import main
-from codexloom.operators import audit, citations, evalset, extract, graph, metrics, models
+from codexloom.operators import audit, citations, evalset, extract, graph, metrics, models, vectors
 
 
 def one(spark, column, **values):
@@ -164,6 +164,21 @@ def test_encoders_and_scorers_run_in_batches(spark):
     assert [r.id for r in got.orderBy("rank").collect()] == ["c", "a"]
 
 
+def test_index_generator_and_late_interaction(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "margin of a loan"), ("b", "zzz qqq")], "id string, text string")
+    q = spark.createDataFrame([("1", "the margin of the loan"), ("2", None)], "qid string, question string")
+    for _ in range(2):
+        index = models.build_index(spark, chunks, str(tmp_path / "i"))
+    assert models.search(q, index, 1).where("qid = '1'").first().id == "a"
+
+    def factory():
+        return lambda texts: [t.upper() for t in texts]
+
+    assert [r.answer for r in models.generate(q, "question", factory).orderBy("qid").collect()] == ["THE MARGIN OF THE LOAN", None]
+    v = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[0.5, 0.0], [0.2, 0.7]]), ([], [[1.0, 1.0]]), ([[1.0, 1.0]], [])], "q array<array<double>>, d array<array<double>>")
+    assert [round(r[0], 6) for r in v.select(vectors.max_sim(F.col("q"), F.col("d"))).collect()] == [1.2, 0.0, 0.0]
+
+
 def test_replies_are_taken_apart(spark):
     assert one(spark, models.json_object(F.col("r")), r='Sure:\n```json\n{"a": {"b": 1}}\n``` done') == '{"a": {"b": 1}}'
     assert one(spark, models.json_object(F.col("r")), r="no object") is None and one(spark, models.json_array(F.col("r")), r="x [1, [2]] y") == "[1, [2]]"
