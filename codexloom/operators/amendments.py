@@ -40,33 +40,31 @@ def amend_ops(sections: DataFrame, patterns: list[tuple[str, bool, str]] = CLAUS
     """(document_id, target_kind, target, op, new_text, source_sec_id) of amending clauses.
 
     ``sections`` (id, number, level, document_id, pos, text). Only sections of the first
-    article and sections that say they amend something are read. Of several clauses of a
+    article and sections that say they amend something are read, however often they are
+    delivered. Of several clauses of a
     document with one target, the first counts, by section, pattern and place; a target
     loses the punctuation that recognition left behind it. Null texts have no clause.
     """
     opens = F.startswith("number", F.lit("1.")) | F.col("text").rlike(r"^\s*\d+\.\d+\s+Amendment to\b")
     own = sections.where((F.col("level") == "section") & opens & F.col("text").rlike("hereby amended|hereby add|Credit Agreement is amended"))
-    own = own.select("id", "document_id", "pos", "text")
-    order = own.select("id", "pos")
-    parts = []
-    for k, (kind, inserts, pattern) in enumerate(patterns):
-        rows = own.where(F.col("text").rlike(_BATCH)) if k == BATCH else own
-        m = extract.matches(rows, pattern)
-        window = F.substr("text", (F.col("start") + 1).cast("int"), F.lit(TOLD))
-        op = F.lit("insert") if inserts else extract.classify_op(window)
-        new = F.col("text") if k == BATCH else _new_text(F.expr("substring(text, start + len + 1)"))
-        if k == PLAIN:
-            before = F.expr("substring(text, greatest(start - 80, 0) + 1, least(start, 80))")
-            m = m.where(~window.rlike(_BATCH) & ~before.rlike(_IN_DEFINITION))
-        parts.append(m.select("id", "document_id", F.lit(kind).alias("target_kind"), F.col("value").alias("target"), op.alias("op"), new.alias("new_text"), F.lit(k).alias("family"), "k"))
+    own = own.select(F.struct("pos", "id").alias("id"), "document_id", "text")
+    # All patterns are matched in one pass over the texts.
+    every = extract.matches_of(own, [p for _, _, p in patterns])
+    family, start, end = F.col("family"), F.col("start"), F.col("start") + F.col("len")
+    window = F.substr("text", (start + 1).cast("int"), F.lit(TOLD))
+    before = F.substr("text", (F.greatest(start - 80, F.lit(0)) + 1).cast("int"), F.least(start, F.lit(80)).cast("int"))
+    batch = F.col("text").rlike(_BATCH)
+    is_ = lambda ks: family.isin(*ks) if ks else F.lit(False)
+    every = every.where(((family != BATCH) | batch) & ~((family == PLAIN) & (window.rlike(_BATCH) | before.rlike(_IN_DEFINITION))))
+    kind = F.element_at(F.array(*[F.lit(k) for k, _, _ in patterns]), family + 1)
+    op = F.when(is_([k for k, (_, inserts, _) in enumerate(patterns) if inserts]), "insert").otherwise(extract.classify_op(window))
+    new = F.when(family == BATCH, F.col("text")).otherwise(_new_text(F.substr("text", (end + 1).cast("int"), F.length("text"))))
+    found = every.select("id", "document_id", kind.alias("target_kind"), F.col("value").alias("target"), op.alias("op"), new.alias("new_text"), "family", "k")
     # A batch amends the section that holds the definitions too.
-    batch = own.where(F.col("text").rlike(_BATCH)).select("id", "document_id", F.lit("section").alias("target_kind"), F.lit(_BATCH_TARGET).alias("target"), F.lit("insert").alias("op"), F.col("text").alias("new_text"), F.lit(BATCH).alias("family"), F.lit(1 << 30).alias("k"))
-    every = batch
-    for p in parts:
-        every = every.unionByName(p)
-    every = every.withColumn("target", F.regexp_replace(F.trim("target"), r"[,;.]+$", "")).where("target != ''").join(order, "id")
-    first = every.groupBy("document_id", "target_kind", "target").agg(F.min(F.struct("pos", "id", "family", "k", "op", "new_text")).alias("m"))
-    return first.select("document_id", "target_kind", "target", F.col("m.op").alias("op"), F.col("m.new_text").alias("new_text"), F.col("m.id").alias("source_sec_id"))
+    held = own.where(batch).select("id", "document_id", F.lit("section").alias("target_kind"), F.lit(_BATCH_TARGET).alias("target"), F.lit("insert").alias("op"), F.col("text").alias("new_text"), F.lit(BATCH).alias("family"), F.lit(1 << 30).alias("k"))
+    named = found.unionByName(held).withColumn("target", F.regexp_replace(F.trim("target"), r"[,;.]+$", "")).where("target != ''")
+    first = named.groupBy("document_id", "target_kind", "target").agg(F.min(F.struct("id", "family", "k", "op", "new_text")).alias("m"))
+    return first.select("document_id", "target_kind", "target", F.col("m.op").alias("op"), F.col("m.new_text").alias("new_text"), F.col("m.id.id").alias("source_sec_id"))
 
 
 def resolve_targets(ops: DataFrame, nodes: DataFrame) -> DataFrame:

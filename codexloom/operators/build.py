@@ -18,6 +18,11 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "sections").select("id", "number", "title", "text", "document_id", "level", "pos").distinct()
 
 
+def outline(spark: SparkSession, sf: str) -> DataFrame:
+    """The sections without their texts, so that telling repeated rows apart moves no text."""
+    return table(spark, sf, "sections").select("id", "number", "document_id", "level", "pos").distinct()
+
+
 def filings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "filings").select("id", "name", "doc_type", "doc_date", "amendment_number", "agreement_id").distinct()
 
@@ -39,13 +44,12 @@ def parties(spark: SparkSession, sf: str) -> DataFrame:
 
 def clauses(spark: SparkSession, sf: str) -> DataFrame:
     """The amending clauses of all amendments with the nodes that they amend."""
-    sec = sections(spark, sf)
-    return amendments.resolve_targets(amendments.amend_ops(sec.where("document_id NOT LIKE '%.base'")), sec.select("id"))
+    return amendments.resolve_targets(amendments.amend_ops(table(spark, sf, "sections").where("document_id NOT LIKE '%.base'")), outline(spark, sf).select("id"))
 
 
 def vertices(spark: SparkSession, sf: str) -> DataFrame:
     d = filings(spark, sf).select("id", F.lit("Document").alias("node_type"), F.col("name").alias("label")).dropDuplicates(["id"])
-    s = sections(spark, sf).select("id", F.lit("Section").alias("node_type"), F.concat(F.lit("§"), F.col("number")).alias("label"))
+    s = outline(spark, sf).select("id", F.lit("Section").alias("node_type"), F.concat(F.lit("§"), F.col("number")).alias("label"))
     t = definitions(spark, sf).select("id", F.lit("Definition").alias("node_type"), F.concat(F.lit("definition of “"), F.col("term"), F.lit("” (§1.01)")).alias("label"))
     p = parties(spark, sf).select(F.col("node_id").alias("id"), F.lit("Party").alias("node_type"), F.col("name").alias("label")).dropDuplicates(["id"])
     x = clauses(spark, sf).where("target_kind = 'exhibit'").select(F.col("node_id").alias("id"), F.lit("Exhibit").alias("node_type"), F.concat(F.lit("Exhibit "), F.col("target")).alias("label")).distinct()
@@ -65,14 +69,14 @@ def amend_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """(src, dst, edge_key, edge_type, seq, source_sec_id), one edge per key."""
-    sec, defs = sections(spark, sf), definitions(spark, sf)
+    sec, slim, defs = sections(spark, sf), outline(spark, sf), definitions(spark, sf)
 
     def typed(df: DataFrame, kind: str, seq) -> DataFrame:  # noqa: ANN001
         return df.select("src", "dst", F.lit(kind).alias("edge_key"), F.lit(kind).alias("edge_type"), seq.cast("long").alias("seq"))
 
-    contains = typed(extract.containment(sec), "CONTAINS", F.col("seq"))
-    refs = references(sec)
-    defines = defs.select(F.concat("document_id", F.lit("::1.01")).alias("src"), F.col("id").alias("dst")).join(sec.select(F.col("id").alias("src")), "src", "left_semi")
+    contains = typed(extract.containment(slim), "CONTAINS", F.col("seq"))
+    refs = references(sec, slim)
+    defines = defs.select(F.concat("document_id", F.lit("::1.01")).alias("src"), F.col("id").alias("dst")).join(slim.select(F.col("id").alias("src")), "src", "left_semi")
     uses = extract.term_mentions(defs.select(F.col("id").alias("key"), F.col("document_id").alias("scope"), "text"), defs.select(F.col("document_id").alias("scope"), "term"))
     uses = uses.select(F.col("key").alias("src"), F.concat(F.substring_index("key", "::def::", 1), F.lit("::def::"), F.col("term")).alias("dst")).where("src != dst")
     # References to definitions come after those to sections.
@@ -92,7 +96,7 @@ def section_terms(spark: SparkSession, sf: str) -> DataFrame:
     return used.select(F.col("key.id").alias("src"), F.col("key.document_id").alias("scope"), "term").join(defs, ["scope", "term"]).select("src", "dst").distinct()
 
 
-def references(sec: DataFrame) -> DataFrame:
-    """(src, dst, seq, evidence) of each mention that resolves to another section."""
+def references(sec: DataFrame, slim: DataFrame | None = None) -> DataFrame:
+    """(src, dst, seq, evidence) of each mention in ``sec`` that resolves to another section of ``slim``."""
     m = extract.mentions(sec).withColumnRenamed("id", "src")
-    return graph.resolve_mentions(m, sec).where("dst IS NOT NULL AND dst != src").select("src", "dst", F.col("k").alias("seq"), "evidence")
+    return graph.resolve_mentions(m, sec if slim is None else slim).where("dst IS NOT NULL AND dst != src").select("src", "dst", F.col("k").alias("seq"), "evidence")

@@ -12,17 +12,32 @@ SECTION_MENTION = r"Section\s+([0-9]{1,2}\.[0-9]{2}(?:\([a-z]\))*)"
 ORDINALS = ("First", "Second", "Third", "Fourth", "Fifth", "Sixth", "Seventh", "Eighth", "Ninth", "Tenth")
 
 
-def matches(rows: DataFrame, pattern: str) -> DataFrame:
-    """(id, document_id, text, k, value, start, len): each match with its captured value.
+def _places(f: int) -> Column:
+    """The matches of pattern ``f`` as an array, from the columns that hold them."""
+
+    def upto(i: Column) -> Column:
+        before = F.aggregate(F.slice(f"_m{f}", 1, i), F.lit(0), lambda s, x: s + F.length(x))
+        return F.aggregate(F.slice(f"_g{f}", 1, i + 1), F.lit(0), lambda s, g: s + g) + before
+
+    return F.transform(f"_m{f}", lambda x, i: F.struct(F.lit(f).alias("family"), i.alias("k"), F.get(f"_v{f}", i).alias("value"), upto(i).cast("long").alias("start"), F.length(x).alias("len")))
+
 
-    Starts come from the lengths of the pieces between the matches, summed inside the row,
-    so no row leaves the JVM or its partition.
+def matches_of(rows: DataFrame, patterns: list[str]) -> DataFrame:
+    """(id, document_id, text, family, k, value, start, len): each match of each pattern, its value captured.
+
+    ``family`` is the pattern's place in the list. Starts come from the lengths of the pieces
+    between the matches, summed inside the row, so no row leaves the JVM or its partition.
     """
-    got = rows.where(F.col("text").isNotNull()).select("id", "document_id", "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("v"))
-    got = got.where(F.size("m") > 0).withColumn("gap", F.transform(F.split("text", pattern, -1), lambda p: F.length(p)))
-    upto = lambda i: F.aggregate(F.slice("gap", 1, i + 1), F.lit(0), lambda s, g: s + g) + F.aggregate(F.slice("m", 1, i), F.lit(0), lambda s, x: s + F.length(x))
-    flat = got.select("id", "document_id", "text", F.posexplode(F.transform("m", lambda x, i: F.struct(upto(i).alias("start"), F.length(x).alias("len"), F.get("v", i).alias("value")))).alias("k", "x"))
-    return flat.select("id", "document_id", "text", "k", F.col("x.value").alias("value"), F.col("x.start").cast("long").alias("start"), F.col("x.len").alias("len"))
+    own = rows.where(F.col("text").isNotNull()).select("id", "document_id", "text")
+    for f, p in enumerate(patterns):
+        own = own.withColumns({f"_m{f}": F.regexp_extract_all("text", F.lit(p), F.lit(0)), f"_v{f}": F.regexp_extract_all("text", F.lit(p), F.lit(1)), f"_g{f}": F.transform(F.split("text", p, -1), lambda x: F.length(x))})
+    found = [_places(f) for f in range(len(patterns))]
+    return own.select("id", "document_id", "text", F.explode(F.concat(*found)).alias("x")).select("id", "document_id", "text", "x.*")
+
+
+def matches(rows: DataFrame, pattern: str) -> DataFrame:
+    """(id, document_id, text, k, value, start, len): each match with its captured value."""
+    return matches_of(rows.where(F.col("text").rlike(pattern)), [pattern]).drop("family")
 
 
 def mentions(sections: DataFrame, pattern: str = SECTION_MENTION, before: int = 60, after: int = 20) -> DataFrame:
@@ -73,17 +88,21 @@ def exceptions(sections: DataFrame) -> DataFrame:
 def term_mentions(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, term): defined terms that each text mentions, longer terms masking shorter.
 
-    ``texts`` (key, scope, text), ``terms`` (scope, term). Every run of as many
-    words as some term of its scope has is joined to those terms, instead of each text
-    being searched for each term. Of the hits, leftmost and then longest win, and none overlaps another.
+    ``texts`` (key, scope, text), ``terms`` (scope, term). At every word with which a term of
+    the scope begins, the runs of as many words as some term has are joined to the terms,
+    instead of each text being searched for each term. Of the hits, leftmost and then
+    longest win, and none overlaps another.
     """
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}'’-]+"), F.lit(0))
-    t = texts.where("text IS NOT NULL").select("key", "scope", words.alias("w")).where(F.size("w") > 0)
     run = F.regexp_extract_all("term", F.lit(r"[\p{L}\p{N}'’-]+"), F.lit(0))
-    named = terms.select("scope", "term", F.array_join(run, " ").alias("run"), F.size(run).alias("n")).where("run != ''").distinct()
-    lengths = named.groupBy("scope").agg(F.collect_set("n").alias("lengths"))
-    runs = t.join(lengths, "scope").withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - 1))).withColumn("n", F.explode("lengths")).where(F.col("i") + F.col("n") <= F.size("w"))
-    named = named.drop("n")
+    named = terms.select("scope", "term", F.array_join(run, " ").alias("run"), F.size(run).alias("n"), F.get(run, F.lit(0)).alias("first")).where("run != ''").distinct()
+    known = named.groupBy("scope").agg(F.collect_set("n").alias("lengths"), F.collect_set("first").alias("firsts"))
+    # Texts without any first word of a term go no further.
+    t = texts.where("text IS NOT NULL").join(known, "scope").select("key", "scope", words.alias("w"), "lengths", "firsts")
+    t = t.withColumn("here", F.array_intersect("w", "firsts")).where(F.size("here") > 0).drop("firsts")
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains("here", F.get("w", i)))
+    runs = t.withColumn("i", F.explode(at)).withColumn("n", F.explode("lengths")).where(F.col("i") + F.col("n") <= F.size("w"))
+    named = named.select("scope", "term", "run")
     hits = runs.select("key", "scope", "i", "n", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("run")).join(named, ["scope", "run"])
     per = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("n"), "term"))).alias("h"))
     first = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))

@@ -40,7 +40,7 @@ def _amends(spark: SparkSession, sf: str) -> DataFrame:
 
 def _seeds(spark: SparkSession, sf: str, placed: DataFrame | None = None) -> DataFrame:
     q = _placed(spark, sf) if placed is None else placed
-    parts = [seeding.cited(q, build.sections(spark, sf)), seeding.named_terms(q, build.definitions(spark, sf))]
+    parts = [seeding.cited(q, build.outline(spark, sf)), seeding.named_terms(q, build.definitions(spark, sf))]
     return seeding.seeds(parts, _amends(spark, sf))
 
 
@@ -153,14 +153,14 @@ def answer_blocks(spark: SparkSession, sf: str, scorer: models.Scorer | None = N
     # Second stage: two pools of candidates, each with its own share of what is kept.
     evidence = ranked.select("qid", "node").unionByName(seeds.select("qid", "node")).distinct()
 
-    def near(centres: DataFrame) -> DataFrame:
-        h = graph.hop_neighbors(v, e, HOP_TYPES, centres.select("node"), limit=None)
-        s = graph.sibling_neighbors(v, e, limit=None, frontier=centres.select("node"))
-        found = retrieval.stage2(centres, s, h).join(evidence, ["qid", "node"], "left_anti")
-        return score(_text_as_of(spark, sf, found.withColumn("pos", F.col("node")).join(day, "qid")))
-
-    pools = [cut_lineage(near(c)) for c in (seeds.where(F.col("pos") < TOP_N).select("qid", "node"), ranked.where(F.col("rank") <= TOP_N).select("qid", "node"))]
-    picked = cut_lineage(retrieval.split_budget(*[p.select("qid", "node", "pos", "score") for p in pools], KEEP))
+    centres = [seeds.where(F.col("pos") < TOP_N).select("qid", "node"), ranked.where(F.col("rank") <= TOP_N).select("qid", "node")]
+    around = cut_lineage(centres[0].unionByName(centres[1]).select("node").distinct())
+    hubs, mates = graph.hop_neighbors(v, e, HOP_TYPES, around, limit=None), graph.sibling_neighbors(v, e, limit=None, frontier=around)
+    found = [retrieval.stage2(c, mates, hubs).join(evidence, ["qid", "node"], "left_anti").withColumn("pool", F.lit(k)) for k, c in enumerate(centres)]
+    pooled = found[0].unionByName(found[1]).withColumn("pos", F.col("node")).join(day, "qid")
+    pooled = cut_lineage(score(_text_as_of(spark, sf, pooled)).select("qid", "node", "pos", "score", "pool"))
+    pools = [pooled.where(F.col("pool") == k).drop("pool") for k in range(2)]
+    picked = cut_lineage(retrieval.split_budget(*pools, KEEP))
     # Bodies: seeds and their terms, then the second stage, then what fills.
     forced = retrieval.ordered_union([seeds.select("qid", "node", "pos"), closed])
     filler = retrieval.ordered_union([ranked.select("qid", "node", F.col("rank").alias("pos")), start])

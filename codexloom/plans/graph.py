@@ -23,7 +23,7 @@ def links(spark: SparkSession, sf: str, around: DataFrame, limit: int | None = 6
 
 
 def graph_contains(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.containment(build.sections(spark, sf))
+    return extract.containment(build.outline(spark, sf))
 
 
 def graph_mentions(spark: SparkSession, sf: str) -> DataFrame:
