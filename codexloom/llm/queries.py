@@ -128,12 +128,15 @@ def p6_check(spark: SparkSession, sf: str) -> DataFrame:
 def p7_check(spark: SparkSession, sf: str) -> DataFrame:
     """Per source of the mixture: distinct documents at hand, and copies that break a rule of mixing."""
     docs, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
-    mix = mixing.mixture(docs, mixing.solve(_sizes(spark, sf), targets), columns=())
+    rates = mixing.solve(_sizes(spark, sf), targets)
+    mix = mixing.mixture(docs, rates, columns=())
     caps = targets.groupBy(mixing.source_name(F.col("source")).alias("source")).agg(F.min("max_repeats").alias("cap"))
     have = docs.select("doc_id", mixing.source_name(F.col("source")).alias("source")).distinct().groupBy("source").agg(F.count_distinct("doc_id").alias("documents"))
     per = mix.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("copy_no").alias("last"))
     bad = per.join(caps, "source", "left").groupBy("source").agg(F.count_if(F.col("n") > F.coalesce("cap", F.lit(0))).alias("over_cap"), F.count_if(F.col("n") != F.col("last")).alias("repeated"))
-    return have.join(bad, "source").select("source", "documents", "over_cap", "repeated")
+    # A small source may be drawn no copy at all.
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return have.where(F.col("source").isin(*rates)).join(bad, "source", "left").select("source", "documents", zero("over_cap"), zero("repeated"))
 
 
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
