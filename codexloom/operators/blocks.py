@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from codexloom.operators import temporal
 
 BLOCK = "struct<citation:string,text:string,node_ids:array<string>,reserved:boolean>"
+#: What made blocks are cited as. Fixed values.
+TITLES = {
+    "catalogue": "Amendment catalog (all AMENDS edges)",
+    "roster": "Party roster (all PARTY_TO edges)",
+    "components": "Component changes (definitions this term is computed from)",
+    "history": "Change history (all AMENDS edges on relevant provisions)",
+    "conflicts": "Cross-reference audit (offline, all REFERENCES edges checked)",
+}
 #: Characters of an amendment's text in a history, and of a provision's body in the prompt.
 SNIPPET, BODY = 400, 3500
 

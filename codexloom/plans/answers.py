@@ -174,20 +174,20 @@ def answer_blocks(spark: SparkSession, sf: str, scorer: models.Scorer | None = N
     asks = lambda k: q.where(gate[k]).select("qid")
     deps = blocks.dependents(roots.join(asks("dependents"), "qid", "left_semi"), graph.inbound_dependents(e), labels)
     cat = blocks.catalogue(ops.withColumn("agreement_id", F.substring_index("node_id", ".", 1)), labels, "agreement_id")
-    cat = q.where(gate["amendments"]).select("qid", "agreement_id").join(cat, "agreement_id").withColumn("citation", F.lit("Amendment catalog (all AMENDS edges)"))
+    cat = q.where(gate["amendments"]).select("qid", "agreement_id").join(cat, "agreement_id").withColumn("citation", F.lit(blocks.TITLES["catalogue"]))
     comp = blocks.components(roots.join(q.where(gate["components"]).select("qid", "as_of"), "qid").select("qid", "node", "as_of"), uses, ops, labels)
-    comp = comp.groupBy("qid").agg(blocks.ordered(["node", "component"], F.col("text")).alias("text")).withColumn("citation", F.lit("Component changes (definitions this term is computed from)"))
+    comp = comp.groupBy("qid").agg(blocks.ordered(["node", "component"], F.col("text")).alias("text")).withColumn("citation", F.lit(blocks.TITLES["components"]))
     parts = [rows, _one(deps, 0, F.col("node_ids")), _one(cat, 2, F.col("node_ids")), _one(comp, 3, F.array())]
     own = e.where("edge_type = 'PARTY_TO'")
     roster = blocks.roster(amendments.roster_rows(own)).withColumn("agreement_id", F.substring_index("document_id", ".", 1))
-    people = q.where(gate["parties"]).select("qid", "agreement_id").join(roster, "agreement_id").withColumn("citation", F.lit("Party roster (all PARTY_TO edges)"))
+    people = q.where(gate["parties"]).select("qid", "agreement_id").join(roster, "agreement_id").withColumn("citation", F.lit(blocks.TITLES["roster"]))
     parts.append(_one(people, 1, F.col("node_ids")))
     if history:
         back = seeds.where("pos < 3").join(q.where(gate["history"]).select("qid", "as_of"), "qid").select("qid", "node", "as_of", F.col("pos").alias("rank"))
-        past = blocks.histories(back, _history_uses(e), ops, labels).withColumn("citation", F.lit("Change history (all AMENDS edges on relevant provisions)"))
+        past = blocks.histories(back, _history_uses(e), ops, labels).withColumn("citation", F.lit(blocks.TITLES["history"]))
         parts.append(_one(past, 4, F.array()))
     if conflicts is not None:
-        clash = q.where(gate["conflict"]).select("qid", "agreement_id").join(conflicts, "agreement_id").withColumn("citation", F.lit("Cross-reference audit (offline, all REFERENCES edges checked)"))
+        clash = q.where(gate["conflict"]).select("qid", "agreement_id").join(conflicts, "agreement_id").withColumn("citation", F.lit(blocks.TITLES["conflicts"]))
         parts.append(_one(clash, 5, F.array()))
     every = parts[0]
     for p in parts[1:]:
