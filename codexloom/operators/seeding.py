@@ -35,15 +35,19 @@ def topical_phrases(term: Column) -> Column:
 def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(key, phrase, at): every phrase that stands in a text, word by word, and where first.
 
-    ``texts`` (key, scope, text), ``phrases`` (scope, phrase), both in ``spoken`` form. Runs
-    of as many words as some phrase of the scope has are joined to the phrases.
+    ``texts`` (key, scope, text), ``phrases`` (scope, phrase), both in ``spoken`` form; without
+    ``scope`` in ``phrases`` they hold for all texts. Runs of as many words as some phrase of the
+    scope has are joined to the phrases.
     """
-    named = phrases.where("phrase != ''").select("scope", "phrase", F.size(F.split("phrase", " ")).alias("n")).distinct()
-    lengths = named.groupBy("scope").agg(F.collect_set("n").alias("lengths"))
-    t = texts.where("text != ''").select("key", "scope", F.split("text", " ").alias("w")).join(lengths, "scope")
+    by = ["scope"] if "scope" in phrases.columns else []
+    named = phrases.where("phrase != ''").select(*by, "phrase", F.size(F.split("phrase", " ")).alias("n")).distinct()
+    lengths = named.groupBy(*by).agg(F.collect_set("n").alias("lengths"))
+    t = texts.where("text != ''").select("key", *by, F.split("text", " ").alias("w"))
+    # Without a scope the lengths are one row, and no key would spread the texts.
+    t = t.join(lengths, "scope") if by else t.crossJoin(F.broadcast(lengths))
     runs = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - 1))).withColumn("n", F.explode("lengths")).where(F.col("i") + F.col("n") <= F.size("w"))
-    runs = runs.select("key", "scope", "i", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("phrase"))
-    return runs.join(named.drop("n"), ["scope", "phrase"]).groupBy("key", "phrase").agg(F.min("i").alias("at"))
+    runs = runs.select("key", *by, "i", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("phrase"))
+    return runs.join(named.drop("n"), [*by, "phrase"]).groupBy("key", "phrase").agg(F.min("i").alias("at"))
 
 
 def agreements(questions: DataFrame, parties: DataFrame) -> DataFrame:
@@ -53,8 +57,8 @@ def agreements(questions: DataFrame, parties: DataFrame) -> DataFrame:
     several agreements names none of them; of two at one place the longer name counts.
     """
     own = parties.select(spoken(F.col("company")).alias("phrase"), "agreement_id").where("phrase != ''").groupBy("phrase").agg(F.min("agreement_id").alias("agreement_id"), F.count_distinct("agreement_id").alias("n")).where("n = 1")
-    said = questions.select(F.col("qid").alias("key"), F.lit("").alias("scope"), spoken(F.col("question")).alias("text"))
-    hits = phrase_hits(said, own.select(F.lit("").alias("scope"), "phrase")).join(own, "phrase")
+    said = questions.select(F.col("qid").alias("key"), spoken(F.col("question")).alias("text"))
+    hits = phrase_hits(said, own.select("phrase")).join(own, "phrase")
     first = hits.groupBy("key").agg(F.min(F.struct("at", (-F.length("phrase")).alias("n"), "agreement_id")).alias("m"))
     return first.select(F.col("key").alias("qid"), F.col("m.agreement_id").alias("agreement_id"))
 
