@@ -29,13 +29,22 @@ Scorer = Callable[[DataFrame], DataFrame]
 def hashed_encoder() -> Callable[[list[str]], np.ndarray]:
     """Texts to unit vectors: word parts of three letters hashed to DIM places with a sign."""
 
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def parts(w: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places and signs of a word's parts; words recur, so they are kept."""
+        if w not in known:
+            if len(known) > 100_000:
+                known.clear()
+            h = np.array([zlib.crc32(f" {w} "[k : k + 3].encode()) for k in range(max(1, len(w) - 1))], dtype=np.int64)
+            known[w] = (h % DIM, 1 - 2 * (h >> 31))
+        return known[w]
+
     def one(t: str) -> np.ndarray:
-        v = np.zeros(DIM)
-        for w in re.findall(r"\w+", t.lower()):
-            for k in range(max(1, len(w) - 1)):
-                h = zlib.crc32(f" {w} "[k : k + 3].encode())
-                v[h % DIM] += 1 - 2 * (h >> 31)
-        return v
+        got = [parts(w) for w in re.findall(r"\w+", t.lower())]
+        if not got:
+            return np.zeros(DIM)
+        return np.bincount(np.concatenate([g[0] for g in got]), weights=np.concatenate([g[1] for g in got]), minlength=DIM)
 
     def encode(texts: list[str]) -> np.ndarray:
         m = np.array([one(t or "") for t in texts]).reshape(len(texts), DIM)

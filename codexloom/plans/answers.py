@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexloom.operators import amendments, blocks, build, graph, metrics, models, retrieval, seeding
+from codexloom.operators import amendments, blocks, build, graph, metrics, models, retrieval, seeding, vectors
 from codexloom.operators import text as words
 from codexloom.operators.asknown import join_as_known
 from codexloom.plans.graph import HOP_TYPES, links
@@ -38,10 +38,19 @@ def _amends(spark: SparkSession, sf: str) -> DataFrame:
     return graph.amends_targets(build.amend_edges(spark, sf))
 
 
-def _seeds(spark: SparkSession, sf: str, placed: DataFrame | None = None) -> DataFrame:
+def _seeds(spark: SparkSession, sf: str, placed: DataFrame | None = None, dense: int = 0) -> DataFrame:
     q = _placed(spark, sf) if placed is None else placed
     parts = [seeding.cited(q, build.outline(spark, sf)), seeding.named_terms(q, build.definitions(spark, sf))]
-    return seeding.seeds(parts, _amends(spark, sf))
+    # What is near comes last; where it lies in an amendment, what that amends follows.
+    return seeding.seeds([*parts, *([_dense(spark, sf, q, dense)] if dense else [])], _amends(spark, sf))
+
+
+def _dense(spark: SparkSession, sf: str, q: DataFrame, k: int) -> DataFrame:
+    """(qid, node, pos): the first k provisions among the 3k chunks nearest to each question."""
+    hits = models.nearest_chunks(q.select("qid", "question").where("question IS NOT NULL"), _chunks(spark, sf).select("id", "text"), 3 * k)
+    known = build.outline(spark, sf).select("id").unionByName(build.definitions(spark, sf).select("id")).distinct()
+    own = hits.withColumn("node", F.regexp_replace("id", r"::p\d+$", "")).drop("id").join(known.withColumnRenamed("id", "node"), "node", "left_semi")
+    return vectors.first_nodes(own, F.col("node"), k).select("qid", "node", F.col("rank").alias("pos"))
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,19 +136,20 @@ def _one(block: DataFrame, order: int, ids: Column) -> DataFrame:
     return block.select("qid", F.lit(order).alias("grp"), F.lit(0).cast("long").alias("pos"), F.lit(0).alias("part"), F.struct(F.col("citation"), F.col("text"), ids.cast("array<string>").alias("node_ids"), F.lit(True).alias("reserved")).alias("b"))
 
 
-def answer_blocks(spark: SparkSession, sf: str, scorer: models.Scorer | None = None, history: bool = False, conflicts: DataFrame | None = None, split: bool = False) -> DataFrame:
+def answer_blocks(spark: SparkSession, sf: str, scorer: models.Scorer | None = None, history: bool = False, conflicts: DataFrame | None = None, split: bool = False, dense: int = 5) -> DataFrame:
     """(qid, question, as_of, blocks): all blocks of each question in the order of packing.
 
     Reserved are the lists that the question calls for, its seeds and the terms they are
     computed from, and the best siblings and neighbours of seeds and of the ranked
     provisions, half each. The ranked provisions and the other neighbours fill the rest.
     ``scorer`` rates (question, text); without one the share of the question's words counts.
+    ``dense`` provisions near to the question are seeds too, after those that it names.
     """
     score = scorer or models.lexical_scorer
     placed = cut_lineage(_placed(spark, sf))
     q = placed.select("qid", "question", "as_of", "agreement_id")
     v, e = cut_lineage(build.vertices(spark, sf)), cut_lineage(build.edges(spark, sf))
-    seeds = cut_lineage(_seeds(spark, sf, placed))
+    seeds = cut_lineage(_seeds(spark, sf, placed, dense))
     roots = cut_lineage(_roots(spark, sf, seeds))
     uses = e.where("edge_type = 'DEPENDS_ON'").select("src", "dst")
     closed = roots.join(graph.closure(uses, roots.select(F.col("node").alias("root")).distinct(), CLOSURE).select("root", F.col("node").alias("dep")), F.col("node") == F.col("root")).select("qid", F.col("dep").alias("node"), "pos")
