@@ -94,8 +94,8 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, factory: Cal
     ``questions`` (qid, question), ``chunks`` (id, text, ...). Ties go to the lower key.
     """
     # Keys are hashes of ids, since vectors meet by number.
-    index = cut_lineage(encode(chunks, "text", factory=factory).withColumn("vec_id", F.xxhash64("id")))
-    return search(questions, index, k, factory)
+    rows = cut_lineage(chunks.withColumn("vec_id", F.xxhash64("id")))
+    return _nearest(questions, rows, vectors.packed(rows, "vec_id", "text", model=factory), k, factory)
 
 
 def build_index(spark: SparkSession, chunks: DataFrame, path: str, factory: Callable = hashed_encoder) -> DataFrame:
@@ -105,9 +105,14 @@ def build_index(spark: SparkSession, chunks: DataFrame, path: str, factory: Call
 
 def search(questions: DataFrame, index: DataFrame, k: int, factory: Callable = hashed_encoder) -> DataFrame:
     """(qid, question, id, rank, ...): the k entries of an index nearest to each question."""
-    q = cut_lineage(encode(questions, "question", factory=factory).withColumn("vec_id", F.xxhash64("qid")))
-    hits = vectors.top_k(q, index, k).withColumnsRenamed({"qid": "_q", "id": "_c"})
-    return hits.join(q.select(F.col("vec_id").alias("_q"), "qid", "question"), "_q").join(index.withColumnRenamed("vec_id", "_c").drop("embedding"), "_c").drop("_q", "_c", "score")
+    return _nearest(questions, index.drop("embedding"), vectors.packed(index, "vec_id", "embedding"), k, factory)
+
+
+def _nearest(questions: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, factory: Callable) -> DataFrame:
+    """As ``search``, of the index's ``rows`` and its vectors' ``blocks``."""
+    q = cut_lineage(questions.withColumn("vec_id", F.xxhash64("qid")))
+    hits = vectors.meet(vectors.packed(q, "vec_id", "question", model=factory), blocks, k).withColumnsRenamed({"qid": "_q", "id": "_c"})
+    return hits.join(q.select(F.col("vec_id").alias("_q"), "qid", "question"), "_q").join(rows.withColumnRenamed("vec_id", "_c"), "_c").drop("_q", "_c", "score")
 
 
 def generate(prompts: DataFrame, prompt: str, factory: Callable[[], Callable[[list[str]], list[str]]], out: str = "answer", batch: int = BATCH) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ from codexloom.runtime import cut_lineage, shipped
 
 #: Vectors per block on average; two blocks meet in one task at a time.
 BLOCK = 2048
-#: Tasks at most among which one block of queries meets the corpus.
-LANES = 64
+#: Vectors in a block of queries or corpus; tasks at most among which one block of queries
+#: meets the corpus; blocks of queries in a task on average.
+MEETING, LANES, HELD = 1024, 64, 8
 
 
 def norm(v: Column) -> Column:
@@ -35,28 +37,101 @@ def _blocks(df: DataFrame, id_col: str, vec: str, size: int, names: tuple[str, s
     return df.where(F.col(vec).isNotNull()).groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias(names[0])).agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("i"), F.col(vec).alias("v"))).alias(names[1]))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(qid, id, score, rank): the k largest inner products of each query, exactly.
+def packed(df: DataFrame, id_col: str, col: str, size: int = MEETING, model: Callable | None = None) -> DataFrame:
+    """(b, i, v): blocks of up to ``size`` vectors and their ids as bytes, made where the rows lie.
 
-    Queries and corpus meet block by block as matrices; each meeting keeps k rows per
-    query, so what is shuffled is k rows per query and block. Ties go to the lower id.
-    Blocks are hashed to a bounded size; nothing is broadcast.
+    ``col`` holds vectors; with a ``model``, as in ``operators.models``, texts, where a null one is empty.
     """
-    q, c = _blocks(queries, id_col, vec, block, ("qb", "q", "")), _blocks(corpus, id_col, vec, block, ("cb", "c", ""))
-    n = max(1, math.ceil(queries.count() / block))
-    # Query blocks are copied to LANES lanes, over which the corpus is spread.
-    lane = F.pmod("cb", F.lit(LANES))
-    pairs = c.select(lane.alias("lane"), "c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb")).join(q.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")))), ["qb", "lane"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qs, cs in zip(pdf["q"], pdf["c"]):
-                qi, ci = np.array([x["i"] for x in qs]), np.array([x["i"] for x in cs])
-                s = np.round(np.array([x["v"] for x in qs], dtype=np.float64) @ np.array([x["v"] for x in cs], dtype=np.float64).T, 10)
-                best = np.lexsort((np.broadcast_to(ci, s.shape), -s), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(qi, best.shape[1]), "id": ci[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
-
-    got = pairs.select("q", "c").transform(shipped).mapInPandas(run, "qid long, id long, score double")
+    x = F.coalesce(F.col(col), F.lit("")) if model else F.col(col).cast("array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("i"), x.alias("x")).where("x IS NOT NULL")
+
+    def block(ids: np.ndarray, vecs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, vecs)], ["i", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = model() if model else None
+        ids, held = np.zeros(0, dtype=np.int64), None
+        for rb in batches:
+            if rb.column(0).null_count:
+                raise ValueError("a vector has no id")
+            for at in range(0, rb.num_rows, size):
+                part = rb.slice(at, size)
+                m = encode(part.column(1).to_pylist()) if encode else part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                ids, held = np.concatenate([ids, part.column(0).to_numpy()]), np.array(m, dtype=np.float64) if held is None else np.concatenate([held, m])
+                if len(ids) >= size:
+                    yield block(ids[:size], held[:size])
+                    ids, held = ids[size:].copy(), held[size:].copy()
+        if len(ids):
+            yield block(ids, held)
+
+    return cut_lineage(shipped(rows).mapInArrow(run, "i binary, v binary").select(F.monotonically_increasing_id().alias("b"), "i", "v"))
+
+
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of parallel (row, id, score) the first k of each row by score, ties to the lower id, in order of rows."""
+    row, ids, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((ids, -score, row))
+    row = row[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], ids[order][first], score[order][first]
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = MEETING) -> DataFrame:
+    """(qid, id, score, rank): the k largest inner products of each query, exactly; ties go to the lower id."""
+    return meet(packed(queries, id_col, vec, block), packed(corpus, id_col, vec, block), k)
+
+
+def meet(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """As ``top_k``, of packed vectors.
+
+    Blocks of queries and corpus meet as matrices, where both are read from the checkpoint
+    folder: neither is shuffled with copies or broadcast. A task keeps k rows per query
+    of all that it meets, so what is shuffled is k rows per query and lane.
+    """
+    # A task holds its query blocks in memory, so they are few.
+    q = queries.repartition(max(1, math.ceil(queries.count() / HELD))).withColumn("qn", F.monotonically_increasing_id())
+    c = corpus.coalesce(LANES).select(F.col("i").alias("ci"), F.col("v").alias("c"), F.monotonically_increasing_id().alias("cn"))
+    pairs = c.hint("shuffle_replicate_nl").join(q.select("b", F.col("i").alias("qi"), F.col("v").alias("q"), "qn"))
+    # A task takes its corpus blocks one after another, and all its query blocks for each, so Python gets a block
+    # where it comes first. The number of a row in its partition is in the lower 33 bits.
+    nth = lambda n: F.col(n).bitwiseAND(F.lit((1 << 33) - 1))
+    sent = [F.when(nth(n) == 0, F.col(x)).alias(x) for n, x in (("cn", "qi"), ("cn", "q"), ("qn", "ci"), ("qn", "c"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple] = {}
+        asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        at, ci, c = None, None, None
+
+        def read(x: pa.Scalar, y: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            i = np.frombuffer(x.as_py(), dtype=np.int64)
+            return i, np.frombuffer(y.as_py(), dtype=np.float64).reshape(len(i), -1)
+
+        for rb in batches:
+            for b, n, *four in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), *rb.columns[2:]):
+                if four[0].is_valid:
+                    asked[b] = read(*four[:2])
+                if four[2].is_valid:
+                    at, (ci, c) = n, read(*four[2:])
+                if at != n or b not in asked:
+                    raise ValueError("blocks came out of order")
+                qi, q = asked[b]
+                s = q @ c.T
+                # Scores are rounded to 10 digits; what lies so near below the k-th may equal it.
+                least = kept[b][2] if b in kept else np.full(len(qi), -np.inf)
+                near = ~(s < least[:, None] - 1e-10)
+                if len(ci) > k and np.count_nonzero(near) > 4 * k * len(qi):
+                    near &= ~(s < np.partition(s, len(ci) - k, axis=1)[:, len(ci) - k, None] - 1e-10)
+                row, col = np.nonzero(near)
+                if b in kept and not len(row):
+                    continue
+                got = _best([*([kept[b][1]] if b in kept else []), (row, ci[col], np.round(s[row, col], 10))], k)
+                n, least = np.bincount(got[0], minlength=len(qi)), np.full(len(qi), -np.inf)
+                least[n >= k] = got[2][np.cumsum(n)[n >= k] - 1]
+                kept[b] = (qi, got, least)
+        for qi, (row, ids, score), _ in kept.values():
+            yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(ids), pa.array(score)], ["qid", "id", "score"])
+
+    got = pairs.select("b", "cn", *sent).transform(shipped).mapInArrow(run, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -145,6 +145,23 @@ def test_top_k_equals_brute_force(spark):
     assert {(r.qid, r.rank): r.id for r in got.collect()} == {(q, k + 1): i for q in range(0, 300, 50) for k, i in enumerate(np.argsort(-s[q], kind="stable")[:5])}
 
 
+def test_top_k_of_tied_scores_in_small_blocks(spark):
+    m = np.random.default_rng(3).integers(-1, 2, size=(200, 3)).astype(float)
+    df = spark.createDataFrame([(i * 7 % 200, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(5)
+    rows = {i * 7 % 200: v for i, v in enumerate(m)}
+    for k in (3, 500):
+        got = vectors.top_k(df.where("vec_id % 3 = 0"), df, k, block=7)
+        want = {(q, r + 1): i for q in range(0, 200, 3) for r, i in enumerate(sorted(rows, key=lambda i: (-rows[q] @ rows[i], i))[:k])}
+        assert {(r.qid, r["rank"]): r.id for r in got.collect()} == want
+
+
+def test_top_k_sends_no_vectors_to_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "v"))
+    df = spark.read.parquet(str(tmp_path / "v"))  # files tell their size, so that a small side may be broadcast
+    plan = vectors.top_k(df, df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_banded_pairs_and_greedy_pass(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 32))
