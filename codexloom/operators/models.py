@@ -91,7 +91,7 @@ def batched_scorer(factory: Callable[[], Callable[[list[tuple[str, str]]], list[
 def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, factory: Callable = hashed_encoder) -> DataFrame:
     """(qid, question, id, rank, ...): the k chunks nearest to each question, exactly.
 
-    ``questions`` (qid, question), ``chunks`` (id, text, ...). Ties go to the lower key.
+    ``questions`` (qid, question, ...), ``chunks`` (id, text, ...). Ties go to the lower key.
     """
     # Keys are hashes of ids, since vectors meet by number.
     rows = cut_lineage(chunks.withColumn("vec_id", F.xxhash64("id")))
@@ -112,7 +112,7 @@ def _nearest(questions: DataFrame, rows: DataFrame, blocks: DataFrame, k: int, f
     """As ``search``, of the index's ``rows`` and its vectors' ``blocks``."""
     q = cut_lineage(questions.withColumn("vec_id", F.xxhash64("qid")))
     hits = vectors.meet(vectors.packed(q, "vec_id", "question", model=factory), blocks, k).withColumnsRenamed({"qid": "_q", "id": "_c"})
-    return hits.join(q.select(F.col("vec_id").alias("_q"), "qid", "question"), "_q").join(rows.withColumnRenamed("vec_id", "_c"), "_c").drop("_q", "_c", "score")
+    return hits.join(q.withColumnRenamed("vec_id", "_q"), "_q").join(rows.withColumnRenamed("vec_id", "_c"), "_c").drop("_q", "_c", "score")
 
 
 def generate(prompts: DataFrame, prompt: str, factory: Callable[[], Callable[[list[str]], list[str]]], out: str = "answer", batch: int = BATCH) -> DataFrame:

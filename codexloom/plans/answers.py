@@ -235,13 +235,17 @@ def chunking_recall(spark: SparkSession, sf: str) -> DataFrame:
     """For each way of chunking: chunks, and the share of gold among the best ten of the thirty nearest."""
     sec = build.sections(spark, sf)
     q = table(spark, sf, "mini_eval_set").select(F.col("id").alias("qid"), F.col("text").alias("question"), "gold").where("size(gold) > 0").dropDuplicates(["qid"])
+    q = cut_lineage(q)
     number, out = sec.select(F.col("id").alias("section_id"), "number").dropDuplicates(["section_id"]), None
     for name, (size, overlap) in CUTS.items():
         made = words.chunk_sections(sec, size) if overlap is None else words.chunk_fixed(sec, size, overlap)
         made = cut_lineage(made.join(number, "section_id", "left").select("id", "text", F.concat(F.lit("near §"), "number").alias("citation")))
-        best = retrieval.rerank(models.lexical_scorer(models.nearest_chunks(q.select("qid", "question"), made, 30).withColumnRenamed("rank", "pos")), TOP_K)
-        got = q.join(best.groupBy("qid").agg(F.collect_list(F.struct("citation", "text")).alias("c")), "qid", "left")
-        hit = F.size(F.filter("gold", lambda g: F.exists("c", lambda b: metrics.baseline_hit(g, b["citation"], b["text"]))))
+        near = models.nearest_chunks(q, made, 30).withColumnRenamed("rank", "pos")
+        # What a chunk shows is told before the ranking, so that no text is shuffled for it.
+        shown = models.lexical_scorer(near).withColumn("shown", F.filter("gold", lambda g: metrics.baseline_hit(g, F.col("citation"), F.col("text"))))
+        best = retrieval.rerank(shown.select("qid", "pos", "score", "shown"), TOP_K)
+        got = q.join(best.groupBy("qid").agg(F.flatten(F.collect_list("shown")).alias("c")), "qid", "left")
+        hit = F.size(F.filter("gold", lambda g: F.array_contains("c", g)))
         row = got.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.coalesce(hit, F.lit(0)) / F.size("gold")), 6).alias("recall_at_10")).crossJoin(made.agg(F.count(F.lit(1)).alias("chunks"))).withColumn("chunking", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
