@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexloom.operators import amendments, extract, graph
-from codexloom.runtime import table
+from codexloom.runtime import cut_lineage, table
 
 
 def sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +23,11 @@ def outline(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "sections").select("id", "number", "document_id", "level", "pos").distinct()
 
 
+def _told(spark: SparkSession, sf: str) -> DataFrame:
+    """The sections as delivered, repeats and all: for edges, which come together by key, so that no text is moved."""
+    return table(spark, sf, "sections").select("id", "number", "text", "document_id", "level")
+
+
 def filings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "filings").select("id", "name", "doc_type", "doc_date", "amendment_number", "agreement_id").distinct()
 
@@ -69,7 +74,8 @@ def amend_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """(src, dst, edge_key, edge_type, seq, source_sec_id), one edge per key."""
-    sec, slim, defs = sections(spark, sf), outline(spark, sf), definitions(spark, sf)
+    # Definitions are read five times below.
+    sec, slim, defs = _told(spark, sf), outline(spark, sf), cut_lineage(definitions(spark, sf))
 
     def typed(df: DataFrame, kind: str, seq) -> DataFrame:  # noqa: ANN001
         return df.select("src", "dst", F.lit(kind).alias("edge_key"), F.lit(kind).alias("edge_type"), seq.cast("long").alias("seq"))
@@ -80,7 +86,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     uses = extract.term_mentions(defs.select(F.col("id").alias("key"), F.col("document_id").alias("scope"), "text"), defs.select(F.col("document_id").alias("scope"), "term"))
     uses = uses.select(F.col("key").alias("src"), F.concat(F.substring_index("key", "::def::", 1), F.lit("::def::"), F.col("term")).alias("dst")).where("src != dst")
     # References to definitions come after those to sections.
-    named = typed(section_terms(spark, sf), "REFERENCES", F.lit(1 << 20))
+    named = typed(section_terms(spark, sf, defs), "REFERENCES", F.lit(1 << 20))
     parts = [contains, typed(refs, "REFERENCES", F.col("seq")), named, typed(extract.exceptions(sec), "EXCEPTION_TO", F.lit(0)), typed(defines, "DEFINES", F.lit(0)), typed(uses, "DEPENDS_ON", F.lit(0)), amendments.party_edges(parties(spark, sf)), amend_edges(spark, sf)]
     out = parts[0]
     for p in parts[1:]:
@@ -88,9 +94,10 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.upsert(out)
 
 
-def section_terms(spark: SparkSession, sf: str) -> DataFrame:
+def section_terms(spark: SparkSession, sf: str, definitions_: DataFrame | None = None) -> DataFrame:
     """(src, dst): operative sections and the definitions of their document whose terms they use."""
-    sec, defs = sections(spark, sf), definitions(spark, sf).select(F.col("document_id").alias("scope"), "term", F.col("id").alias("dst"))
+    defs = definitions(spark, sf) if definitions_ is None else definitions_
+    sec, defs = _told(spark, sf), defs.select(F.col("document_id").alias("scope"), "term", F.col("id").alias("dst"))
     own = sec.where("level != 'article' AND NOT startswith(number, '1.01')")
     used = extract.term_mentions(own.select(F.struct("id", "document_id").alias("key"), F.col("document_id").alias("scope"), "text"), defs.select("scope", "term"))
     return used.select(F.col("key.id").alias("src"), F.col("key.document_id").alias("scope"), "term").join(defs, ["scope", "term"]).select("src", "dst").distinct()

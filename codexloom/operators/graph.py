@@ -7,9 +7,9 @@ not with the graph; all orders end in an id, so results don't depend on the part
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,34 +138,33 @@ def ordered_dfs(starts: DataFrame, edges: DataFrame, keep: DataFrame, max_depth:
     Depth-first over out-edges in ``seq`` order, with inbound exceptions first, each node
     visited when popped, until ``max_nodes`` nodes of ``keep`` (id) are out. This is not
     the ball of that radius: a node first popped at the last depth is not expanded. The
-    edges within reach are gathered by joins per question; the walk itself runs over
-    them in one task per question, which ``max_depth`` hops of one question bound.
+    edges within reach are gathered by joins per question; the walks run over them one
+    question after another, and ``max_depth`` hops bound what a question holds.
     """
     out = edges.where("edge_type != 'AMENDS'").select("src", "dst", F.lit(1).alias("side"), "seq")
     back = edges.where("edge_type = 'EXCEPTION_TO'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("side"), "seq")
-    e = out.unionByName(back)
+    held = keep.select(F.col("id").alias("dst"), F.lit(True).alias("kept")).distinct()
+    e = cut_lineage(out.unionByName(back).distinct().join(held, "dst", "left"))
+    cols = ["qid", "src", "dst", "side", "seq", "kept", "start"]
     front = starts.select("qid", F.col("node").alias("src")).distinct()
-    seen, parts = front, []
-    for _ in range(max_depth):
-        step = front.join(e, "src").select("qid", "src", "dst", "side", "seq")
-        parts.append(step)
-        front = cut_lineage(step.select("qid", F.col("dst").alias("src")).distinct().join(seen, ["qid", "src"], "left_anti"))
-        seen = seen.unionByName(front)
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
-    local = local.distinct().select("qid", "src", "dst", "side", "seq", F.lit(None).cast("int").alias("start"))
-    rows = local.unionByName(starts.select("qid", F.lit(None).cast("string").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("side"), F.col("pos").cast("long").alias("seq"), F.col("pos").cast("int").alias("start")))
-    rows = rows.join(keep.select(F.col("id").alias("dst"), F.lit(True).alias("kept")), "dst", "left")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "seq", "dst"])
+    first = starts.select("qid", F.lit(None).cast("string").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("side"), F.col("pos").cast("long").alias("seq"), F.col("pos").cast("int").alias("start"))
+    # A node is expanded at one step only, so no edge of a question comes twice.
+    seen, rows = front, first.join(held, "dst", "left").select(*cols)
+    for d in range(max_depth):
+        step = front.join(e, "src")
+        rows = rows.unionByName(step.withColumn("start", F.lit(None).cast("int")).select(*cols))
+        if d + 1 < max_depth:
+            front = cut_lineage(step.select("qid", F.col("dst").alias("src")).distinct().join(seen, ["qid", "src"], "left_anti"))
+            seen = seen.unionByName(front)
+    rows = rows.repartition("qid").sortWithinPartitions("qid", "side", F.asc_nulls_last("seq"), F.asc_nulls_last("dst"))
+
+    def walk(rows: list[tuple]) -> list[str]:
         nexts: dict[str, list[str]] = {}
-        for s, d in zip(pdf["src"], pdf["dst"]):
-            if s is not None:
-                nexts.setdefault(s, []).append(d)
-        kept = {d for d, k in zip(pdf["dst"], pdf["kept"]) if k is True or k == True}  # noqa: E712
-        first = pdf[pdf["start"].notna()].sort_values("start")["dst"].tolist()
+        for src, dst, _, _ in rows:
+            if src is not None:
+                nexts.setdefault(src, []).append(dst)
+        kept = {dst for _, dst, k, _ in rows if k}
+        first = [dst for _, dst, _, at in sorted((r for r in rows if r[3] is not None), key=lambda r: r[3])]
         stack, visited, result = [(n, 0) for n in reversed(first)], set(), []
         while stack and len(result) < max_nodes:
             node, depth = stack.pop()
@@ -176,6 +175,25 @@ def ordered_dfs(starts: DataFrame, edges: DataFrame, keep: DataFrame, max_depth:
                 result.append(node)
             if depth < max_depth:
                 stack += [(d, depth + 1) for d in reversed(nexts.get(node, [])) if d not in visited]
-        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]] * len(result), "node": result, "pos": range(len(result))})
-
-    return rows.transform(shipped).groupBy("qid").applyInPandas(walk, "qid string, node string, pos int")
+        return result
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(of: list[tuple[str, list[str]]]) -> pa.RecordBatch:
+            flat = [(q, n, k) for q, nodes in of for k, n in enumerate(nodes)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["qid", "node", "pos"])
+
+        qid, own, done = None, [], []
+        for rb in batches:
+            for q, *row in zip(*[c.to_pylist() for c in rb.columns]):
+                if own and q != qid:
+                    done.append((qid, walk(own)))
+                    own = []
+                qid = q
+                own.append(row)
+            if done:
+                yield found(done)
+                done = []
+        if own:
+            yield found([(qid, walk(own))])
+
+    return rows.select("qid", "src", "dst", "kept", "start").transform(shipped).mapInArrow(run, "qid string, node string, pos int")

@@ -88,14 +88,16 @@ def batched_scorer(factory: Callable[[], Callable[[list[tuple[str, str]]], list[
     return score
 
 
-def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, factory: Callable = hashed_encoder) -> DataFrame:
+def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, factory: Callable = hashed_encoder, texts: bool = True) -> DataFrame:
     """(qid, question, id, rank, ...): the k chunks nearest to each question, exactly.
 
-    ``questions`` (qid, question, ...), ``chunks`` (id, text, ...). Ties go to the lower key.
+    ``questions`` (qid, question, ...), ``chunks`` (id, text, ...). Ties go to the lower key. Without
+    ``texts`` of the chunks only their ids are returned, and no text is written down.
     """
     # Keys are hashes of ids, since vectors meet by number.
-    rows = cut_lineage(chunks.withColumn("vec_id", F.xxhash64("id")))
-    return _nearest(questions, rows, vectors.packed(rows, "vec_id", "text", model=factory), k, factory)
+    keyed = chunks.withColumn("vec_id", F.xxhash64("id"))
+    rows = cut_lineage(keyed if texts else keyed.select("id", "vec_id").distinct())
+    return _nearest(questions, rows, vectors.packed(rows if texts else keyed, "vec_id", "text", model=factory), k, factory)
 
 
 def build_index(spark: SparkSession, chunks: DataFrame, path: str, factory: Callable = hashed_encoder) -> DataFrame:

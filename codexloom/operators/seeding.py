@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexloom.operators import graph, retrieval, text
+from codexloom.runtime import cut_lineage
 
 #: A cited section, the number captured: the word, its short form or the sign. Fixed value;
 #: the German and Spanish words are this project's own.
@@ -97,7 +98,7 @@ def seeds(parts: list[DataFrame], amends: DataFrame) -> DataFrame:
 
     ``amends`` (source_sec_id, target): a clause of an amendment leads to what it changes.
     """
-    first = retrieval.ordered_union(parts)
+    first = cut_lineage(retrieval.ordered_union(parts))
     led = first.join(amends, F.col("node") == F.col("source_sec_id")).groupBy("qid", F.col("target").alias("node")).agg(F.min("pos").alias("pos"))
     return retrieval.ordered_union([first, led])
 

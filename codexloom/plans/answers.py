@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from codexloom.operators import amendments, blocks, build, graph, metrics, models, retrieval, seeding, vectors
 from codexloom.operators import text as words
-from codexloom.operators.asknown import join_as_known
+from codexloom.operators.asknown import as_known
 from codexloom.plans.graph import HOP_TYPES, links
 from codexloom.plans.temporal import OPS as _OPS_SQL
 from codexloom.plans.temporal import amend_operations
-from codexloom.runtime import cut_lineage, table
+from codexloom.runtime import cut_lineage, skew_join, table
 
 #: Provisions to expand around, candidates kept of them, and steps to terms that a term uses.
 TOP_N, KEEP, CLOSURE, TOP_K, HOPS = 6, 8, 1, 10, 6
@@ -39,7 +39,7 @@ def _amends(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, sf: str, placed: DataFrame | None = None, dense: int = 0) -> DataFrame:
-    q = _placed(spark, sf) if placed is None else placed
+    q = cut_lineage(_placed(spark, sf)) if placed is None else placed
     parts = [seeding.cited(q, build.outline(spark, sf)), seeding.named_terms(q, build.definitions(spark, sf))]
     # What is near comes last; where it lies in an amendment, what that amends follows.
     return seeding.seeds([*parts, *([_dense(spark, sf, q, dense)] if dense else [])], _amends(spark, sf))
@@ -47,7 +47,7 @@ def _seeds(spark: SparkSession, sf: str, placed: DataFrame | None = None, dense:
 
 def _dense(spark: SparkSession, sf: str, q: DataFrame, k: int) -> DataFrame:
     """(qid, node, pos): the first k provisions among the 3k chunks nearest to each question."""
-    hits = models.nearest_chunks(q.select("qid", "question").where("question IS NOT NULL"), _chunks(spark, sf).select("id", "text"), 3 * k)
+    hits = models.nearest_chunks(q.select("qid", "question").where("question IS NOT NULL"), _chunks(spark, sf).select("id", "text"), 3 * k, texts=False)
     known = build.outline(spark, sf).select("id").unionByName(build.definitions(spark, sf).select("id")).distinct()
     own = hits.withColumn("node", F.regexp_replace("id", r"::p\d+$", "")).drop("id").join(known.withColumnRenamed("id", "node"), "node", "left_semi")
     return vectors.first_nodes(own, F.col("node"), k).select("qid", "node", F.col("rank").alias("pos"))
@@ -126,10 +126,26 @@ def block_history(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.histories(cut_lineage(seeds), _history_uses(build.edges(spark, sf)), amend_operations(spark, sf), _labels(spark, sf))
 
 
-def _text_as_of(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
-    """``rows`` (qid, node, ...) with question, day and the text and citation known on it."""
-    got = join_as_known(rows.withColumnRenamed("node", "node_id"), table(spark, sf, "effective"), ["text", "citation"])
-    return got.where("text IS NOT NULL AND trim(text) != ''").withColumnRenamed("node_id", "node")
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(version_id, text, citation) of the versions that have a text."""
+    v = table(spark, sf, "effective").groupBy("version_id").agg(F.max("text").alias("text"), F.max("citation").alias("citation"))
+    return cut_lineage(v.where("text IS NOT NULL AND trim(text) != ''"))
+
+
+def _known(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """``rows`` (qid, node, as_of, ...) with ``version_id``, the version known on the day; rows without one are dropped."""
+    # Both sides are read several times below, so their plans end here and stay small.
+    rows = cut_lineage(rows)
+    known = cut_lineage(as_known(rows, table(spark, sf, "effective"), "node"))
+    return skew_join(rows, known.withColumnRenamed("node_id", "node"), ["node", "as_of"])
+
+
+def _text_as_of(spark: SparkSession, sf: str, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` (qid, node, as_of, ...) with the text and citation known on the day.
+
+    A text goes once to each task that needs it and is never shuffled with the rows.
+    """
+    return _known(spark, sf, rows).join(texts, "version_id")
 
 
 def _one(block: DataFrame, order: int, ids: Column) -> DataFrame:
@@ -148,39 +164,52 @@ def answer_blocks(spark: SparkSession, sf: str, scorer: models.Scorer | None = N
     score = scorer or models.lexical_scorer
     placed = cut_lineage(_placed(spark, sf))
     q = placed.select("qid", "question", "as_of", "agreement_id")
-    v, e = cut_lineage(build.vertices(spark, sf)), cut_lineage(build.edges(spark, sf))
+    v, e, texts = cut_lineage(build.vertices(spark, sf)), cut_lineage(build.edges(spark, sf)), _texts(spark, sf)
     seeds = cut_lineage(_seeds(spark, sf, placed, dense))
     roots = cut_lineage(_roots(spark, sf, seeds))
     uses = e.where("edge_type = 'DEPENDS_ON'").select("src", "dst")
     closed = roots.join(graph.closure(uses, roots.select(F.col("node").alias("root")).distinct(), CLOSURE).select("root", F.col("node").alias("dep")), F.col("node") == F.col("root")).select("qid", F.col("dep").alias("node"), "pos")
+    closed = cut_lineage(closed)
     hops = graph.hop_neighbors(v, e, HOP_TYPES, seeds.select("node"), limit=HOPS)
     start = cut_lineage(retrieval.ordered_union([retrieval.expand(seeds, hops, HOPS), closed]))
     text = v.where(F.col("node_type").isin(*graph.TEXT_TYPES)).select("id")
     walked = graph.ordered_dfs(start, e, text, max_depth=2, max_nodes=40)
     day = q.select("qid", "question", "as_of")
-    known = cut_lineage(_text_as_of(spark, sf, walked.join(day, "qid")))
-    ranked = cut_lineage(retrieval.rerank(score(known), TOP_K).select("qid", "node", "question", "as_of", "rank", "citation", "text"))
+    when = q.select("qid", "as_of")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        """``rows`` (qid, node, pos, ...) that have a text on their day, rated by it; the texts stay behind."""
+        asked = _known(spark, sf, rows.join(when, "qid")).drop("as_of").join(q.select("qid", "question"), "qid").join(texts.select("version_id", "text"), "version_id")
+        return cut_lineage(score(asked).select(*rows.columns, "score"))
+
+    ranked = cut_lineage(retrieval.rerank(scored(walked.select("qid", "node", "pos")), TOP_K).select("qid", "node", "rank"))
     # Second stage: two pools of candidates, each with its own share of what is kept.
     evidence = ranked.select("qid", "node").unionByName(seeds.select("qid", "node")).distinct()
 
     centres = [seeds.where(F.col("pos") < TOP_N).select("qid", "node"), ranked.where(F.col("rank") <= TOP_N).select("qid", "node")]
-    around = cut_lineage(centres[0].unionByName(centres[1]).select("node").distinct())
+    centres = cut_lineage(centres[0].withColumn("pool", F.lit(0)).unionByName(centres[1].withColumn("pool", F.lit(1))))
+    around = cut_lineage(centres.select("node").distinct())
     hubs, mates = graph.hop_neighbors(v, e, HOP_TYPES, around, limit=None), graph.sibling_neighbors(v, e, limit=None, frontier=around)
-    found = [retrieval.stage2(c, mates, hubs).join(evidence, ["qid", "node"], "left_anti").withColumn("pool", F.lit(k)) for k, c in enumerate(centres)]
-    pooled = found[0].unionByName(found[1]).withColumn("pos", F.col("node")).join(day, "qid")
-    pooled = cut_lineage(score(_text_as_of(spark, sf, pooled)).select("qid", "node", "pos", "score", "pool"))
-    pools = [pooled.where(F.col("pool") == k).drop("pool") for k in range(2)]
-    picked = cut_lineage(retrieval.split_budget(*pools, KEEP))
+    # No centre is its own candidate: all of them are evidence. What both pools hold is rated once.
+    near = mates.select("node", "neighbor").unionByName(hubs.select("node", "neighbor"))
+    found = centres.join(near, "node").groupBy("qid", F.col("neighbor").alias("node")).agg(F.min("pool").alias("low"), F.max("pool").alias("high"))
+    pooled = scored(found.join(evidence, ["qid", "node"], "left_anti")).withColumn("pos", F.col("node"))
+    picked = cut_lineage(retrieval.split_budget(pooled.where("low = 0"), pooled.where("high = 1"), KEEP))
     # Bodies: seeds and their terms, then the second stage, then what fills.
     forced = retrieval.ordered_union([seeds.select("qid", "node", "pos"), closed])
     filler = retrieval.ordered_union([ranked.select("qid", "node", F.col("rank").alias("pos")), start])
     grouped = forced.withColumn("grp", F.lit(10)).unionByName(picked.withColumn("grp", F.lit(11))).unionByName(filler.withColumn("grp", F.lit(12)))
-    first = grouped.groupBy("qid", "node").agg(F.min(F.struct("grp", "pos")).alias("m")).select("qid", "node", "m.grp", "m.pos").join(day, "qid")
+    first = grouped.groupBy("qid", "node").agg(F.min(F.struct("grp", "pos")).alias("m")).select("qid", "node", "m.grp", "m.pos").join(when, "qid")
     ops = amend_operations(spark, sf)
-    told = cut_lineage(_text_as_of(spark, sf, first))
-    body = blocks.bodies(told, ops, split).join(told.select("qid", "node", "grp", "pos"), ["qid", "node"])
+    ops = cut_lineage(ops if history or split else ops.drop("new_text"))
+    told = _text_as_of(spark, sf, first, texts)
+    if split:
+        told = cut_lineage(told)
+        body = blocks.bodies(told, ops, split).join(told.select("qid", "node", "grp", "pos"), ["qid", "node"])
+    else:
+        body = told.withColumn("part", F.lit(0))
     rows = body.select("qid", "grp", F.col("pos").cast("long").alias("pos"), "part", F.struct(F.col("citation"), retrieval.clip(F.col("text"), blocks.BODY).alias("text"), F.array("node").alias("node_ids"), (F.col("grp") < 12).alias("reserved")).alias("b"))
-    gate, labels = seeding.gates(F.col("question")), _labels(spark, sf)
+    gate, labels = seeding.gates(F.col("question")), cut_lineage(v.select(F.col("id").alias("node_id"), "label").dropDuplicates(["node_id"]))
     asks = lambda k: q.where(gate[k]).select("qid")
     deps = blocks.dependents(roots.join(asks("dependents"), "qid", "left_semi"), graph.inbound_dependents(e), labels)
     cat = blocks.catalogue(ops.withColumn("agreement_id", F.substring_index("node_id", ".", 1)), labels, "agreement_id")
@@ -256,8 +285,8 @@ def structure_seeds(spark: SparkSession, sf: str) -> DataFrame:
     seeds = cut_lineage(_seeds(spark, sf))
     v, e = cut_lineage(build.vertices(spark, sf)), cut_lineage(build.edges(spark, sf))
     walked = graph.ordered_dfs(seeds, e, v.where(F.col("node_type").isin(*graph.TEXT_TYPES)).select("id"))
-    day = _questions(spark, sf)
-    known = _text_as_of(spark, sf, walked.join(day, "qid"))
+    day = cut_lineage(_questions(spark, sf))
+    known = _text_as_of(spark, sf, walked.join(day, "qid"), _texts(spark, sf))
     best = retrieval.rerank(models.lexical_scorer(known), TOP_K).select("qid", "node", F.col("rank").alias("pos"))
     return retrieval.ordered_union([seeds.where("pos < 3"), best])
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexloom import runtime
-from codexloom.operators import extract, graph, metrics, retrieval, temporal, text, vectors
+from codexloom.operators import extract, graph, metrics, models, retrieval, seeding, temporal, text, vectors
+from codexloom.plans import answers
 
 EDGE = "src string, dst string, edge_key string, edge_type string, seq long"
 
@@ -239,3 +240,33 @@ def test_running_state_over_ranges_of_places(spark):
     v = df.withColumn("n", F.length("id").cast("long"))
     sums = runtime.running_sum(v, "document_id", "pos", ["pos", "id"], "n", "first", width=100)
     assert {r.id: r["first"] for r in sums.where("document_id = 'd'").collect()} == {r[0]: 6 * k for k, r in enumerate(rows)}
+
+
+def test_plans_of_the_flagship_stay_small(spark, sf, monkeypatch):
+    """The driver holds every plan; each is cut before it is read several times."""
+    sizes, cut = [], runtime.cut_lineage
+
+    def seen(df):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return cut(df)
+
+    for m in (answers, graph, models, seeding, vectors):
+        if hasattr(m, "cut_lineage"):
+            monkeypatch.setattr(m, "cut_lineage", seen)
+    last = answers.answer_context(spark, sf)
+    assert max(*sizes, len(last._jdf.queryExecution().optimizedPlan().toString().splitlines())) < 400
+
+
+def test_nearest_chunks_without_texts_are_the_same(spark):
+    q = spark.createDataFrame([("a", "interest on loans"), ("b", None), ("c", "a term")], "qid string, question string")
+    chunks = spark.createDataFrame([(f"c{k}", f"loans and term {k} of interest {k % 3}") for k in range(20)], "id string, text string")
+    got = [{(r.qid, r.id, r["rank"]) for r in models.nearest_chunks(q, chunks, 4, texts=t).select("qid", "id", "rank").collect()} for t in (True, False)]
+    assert got[0] == got[1] and len(got[0]) == 12
+
+
+def test_ordered_walks_of_many_questions(spark):
+    e = spark.createDataFrame([("r", f"n{k}", "CONTAINS", k) for k in range(9)] * 2, "src string, dst string, edge_type string, seq int")
+    keep = spark.createDataFrame([(f"n{k}",) for k in range(9)], "id string")
+    starts = spark.createDataFrame([(f"q{k}", "r", 0) for k in range(50)] + [("q7", "n8", -1)], "qid string, node string, pos int")
+    got = graph.ordered_dfs(starts, e, keep, 2, 3).collect()
+    assert {(r.qid, r.pos): r.node for r in got} == {(f"q{k}", i): n for k in range(50) for i, n in enumerate(["n8", "n0", "n1"] if k == 7 else ["n0", "n1", "n2"])}
