@@ -52,30 +52,33 @@ def clauses(spark: SparkSession, sf: str) -> DataFrame:
     return amendments.resolve_targets(amendments.amend_ops(table(spark, sf, "sections").where("document_id NOT LIKE '%.base'")), outline(spark, sf).select("id"))
 
 
-def vertices(spark: SparkSession, sf: str) -> DataFrame:
+def vertices(spark: SparkSession, sf: str, defs: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
+    """All vertices; ``defs`` and ``said`` are ``definitions`` and ``clauses`` where the caller has them already."""
+    defs, said = definitions(spark, sf) if defs is None else defs, clauses(spark, sf) if said is None else said
     d = filings(spark, sf).select("id", F.lit("Document").alias("node_type"), F.col("name").alias("label")).dropDuplicates(["id"])
     s = outline(spark, sf).select("id", F.lit("Section").alias("node_type"), F.concat(F.lit("§"), F.col("number")).alias("label"))
-    t = definitions(spark, sf).select("id", F.lit("Definition").alias("node_type"), F.concat(F.lit("definition of “"), F.col("term"), F.lit("” (§1.01)")).alias("label"))
+    t = defs.select("id", F.lit("Definition").alias("node_type"), F.concat(F.lit("definition of “"), F.col("term"), F.lit("” (§1.01)")).alias("label"))
     p = parties(spark, sf).select(F.col("node_id").alias("id"), F.lit("Party").alias("node_type"), F.col("name").alias("label")).dropDuplicates(["id"])
-    x = clauses(spark, sf).where("target_kind = 'exhibit'").select(F.col("node_id").alias("id"), F.lit("Exhibit").alias("node_type"), F.concat(F.lit("Exhibit "), F.col("target")).alias("label")).distinct()
+    x = said.where("target_kind = 'exhibit'").select(F.col("node_id").alias("id"), F.lit("Exhibit").alias("node_type"), F.concat(F.lit("Exhibit "), F.col("target")).alias("label")).distinct()
     return d.unionByName(s).unionByName(t).unionByName(p).unionByName(x)
 
 
-def amend_edges(spark: SparkSession, sf: str) -> DataFrame:
+def amend_edges(spark: SparkSession, sf: str, said: DataFrame | None = None) -> DataFrame:
     """AMENDS from the amendment's filing to the node, one per version it made, with the clause that says so."""
     v = versions(spark, sf).where("status != 'original'")
     name = F.regexp_extract("citation", r"as amended by (\w+) Amendment", 1)
     number = F.array_position(F.array(*[F.lit(o) for o in extract.ORDINALS]), name)
     base = F.substring_index("node_id", ".", 1)
     made = v.where(number > 0).select(F.concat(base, F.lit(".amendment_"), number.cast("string")).alias("src"), F.col("node_id").alias("dst"), F.concat(F.lit("AMENDS::"), F.col("effective_date").cast("string")).alias("edge_key"), F.lit("AMENDS").alias("edge_type"), F.col("version_id").alias("seq"))
-    said = clauses(spark, sf).select(F.col("document_id").alias("src"), F.col("node_id").alias("dst"), "source_sec_id")
+    said = clauses(spark, sf) if said is None else said
+    said = said.select(F.col("document_id").alias("src"), F.col("node_id").alias("dst"), "source_sec_id")
     return made.join(said, ["src", "dst"], "left")
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, dst, edge_key, edge_type, seq, source_sec_id), one edge per key."""
+def edges(spark: SparkSession, sf: str, defs: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
+    """(src, dst, edge_key, edge_type, seq, source_sec_id), one edge per key; ``defs`` and ``said`` as for ``vertices``."""
     # Definitions are read five times below.
-    sec, slim, defs = _told(spark, sf), outline(spark, sf), cut_lineage(definitions(spark, sf))
+    sec, slim, defs = _told(spark, sf), outline(spark, sf), cut_lineage(definitions(spark, sf)) if defs is None else defs
 
     def typed(df: DataFrame, kind: str, seq) -> DataFrame:  # noqa: ANN001
         return df.select("src", "dst", F.lit(kind).alias("edge_key"), F.lit(kind).alias("edge_type"), seq.cast("long").alias("seq"))
@@ -87,7 +90,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     uses = uses.select(F.col("key").alias("src"), F.concat(F.substring_index("key", "::def::", 1), F.lit("::def::"), F.col("term")).alias("dst")).where("src != dst")
     # References to definitions come after those to sections.
     named = typed(section_terms(spark, sf, defs), "REFERENCES", F.lit(1 << 20))
-    parts = [contains, typed(refs, "REFERENCES", F.col("seq")), named, typed(extract.exceptions(sec), "EXCEPTION_TO", F.lit(0)), typed(defines, "DEFINES", F.lit(0)), typed(uses, "DEPENDS_ON", F.lit(0)), amendments.party_edges(parties(spark, sf)), amend_edges(spark, sf)]
+    parts = [contains, typed(refs, "REFERENCES", F.col("seq")), named, typed(extract.exceptions(sec), "EXCEPTION_TO", F.lit(0)), typed(defines, "DEFINES", F.lit(0)), typed(uses, "DEPENDS_ON", F.lit(0)), amendments.party_edges(parties(spark, sf)), amend_edges(spark, sf, said)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

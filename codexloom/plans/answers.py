@@ -34,21 +34,22 @@ def _placed(spark: SparkSession, sf: str) -> DataFrame:
     return q.join(own, "qid", "left").withColumn("document_id", F.concat("agreement_id", F.lit(".base")))
 
 
-def _amends(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.amends_targets(build.amend_edges(spark, sf))
+def _amends(spark: SparkSession, sf: str, said: DataFrame | None = None) -> DataFrame:
+    return graph.amends_targets(build.amend_edges(spark, sf, said))
 
 
-def _seeds(spark: SparkSession, sf: str, placed: DataFrame | None = None, dense: int = 0) -> DataFrame:
+def _seeds(spark: SparkSession, sf: str, placed: DataFrame | None = None, dense: int = 0, defs: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
     q = cut_lineage(_placed(spark, sf)) if placed is None else placed
-    parts = [seeding.cited(q, build.outline(spark, sf)), seeding.named_terms(q, build.definitions(spark, sf))]
+    defs = build.definitions(spark, sf) if defs is None else defs
+    parts = [seeding.cited(q, build.outline(spark, sf)), seeding.named_terms(q, defs)]
     # What is near comes last; where it lies in an amendment, what that amends follows.
-    return seeding.seeds([*parts, *([_dense(spark, sf, q, dense)] if dense else [])], _amends(spark, sf))
+    return seeding.seeds([*parts, *([_dense(spark, sf, q, dense, defs)] if dense else [])], _amends(spark, sf, said))
 
 
-def _dense(spark: SparkSession, sf: str, q: DataFrame, k: int) -> DataFrame:
+def _dense(spark: SparkSession, sf: str, q: DataFrame, k: int, defs: DataFrame) -> DataFrame:
     """(qid, node, pos): the first k provisions among the 3k chunks nearest to each question."""
     hits = models.nearest_chunks(q.select("qid", "question").where("question IS NOT NULL"), _chunks(spark, sf).select("id", "text"), 3 * k, texts=False)
-    known = build.outline(spark, sf).select("id").unionByName(build.definitions(spark, sf).select("id")).distinct()
+    known = build.outline(spark, sf).select("id").unionByName(defs.select("id")).distinct()
     own = hits.withColumn("node", F.regexp_replace("id", r"::p\d+$", "")).drop("id").join(known.withColumnRenamed("id", "node"), "node", "left_semi")
     return vectors.first_nodes(own, F.col("node"), k).select("qid", "node", F.col("rank").alias("pos"))
 
@@ -88,9 +89,9 @@ def stage2_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return near.join(seeds.select("qid", "node"), ["qid", "node"], "left_anti")
 
 
-def _roots(spark: SparkSession, sf: str, seeds: DataFrame) -> DataFrame:
+def _roots(seeds: DataFrame, defs: DataFrame) -> DataFrame:
     """The defined terms among the seeds: (qid, node, pos, term)."""
-    d = build.definitions(spark, sf).select(F.col("id").alias("node"), "term")
+    d = defs.select(F.col("id").alias("node"), "term")
     return seeds.join(d, "node").select("qid", "node", "pos", "term")
 
 
@@ -164,9 +165,11 @@ def answer_blocks(spark: SparkSession, sf: str, scorer: models.Scorer | None = N
     score = scorer or models.lexical_scorer
     placed = cut_lineage(_placed(spark, sf))
     q = placed.select("qid", "question", "as_of", "agreement_id")
-    v, e, texts = cut_lineage(build.vertices(spark, sf)), cut_lineage(build.edges(spark, sf)), _texts(spark, sf)
-    seeds = cut_lineage(_seeds(spark, sf, placed, dense))
-    roots = cut_lineage(_roots(spark, sf, seeds))
+    # What vertices, edges and seeds are all made of.
+    defs, said = cut_lineage(build.definitions(spark, sf)), cut_lineage(build.clauses(spark, sf).drop("new_text"))
+    v, e, texts = cut_lineage(build.vertices(spark, sf, defs, said)), cut_lineage(build.edges(spark, sf, defs, said)), _texts(spark, sf)
+    seeds = cut_lineage(_seeds(spark, sf, placed, dense, defs, said))
+    roots = cut_lineage(_roots(seeds, defs))
     uses = e.where("edge_type = 'DEPENDS_ON'").select("src", "dst")
     closed = roots.join(graph.closure(uses, roots.select(F.col("node").alias("root")).distinct(), CLOSURE).select("root", F.col("node").alias("dep")), F.col("node") == F.col("root")).select("qid", F.col("dep").alias("node"), "pos")
     closed = cut_lineage(closed)
