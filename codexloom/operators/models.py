@@ -66,8 +66,12 @@ def encode(df: DataFrame, text: str, out: str = "embedding", factory: Callable =
 
 
 def lexical_scorer(rows: DataFrame) -> DataFrame:
-    """``score``: the share of the question's content words that the text has."""
-    return rows.withColumn("score", F.round(words.grounding(F.col("question"), F.col("text")), 6))
+    """``score``: the share of the question's content words that the text has.
+
+    Rows that have the text's words as ``said``, as by ``text.said``, need no text.
+    """
+    share = words.grounding_in(F.col("question"), F.col("said")) if "said" in rows.columns else words.grounding(F.col("question"), F.col("text"))
+    return rows.withColumn("score", F.round(share, 6))
 
 
 def batched_scorer(factory: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = BATCH) -> Scorer:
@@ -96,8 +100,14 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, factory: Cal
     """
     # Keys are hashes of ids, since vectors meet by number.
     keyed = chunks.withColumn("vec_id", F.xxhash64("id"))
-    rows = cut_lineage(keyed if texts else keyed.select("id", "vec_id").distinct())
-    return _nearest(questions, rows, vectors.packed(rows if texts else keyed, "vec_id", "text", model=factory), k, factory)
+    if texts:
+        return nearest_rows(questions, cut_lineage(keyed), k, factory)
+    return _nearest(questions, cut_lineage(keyed.select("id", "vec_id").distinct()), vectors.packed(keyed, "vec_id", "text", model=factory), k, factory)
+
+
+def nearest_rows(questions: DataFrame, rows: DataFrame, k: int, factory: Callable = hashed_encoder) -> DataFrame:
+    """As ``nearest_chunks``, of ``rows`` (vec_id, text, ...) that have their key, and are the same whenever they are read."""
+    return _nearest(questions, rows, vectors.packed(rows, "vec_id", "text", model=factory), k, factory)
 
 
 def build_index(spark: SparkSession, chunks: DataFrame, path: str, factory: Callable = hashed_encoder) -> DataFrame:

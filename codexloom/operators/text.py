@@ -59,10 +59,19 @@ def content_words(text: Column) -> Column:
     return F.filter(all_, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
 
 
+def said(source: Column) -> Column:
+    """The words of a source that claims are held against, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(source, F.lit(""))), F.lit(r"[a-z0-9.$%()]+"), F.lit(0)))
+
+
 def grounding(claim: Column, source: Column) -> Column:
     """Share of the claim's content words that the source has; 1 if it has none."""
+    return grounding_in(claim, said(source))
+
+
+def grounding_in(claim: Column, target: Column) -> Column:
+    """As ``grounding``, of the source's words as by ``said``."""
     c = content_words(claim)
-    target = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(source, F.lit(""))), F.lit(r"[a-z0-9.$%()]+"), F.lit(0)))
     return F.when(F.size(c) == 0, 1.0).otherwise(F.size(F.array_intersect(c, target)) / F.size(c))
 
 

@@ -16,8 +16,9 @@ from codexloom.runtime import cut_lineage, shipped
 #: Vectors per block on average; two blocks meet in one task at a time.
 BLOCK = 2048
 #: Vectors in a block of queries or corpus; tasks at most among which one block of queries
-#: meets the corpus; blocks of queries in a task on average.
-MEETING, LANES, HELD = 1024, 64, 8
+#: meets the corpus; blocks of queries in a task on average; blocks of corpus in a task, and
+#: tasks for each core, from which there are more lanes.
+MEETING, LANES, HELD, LANE, WAVES = 1024, 64, 8, 256, 4
 
 
 def norm(v: Column) -> Column:
@@ -37,8 +38,18 @@ def _blocks(df: DataFrame, id_col: str, vec: str, size: int, names: tuple[str, s
     return df.where(F.col(vec).isNotNull()).groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias(names[0])).agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("i"), F.col(vec).alias("v"))).alias(names[1]))
 
 
+def _pressed(m: np.ndarray) -> bytes:
+    """A matrix of doubles as compressed bytes, after the number of its columns."""
+    return np.int64(m.shape[1]).tobytes() + pa.compress(np.ascontiguousarray(m, dtype=np.float64).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpressed(x: bytes, rows: int) -> np.ndarray:
+    n = int(np.frombuffer(x, dtype=np.int64, count=1)[0])
+    return np.frombuffer(pa.decompress(memoryview(x)[8:], decompressed_size=8 * rows * n, codec="zstd"), dtype=np.float64).reshape(rows, n)
+
+
 def packed(df: DataFrame, id_col: str, col: str, size: int = MEETING, model: Callable | None = None) -> DataFrame:
-    """(b, i, v): blocks of up to ``size`` vectors and their ids as bytes, made where the rows lie.
+    """(b, i, v): blocks of up to ``size`` vectors, compressed, and their ids as bytes, made where the rows lie.
 
     ``col`` holds vectors; with a ``model``, as in ``operators.models``, texts, where a null one is empty.
     """
@@ -46,7 +57,7 @@ def packed(df: DataFrame, id_col: str, col: str, size: int = MEETING, model: Cal
     rows = df.select(F.col(id_col).cast("long").alias("i"), x.alias("x")).where("x IS NOT NULL")
 
     def block(ids: np.ndarray, vecs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, vecs)], ["i", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids.tobytes(), _pressed(vecs))], ["i", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = model() if model else None
@@ -76,6 +87,46 @@ def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tup
     return row[first], ids[order][first], score[order][first]
 
 
+def _single(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``m`` in single precision, and its rows' lengths, infinite where single precision can't hold them."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        n = np.sqrt(np.einsum("ij,ij->i", m, m))
+        return m.astype(np.float32), np.where(n < 1e15, n, np.inf)
+
+
+def _near(s: np.ndarray, least: np.ndarray, slack: np.ndarray, k: int) -> np.ndarray:
+    """Where scores ``s`` that are off by up to ``slack`` may reach ``least``, and the k-th of their row if that is worth its search."""
+
+    def reach(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+        # Scores are rounded to 10 digits; what lies so near below the k-th may equal it.
+        x = np.where(off < np.inf, x - off, -np.inf) - 1e-10
+        return ~(s < (x if s.dtype == np.float64 else np.nextafter(x.astype(np.float32), np.float32(-np.inf)))[:, None])
+
+    near, n = reach(least, slack), s.shape[1]
+    if n > k and np.count_nonzero(near) > 4 * k * len(s):
+        near &= reach(np.partition(s, n - k, axis=1)[:, n - k].astype(np.float64), 2 * slack)
+    return near
+
+
+def _found(q: tuple, c: tuple, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of all products of ``q`` and ``c`` that may be among the first k of a row.
+
+    Products in single precision tell which; those are then made exactly. ``q`` and ``c``: matrix, and what ``_single`` gives.
+    """
+    (a, a32, an), (b, b32, bn) = q, c
+    # No sum of products in single precision is further off than this, in whatever order it is made.
+    slack = an * bn.max(initial=0) * (a.shape[1] + 4) * 2.0**-23
+    with np.errstate(over="ignore", invalid="ignore"):
+        near = _near(a32 @ b32.T, least, np.where(np.isnan(slack), np.inf, slack), k)
+    if 64 * np.count_nonzero(near) > near.size:
+        s = a @ b.T
+        row, col = np.nonzero(_near(s, least, np.zeros(len(a)), k))
+        return row, col, np.round(s[row, col], 10)
+    row, col = np.divmod(np.flatnonzero(near), near.shape[1])
+    s = [np.einsum("ij,ij->i", a[row[n : n + 4096]], b[col[n : n + 4096]]) for n in range(0, len(row), 4096)]
+    return row, col, np.round(np.concatenate([np.zeros(0), *s]), 10)
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", block: int = MEETING) -> DataFrame:
     """(qid, id, score, rank): the k largest inner products of each query, exactly; ties go to the lower id."""
     return meet(packed(queries, id_col, vec, block), packed(corpus, id_col, vec, block), k)
@@ -89,8 +140,11 @@ def meet(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     of all that it meets, so what is shuffled is k rows per query and lane.
     """
     # A task holds its query blocks in memory, so they are few.
-    q = queries.repartition(max(1, math.ceil(queries.count() / HELD))).withColumn("qn", F.monotonically_increasing_id())
-    c = corpus.coalesce(LANES).select(F.col("i").alias("ci"), F.col("v").alias("c"), F.monotonically_increasing_id().alias("cn"))
+    held = max(1, math.ceil(queries.count() / HELD))
+    # As many lanes as all cores need, or as long ones ask for: each adds k rows per query.
+    lanes = max(math.ceil(WAVES * corpus.sparkSession.sparkContext.defaultParallelism / held), math.ceil(corpus.count() / LANE))
+    q = queries.repartition(held).withColumn("qn", F.monotonically_increasing_id())
+    c = corpus.coalesce(max(1, min(LANES, lanes))).select(F.col("i").alias("ci"), F.col("v").alias("c"), F.monotonically_increasing_id().alias("cn"))
     pairs = c.hint("shuffle_replicate_nl").join(q.select("b", F.col("i").alias("qi"), F.col("v").alias("q"), "qn"))
     # A task takes its corpus blocks one after another, and all its query blocks for each, so Python gets a block
     # where it comes first. The number of a row in its partition is in the lower 33 bits.
@@ -99,12 +153,22 @@ def meet(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple] = {}
-        asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # What was found since, by block of queries; it joins what is kept when it is as much as that may be.
+        new: dict[int, list[tuple]] = {}
+        asked: dict[int, tuple[np.ndarray, tuple]] = {}
         at, ci, c = None, None, None
 
-        def read(x: pa.Scalar, y: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        def read(x: pa.Scalar, y: pa.Scalar) -> tuple[np.ndarray, tuple]:
             i = np.frombuffer(x.as_py(), dtype=np.int64)
-            return i, np.frombuffer(y.as_py(), dtype=np.float64).reshape(len(i), -1)
+            m = _unpressed(y.as_py(), len(i))
+            return i, (m, *_single(m))
+
+        def keep(b: int) -> None:
+            rows = len(asked[b][0])
+            got = _best([*([kept[b][0]] if b in kept else []), *new.pop(b)], k)
+            n, least = np.bincount(got[0], minlength=rows), np.full(rows, -np.inf)
+            least[n >= k] = got[2][np.cumsum(n)[n >= k] - 1]
+            kept[b] = (got, least)
 
         for rb in batches:
             for b, n, *four in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), *rb.columns[2:]):
@@ -115,21 +179,15 @@ def meet(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                 if at != n or b not in asked:
                     raise ValueError("blocks came out of order")
                 qi, q = asked[b]
-                s = q @ c.T
-                # Scores are rounded to 10 digits; what lies so near below the k-th may equal it.
-                least = kept[b][2] if b in kept else np.full(len(qi), -np.inf)
-                near = ~(s < least[:, None] - 1e-10)
-                if len(ci) > k and np.count_nonzero(near) > 4 * k * len(qi):
-                    near &= ~(s < np.partition(s, len(ci) - k, axis=1)[:, len(ci) - k, None] - 1e-10)
-                row, col = np.nonzero(near)
-                if b in kept and not len(row):
-                    continue
-                got = _best([*([kept[b][1]] if b in kept else []), (row, ci[col], np.round(s[row, col], 10))], k)
-                n, least = np.bincount(got[0], minlength=len(qi)), np.full(len(qi), -np.inf)
-                least[n >= k] = got[2][np.cumsum(n)[n >= k] - 1]
-                kept[b] = (qi, got, least)
-        for qi, (row, ids, score), _ in kept.values():
-            yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(ids), pa.array(score)], ["qid", "id", "score"])
+                row, col, score = _found(q, c, kept[b][1] if b in kept else np.full(len(qi), -np.inf), k)
+                if len(row):
+                    new.setdefault(b, []).append((row, ci[col], score))
+                    if b not in kept or 2 * sum(len(x[0]) for x in new[b]) > k * len(qi):
+                        keep(b)
+        for b in list(new):
+            keep(b)
+        for b, ((row, ids, score), _) in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[b][0][row]), pa.array(ids), pa.array(score)], ["qid", "id", "score"])
 
     got = pairs.select("b", "cn", *sent).transform(shipped).mapInArrow(run, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")

@@ -251,8 +251,13 @@ def answer_context(spark: SparkSession, sf: str) -> DataFrame:
 def baseline_context(spark: SparkSession, sf: str) -> DataFrame:
     """The flat path: the 30 nearest chunks of each question, the best 10 of them, packed."""
     q = _questions(spark, sf)
-    found = models.nearest_chunks(q.select("qid", "question"), _chunks(spark, sf), 30)
-    best = retrieval.rerank(models.lexical_scorer(found.withColumnRenamed("rank", "pos")), TOP_K)
+    # Of equal ids always the same row, so that nothing is written down; one shuffle by key serves rating and packing.
+    rows = table(spark, sf, "chunks").where("text IS NOT NULL").withColumn("vec_id", F.xxhash64("id")).repartition("vec_id")
+    chunks = rows.groupBy("vec_id", "id").agg(F.min(F.struct("text", "document_name", "section_hint")).alias("c")).select("vec_id", "id", "c.*")
+    found = models.nearest_rows(q.select("qid", "question"), chunks.select("vec_id", "text", words.said(F.col("text")).alias("said"), F.col("vec_id").alias("key")), 30)
+    # Ranked without their texts: only those of the best are moved to their question.
+    scored = models.lexical_scorer(found.withColumnRenamed("rank", "pos")).select("qid", "key", "pos", "score")
+    best = retrieval.rerank(scored, TOP_K).join(chunks.withColumnRenamed("vec_id", "key"), "key")
     cited = F.concat("document_name", F.coalesce(F.concat(F.lit(", near §"), "section_hint"), F.lit("")))
     packed = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(cited.alias("citation"), F.col("text"), F.array("id").alias("node_ids"), F.lit(False).alias("reserved")).alias("b")))).alias("r"))
     packed = packed.select("qid", F.transform("r", lambda x: x["b"]).alias("blocks")).withColumn("p", retrieval.pack_reserved(F.col("blocks"), retrieval.char_budget()))

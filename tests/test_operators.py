@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -163,6 +164,30 @@ def test_top_k_sends_no_vectors_to_the_driver(spark, tmp_path):
     assert "Broadcast" not in plan
 
 
+def test_top_k_of_scores_that_single_precision_cannot_tell_apart(spark):
+    n = 150
+    m = np.array([[1.0, 1e-8 * (i * 37 % n), 0.0] for i in range(n)] + [[1e20, 0.0, 0.0], [float("nan"), 0.0, 0.0], [0.0, 0.0, 0.0]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(0, [0.0, 1.0, 0.0]), (1, [0.5, 0.5, 7.0]), (2, [-1.0, 0.0, 0.0]), (3, [1e-30, 1.0, 0.0])], "vec_id long, embedding array<double>")
+    for block in (16, 1024):
+        got = {(r.qid, r["rank"]): r.id for r in vectors.top_k(asked, df.where(f"vec_id != {n + 1}"), 4, block=block).collect()}
+        v = {q.vec_id: np.round(m @ np.array(q.embedding), 10) for q in asked.collect()}
+        want = {(q, k + 1): i for q, s in v.items() for k, i in enumerate(sorted((i for i in range(len(m)) if i != n + 1), key=lambda i: (-s[i], i))[:4])}
+        assert got == want
+        assert {r.qid for r in vectors.top_k(asked, df, 4, block=block).collect()} == {0, 1, 2, 3}
+
+
+def test_blocks_of_vectors_are_small_and_few_tasks_share_them(spark):
+    df = spark.range(2000).select(F.col("id").alias("vec_id"), F.concat_ws(" ", F.lit("the loan of"), "id", F.lit("bears interest")).alias("text")).coalesce(2)
+    blocks = vectors.packed(df, "vec_id", "text", 100, models.hashed_encoder)
+    bytes_, vecs = blocks.selectExpr("sum(length(v))", "sum(length(i)) / 8").first()
+    assert vecs == 2000 and bytes_ < 2000 * models.DIM * 8 / 3
+    # Each task adds k rows for each of its queries to what is shuffled.
+    plan = vectors.meet(blocks, blocks, 3)._jdf.queryExecution().optimizedPlan().toString()
+    lanes, groups = (int(re.search(rf"Repartition (\d+), {x}", plan)[1]) for x in ("false", "true"))
+    assert groups > 1 and lanes * groups < 2 * 4 * spark.sparkContext.defaultParallelism
+
+
 def test_banded_pairs_and_greedy_pass(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 32))
@@ -257,6 +282,22 @@ def test_plans_of_the_flagship_stay_small(spark, sf, monkeypatch):
     assert max(*sizes, len(last._jdf.queryExecution().optimizedPlan().toString().splitlines())) < 400
 
 
+def test_the_flat_path_ranks_without_texts(spark, sf):
+    lines = answers.baseline_context(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [y for x, y in zip(lines, lines[1:]) if "WindowGroupLimit" in x and "pos#" in x]
+    assert len(below) == 1 and "question#" in below[0] and " text#" not in below[0]
+
+
+def test_the_flat_path_takes_one_row_of_equal_ids(spark, tmp_path):
+    q = [("q1", "which loans bear interest", None), ("q2", None, None)]
+    spark.createDataFrame(q, "id string, question string, as_of date").write.parquet(str(tmp_path / "holdout_hard_set.parquet"))
+    rows = [("c1", "loans bear interest", "d", "2.01"), ("c1", "fees", "d", None), ("c2", None, "d", None), ("c3", "which loans", "e", None)]
+    spark.createDataFrame(rows, "id string, text string, document_name string, section_hint string").repartition(4).write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {r.qid: r for r in answers.baseline_context(spark, str(tmp_path)).collect()}
+    assert got["q1"].context_ids == ["c3", "c1"] and "[d]\nfees" in got["q1"].context and "bear" not in got["q1"].context
+    assert set(got["q2"].context_ids) == {"c1", "c3"}
+
+
 def test_nearest_chunks_without_texts_are_the_same(spark):
     q = spark.createDataFrame([("a", "interest on loans"), ("b", None), ("c", "a term")], "qid string, question string")
     chunks = spark.createDataFrame([(f"c{k}", f"loans and term {k} of interest {k % 3}") for k in range(20)], "id string, text string")
